@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswire.llm import chat, mixing, packing, sharding
+from presswire.llm import chat, mixing, packing, sharding, topk
 from presswire.llm.common import table
 
 
@@ -17,6 +17,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = topk.to_grid(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(grid.where("id % 100 = 0"), grid)
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -37,6 +42,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_topk": op1_exact_topk,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_mixing": op7_mixing,
     "op8_best_fit_packing": op8_best_fit_packing,
@@ -44,6 +50,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_exact_topk": """
+        with v as (
+          select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as g from embeddings
+          where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), s as (
+          select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.g, c.g), lambda z: z[1] * z[2]))::bigint as score
+          from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id
+        ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+        select query_id, rank::integer as rank, vec_id, score from r where rank <= 10""",
     "op6_chat_formatting": """
         with rows as (
           select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
