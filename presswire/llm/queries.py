@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswire.llm import chat, mixing, packing, sharding, topk, toxicity
+from presswire.llm import chat, jaccard, mixing, packing, sharding, topk, toxicity
 from presswire.llm.common import table
 
 
@@ -47,12 +47,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_toxicity": op2_toxicity,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_mixing": op7_mixing,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_sharding": op10_sharding,
 }
 
