@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswire.llm import chat, jaccard, mixing, packing, sharding, topk, toxicity
+from presswire.llm import chat, jaccard, mixing, packing, sharding, suffixes, topk, toxicity
 from presswire.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.is_held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -54,6 +58,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_toxicity": op2_toxicity,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_mixing": op7_mixing,
     "op8_best_fit_packing": op8_best_fit_packing,
