@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswire.llm import chat, jaccard, mixing, packing, sharding, suffixes, topk, toxicity
+from presswire.llm import chat, jaccard, mixing, neighbours, packing, sharding, suffixes, topk, toxicity
 from presswire.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.is_held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -58,6 +62,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_toxicity": op2_toxicity,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_mixing": op7_mixing,
@@ -76,6 +81,18 @@ ORACLES: dict[str, str] = {
           from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id
         ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         select query_id, rank::integer as rank, vec_id, score from r where rank <= 10""",
+    "op3_embedding_near_dedup": """
+        with recursive v as (
+          select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+          where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), u as (select vec_id, label, e from v where list_dot_product(e, e) > 0),
+        l as (
+          select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id
+          where list_cosine_similarity(a.e, b.e) >= 0.98
+        ), r as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from r join l on r.b = l.a)
+        select vec_id, (select count(*) from l where a = vec_id) as n_links, (select min(b) from r where a = vec_id) as component_id,
+          vec_id = (select min(b) from r where a = vec_id) as kept
+        from embeddings""",
     "op6_chat_formatting": """
         with rows as (
           select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
