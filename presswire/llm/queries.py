@@ -33,7 +33,7 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.dedup(table(spark, sf_dir, "documents")).drop("kept")
+    return suffixes.dedup(table(spark, sf_dir, "documents"))
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

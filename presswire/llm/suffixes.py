@@ -390,41 +390,52 @@ def repeated_spans(docs: DataFrame, grain: Grain, batch_bytes: int = 24 << 20, b
     return sent.withColumn("task", task).groupBy("task").applyInPandas(lambda f: settle(f), "doc_id long, data binary")
 
 
-def dedup(docs: DataFrame, grain: Grain = Grain(), keep: tuple[str, ...] = ()) -> DataFrame:
+def _without(data: bytes, spans) -> tuple[bytes, int, int]:
+    """What is left of data, the number of bytes removed, and of maximal runs."""
+    if spans is None or not len(spans):
+        return bytes(data), 0, 0
+    pairs = np.concatenate([np.frombuffer(s, dtype="<i4").reshape(-1, 2) for s in spans])
+    pairs = merge(np.minimum(pairs, len(data)))
+    pairs = pairs[pairs[:, 1] > pairs[:, 0]]
+    edges = [0, *pairs.ravel().tolist(), len(data)]
+    return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), int((pairs[:, 1] - pairs[:, 0]).sum()), len(pairs)
+
+
+def _with_spans(docs: DataFrame, grain: Grain) -> DataFrame:
+    """docs with _spans and _data (bytes). Spans are one row a document before the join; texts are shuffled once."""
+    with_package(docs.sparkSession)
+    spans = materialize(repeated_spans(docs, grain))
+    spans = spans.groupBy("doc_id").agg(F.collect_list("data").alias("_spans")).withColumnRenamed("doc_id", "_id")
+    return docs.withColumn("_data", F.encode(F.coalesce("text", F.lit("")), "UTF-8")).join(spans.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+
+
+def dedup(docs: DataFrame, grain: Grain = Grain()) -> DataFrame:
     """Cut from each text (as UTF-8 bytes) all that a document of smaller doc_id has too, in repeats of grain.least bytes or more.
 
     Every byte covered by a string of grain.least bytes that also starts in a document of smaller doc_id goes; strings are
-    judged on the input. Returns doc_id, keep, n_bytes, n_removed, n_spans (maximal runs), kept_sha256, kept (the bytes left).
+    judged on the input. Returns doc_id, n_bytes, n_removed, n_spans (maximal runs), kept_sha256.
     Null text counts as empty. Rows without doc_id keep all and cover nothing. Rows that repeat a doc_id count as one document: what is
     found in one is cut from each at the same places. Texts shorter than grain.least stay whole. An empty table gives no rows.
+    Other columns are ignored.
     """
-    spark = docs.sparkSession
-    with_package(spark)
-    spans = materialize(repeated_spans(docs, grain))
-    spans = spans.groupBy("doc_id").agg(F.collect_list("data").alias("_spans")).withColumnRenamed("doc_id", "_id")
-    rows = docs.select("doc_id", *keep, F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_data")).join(spans.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            left, removed, runs = [], [], []
-            for data, spans in zip(batch["_data"], batch["_spans"], strict=True):
-                if spans is None or not len(spans):
-                    left.append(bytes(data)), removed.append(0), runs.append(0)
-                    continue
-                pairs = np.concatenate([np.frombuffer(s, dtype="<i4").reshape(-1, 2) for s in spans])
-                pairs = merge(np.minimum(pairs, len(data)))
-                pairs = pairs[pairs[:, 1] > pairs[:, 0]]
-                edges = [0, *pairs.ravel().tolist(), len(data)]
-                left.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-                removed.append(int((pairs[:, 1] - pairs[:, 0]).sum())), runs.append(len(pairs))
-            out = batch.drop(columns=["_data", "_spans"])
-            out["n_bytes"] = [len(x) for x in batch["_data"]]
-            out["n_removed"], out["n_spans"] = removed, runs
-            out["kept_sha256"] = [hashlib.sha256(x).hexdigest() for x in left]
-            out["kept"] = left
-            if len(out):
-                out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *keep).schema)
-    return rows.mapInPandas(cut, f"{kept}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    def digest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for data, spans in batches:
+            rows = [(n, runs, hashlib.sha256(kept).hexdigest()) for kept, n, runs in map(_without, data, spans)]
+            yield pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_sha256"])
+
+    rows = _with_spans(docs.select("doc_id", "text"), grain)
+    cut = F.pandas_udf(digest, "n_removed long, n_spans long, kept_sha256 string")("_data", "_spans").alias("r")
+    return rows.select("doc_id", F.octet_length("_data").cast("long").alias("n_bytes"), cut).select("doc_id", "n_bytes", "r.*")
+
+
+def cut_repeats(docs: DataFrame, grain: Grain = Grain()) -> DataFrame:
+    """docs, all columns, each text cut as dedup() says. Where a cut splits a character, its bytes that are left go too."""
+
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for data, spans in batches:
+            yield pd.Series([_without(d, s)[0].decode("utf-8", "ignore") for d, s in zip(data, spans, strict=True)], dtype=object)
+
+    rows = _with_spans(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")), grain)
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.pandas_udf(cut, "string")("_data", "_spans"))
+    return rows.select(text.alias("_text"), "_row").select(*[F.col("_text").alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])

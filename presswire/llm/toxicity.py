@@ -227,39 +227,50 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, max_features
     return tagger
 
 
-def score(docs: DataFrame, tagger: Tagger, offset_from: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns in keep, score, spans: every whole text's score from 0 to 1 and its toxic tokens' offsets.
-
-    A span has start and end in code points and the token's marginal, from offset_from on. Long texts are chains of 64 tokens one after the
-    other, so memory is bounded by a batch of rows. Null and empty texts get the score of a text without toxic tokens,
-    no spans; without training data of both classes every score is 0. No shuffle.
-    """
-    with_package(docs.sparkSession)
+def scorer(tagger: Tagger, offset_from: float = 0.5, with_spans: bool = True):
+    """A pandas UDF: text -> struct(score, spans), or the score alone. The tagger it carries has a bounded size (fit())."""
     token = re.compile(r"\S+")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            scores, spans = [], []
             for lo in range(0, len(batch), 1000):
-                part = batch.iloc[lo : lo + 1000]
-                texts = part["_text"].tolist()
-                out = part.drop(columns="_text")
+                texts = batch.iloc[lo : lo + 1000].tolist()
                 if tagger.empty:
-                    yield out.assign(score=0.0, spans=[[] for _ in texts])
+                    scores.append(np.zeros(len(texts)))
+                    spans += [[] for _ in texts]
                     continue
                 p, lengths = marginals(texts, tagger)
-                f = document_features(p, lengths)
-                z = np.clip(f @ tagger.document[:-1] + tagger.document[-1], -30, 30)
-                spans, start = [], 0
-                for text, n in zip(texts, lengths.tolist(), strict=True):
+                z = document_features(p, lengths) @ tagger.document[:-1] + tagger.document[-1]
+                scores.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+                start = 0
+                for text, n in zip(texts, lengths.tolist(), strict=True) if with_spans else ():
                     hit = np.flatnonzero(p[start : start + n] >= offset_from)
-                    if len(hit):
-                        at = [m.span() for m in token.finditer(text)]
-                        spans.append([{"start": at[i][0], "end": at[i][1], "p": float(p[start + i])} for i in hit if i < len(at)])
-                    else:
-                        spans.append([])
+                    at = [m.span() for m in token.finditer(text)] if len(hit) else []
+                    spans.append([{"start": at[i][0], "end": at[i][1], "p": float(p[start + i])} for i in hit if i < len(at)])
                     start += n
-                yield out.assign(score=1 / (1 + np.exp(-z)), spans=spans)
+            yield pd.DataFrame({"score": np.concatenate(scores) if scores else [], "spans": spans if with_spans else [[] for _ in range(len(batch))]})
+
+    def plain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for frame in run(batches):
+            yield frame["score"]
+
+    return F.pandas_udf(run, "score double, spans array<struct<start:int,end:int,p:double>>") if with_spans else F.pandas_udf(plain, "double")
+
 
-    rows = docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema)
-    return rows.mapInPandas(run, f"{kept}, score double, spans array<struct<start:int,end:int,p:double>>")
+def score(docs: DataFrame, tagger: Tagger, offset_from: float = 0.5) -> DataFrame:
+    """doc_id, score, spans: every whole text's score from 0 to 1 and its toxic tokens' offsets.
+
+    A span has start and end in code points and the token's marginal, from offset_from on. Long texts are chains of 64 tokens
+    one after the other, so memory is bounded by a batch of rows. Null and empty texts get the score of a text without toxic
+    tokens and no spans; without training data of both classes every score is 0. Null doc_ids and repeated rows are rows
+    like others; other columns are ignored. No shuffle.
+    """
+    with_package(docs.sparkSession)
+    return docs.select("doc_id", scorer(tagger, offset_from)(F.coalesce("text", F.lit(""))).alias("r")).select("doc_id", "r.score", "r.spans")
+
+
+def drop_toxic(docs: DataFrame, tagger: Tagger, reject_from: float = 0.3) -> DataFrame:
+    """docs, all columns, without the documents that score reject_from or more."""
+    with_package(docs.sparkSession)
+    return docs.where(scorer(tagger, with_spans=False)(F.coalesce("text", F.lit(""))) < reject_from)
