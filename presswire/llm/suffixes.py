@@ -15,14 +15,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswire.llm.common import materialize, with_package
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-ROWS = "bucket long, doc_id long, data binary"
+SENT = "task long, kind int, data binary"
+KEYS, SPANS, CONTEXTS = 0, 1, 2
 
 
 @dataclass(frozen=True)
@@ -115,30 +117,50 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
-def pack_bucket(doc_ids: np.ndarray, where: np.ndarray, length: np.ndarray, anchor: np.ndarray, text: bytes) -> bytes:
-    """Contexts sorted by document and place: only differences are stored, and all is compressed."""
-    head = np.array([len(where)], dtype="<i8").tobytes()
-    delta = np.diff(doc_ids, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
-    place = where.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + delta + place + length.astype(np.uint8).tobytes() + anchor.astype(np.uint8).tobytes() + text)
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of 64-bit numbers, all first bytes, then all second ones: small numbers and differences compress well so."""
+    return np.ascontiguousarray(x).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def unpack_bucket(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, dtype="<i8", count=1)[0])
-    byte = np.frombuffer(raw, dtype=np.uint8, offset=8)
-    doc = np.cumsum(np.ascontiguousarray(byte[: 8 * n].reshape(8, n).T).view("<i8")[:, 0])
-    where = np.ascontiguousarray(byte[8 * n : 12 * n].reshape(4, n).T).view("<i4")[:, 0]
-    return doc, where, byte[12 * n : 13 * n], byte[13 * n : 14 * n], byte[14 * n :]
+def unplanes(raw: np.ndarray, n: int) -> np.ndarray:
+    return np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<i8")[:, 0]
 
 
-def spans_frame(bucket: int, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pd.DataFrame:
-    """One row a document: its spans as packed (lo, hi) pairs."""
-    order = np.argsort(doc, kind="stable")
-    doc, pairs = doc[order], np.stack([lo[order], hi[order]], axis=1).astype("<i4")
-    cut = np.flatnonzero(doc[1:] != doc[:-1]) + 1
-    begins = np.append(0, cut)[: len(doc)]
-    return pd.DataFrame({"bucket": bucket, "doc_id": doc[begins], "data": [merge(p).tobytes() for p in np.split(pairs, cut)] if len(doc) else []})
+def pack(columns: list[np.ndarray], text: bytes = b"") -> bytes:
+    """Integer columns of one length (the first as differences, so it should be sorted) and bytes, compressed."""
+    first = np.diff(columns[0], prepend=0)
+    head = np.array([len(first), len(columns)], dtype="<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(map(planes, [first, *columns[1:]])) + text)
+
+
+def unpack(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
+    n, width = raw[:16].view("<i8").tolist()
+    columns = [unplanes(raw[16 + 8 * n * i :], n) for i in range(width)]
+    columns[0] = np.cumsum(columns[0])
+    return columns, raw[16 + 8 * n * width :]
+
+
+def document_bucket(doc_id: np.ndarray, n: int) -> np.ndarray:
+    """The same as document_bucket_column(), for numbers."""
+    return np.mod(doc_id ^ (doc_id >> 16) ^ (doc_id >> 32), n)
+
+
+def document_bucket_column(n: int) -> Column:
+    """Where a document's rows meet; rows without doc_id are dealt by text."""
+    d = F.col("doc_id").cast("long")
+    own = F.pmod(d.bitwiseXOR(F.shiftright(d, 16)).bitwiseXOR(F.shiftright(d, 32)), F.lit(n))
+    return F.coalesce(own, F.pmod(F.xxhash64("text"), F.lit(n)))
+
+
+def span_rows(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int) -> pd.DataFrame:
+    """Spans as packed rows of SENT, one for each bucket of documents."""
+    to = document_bucket(doc, n)
+    order = np.lexsort((lo, doc, to))
+    doc, lo, hi, to = doc[order], lo[order], hi[order], to[order]
+    at = np.unique(to)
+    cuts = np.searchsorted(to, at), np.searchsorted(to, at, side="right")
+    return pd.DataFrame({"task": at, "kind": SPANS, "data": [pack([doc[i:j], lo[i:j], hi[i:j]]) for i, j in zip(*cuts, strict=True)]})
 
 
 def merge(pairs: np.ndarray) -> np.ndarray:
@@ -152,69 +174,123 @@ def merge(pairs: np.ndarray) -> np.ndarray:
     return np.stack([pairs[begins, 0], reach[np.append(begins[1:], len(pairs)) - 1]], axis=1).astype(pairs.dtype)
 
 
-def batch_rows(ids: np.ndarray, texts: list[bytes], grain: Grain, n_buckets: int, chunk: int = 1 << 20) -> Iterator[pd.DataFrame]:
-    """What a batch of documents sends: packed contexts to each bucket (doc_id null), and spans settled here (bucket -1).
+def gather(ids: np.ndarray, texts: list[bytes], grain: Grain, wanted: np.ndarray | None = None, chunk: int = 1 << 20):
+    """Contexts of a batch of documents (contexts()' columns and start, the document's place in data; doc: its id), their bytes, and the spans
+    settled here (doc, lo, hi).
 
     A text, or a context, that a document of the batch with a smaller id has too is settled here: all of it is covered.
-    Only those of the least id go on, so whatever is frequent sends one row a batch.
+    Only those of the least id are returned, so whatever is frequent sends one row a batch. wanted: keep only contexts
+    whose (document, short key) is among these numbers of pair_number().
     """
-    order = np.argsort(ids, kind="stable")
     seen: dict[bytes, int] = {}
-    keep, done = [], []
-    for i in order.tolist():
+    keep, settled = [], []
+    for i in np.argsort(ids, kind="stable").tolist():
         if len(texts[i]) < grain.least:
             continue
-        owner = seen.setdefault(texts[i], int(ids[i]))
-        if owner == ids[i]:
+        if seen.setdefault(texts[i], int(ids[i])) == ids[i]:
             keep.append(i)
         else:
-            done.append(i)
+            settled.append((ids[i], 0, len(texts[i])))
     seen.clear()
-    if done:
-        yield pd.DataFrame({"bucket": -1, "doc_id": ids[done], "data": [np.array([[0, len(texts[i])]], dtype="<i4").tobytes() for i in done]})
-    found: list[dict[str, np.ndarray]] = []
-    part: list[int] = []
-    base, size, pieces = 0, 0, []
+    found, pieces, part, base, size = [], [], [], 0, 0
     for i in [*keep, -1]:
         if part and (i < 0 or size + len(texts[i]) > chunk):
             joined = b"".join(texts[j] for j in part)
-            data = np.frombuffer(joined, dtype=np.uint8)
             lengths = np.array([len(texts[j]) for j in part], dtype=np.int64)
             ends = np.cumsum(lengths)
-            c = contexts(data, ends - lengths, ends, grain)
-            c["start"] = (ends - lengths)[c["doc"]] + base
+            c = contexts(np.frombuffer(joined, dtype=np.uint8), ends - lengths, ends, grain)
+            c["start"] = (ends - lengths)[c["doc"]]
             c["doc"] = ids[np.array(part)][c["doc"]]
-            for k in ("lo", "hi", "anchor"):
+            if wanted is not None:
+                ok = np.isin(pair_number(c["doc"], short_key(c["key"])), wanted)
+                c = {k: v[ok] for k, v in c.items()}
+            for k in ("lo", "hi", "anchor", "start"):
                 c[k] = c[k] + base
             found.append(c)
-            pieces.append(joined)
-            base += len(joined)
+            if wanted is not None:
+                pieces.append(joined)
+                base += len(joined)
             part, size = [], 0
         if i >= 0:
             part.append(i)
             size += len(texts[i])
+    done = np.array(settled, dtype=np.int64).reshape(-1, 3).T
     if not found:
-        return
-    data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        return None, b"", done
     c = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
-    # One context of several documents: those of other than the least id are covered.
     order = np.lexsort((c["doc"], c["whole"]))
     whole, doc = c["whole"][order], c["doc"][order]
-    fresh = np.append(True, whole[1:] != whole[:-1])
+    fresh = np.append(True, whole[1:] != whole[:-1])[: len(order)]
     least = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
     covered, send = order[doc != least], order[doc == least]
-    if len(covered):
-        yield spans_frame(-1, c["doc"][covered], (c["lo"] - c["start"])[covered], (c["hi"] - c["start"])[covered])
-    to = (c["key"][send] % np.uint64(n_buckets)).astype(np.int64)
-    order = np.lexsort((c["lo"][send], c["doc"][send], to))
-    send, to = send[order], to[order]
-    cut = np.searchsorted(to, np.arange(n_buckets + 1))
-    for b in range(n_buckets):
-        s = send[cut[b] : cut[b + 1]]
-        if len(s):
-            length = c["hi"][s] - c["lo"][s]
-            blob = pack_bucket(c["doc"][s], (c["lo"] - c["start"])[s], length, (c["anchor"] - c["lo"])[s], data[ragged(c["lo"][s], length)].tobytes())
-            yield pd.DataFrame({"bucket": [b], "doc_id": [None], "data": [blob]})
+    done = np.hstack([done, np.stack([c["doc"][covered], (c["lo"] - c["start"])[covered], (c["hi"] - c["start"])[covered]])])
+    return {k: v[send] for k, v in c.items()}, b"".join(pieces), done
+
+
+def short_key(key: np.ndarray) -> np.ndarray:
+    """40 of an anchor key's bits, others than those that choose its bucket; a clash only costs time."""
+    return (key >> np.uint64(24)).astype(np.int64)
+
+
+def pair_number(doc: np.ndarray, short: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mix(doc.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + short.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+
+
+def by_bucket(key: np.ndarray, n: int, *order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    to = (key % np.uint64(n)).astype(np.int64)
+    rows = np.lexsort((*order[::-1], to))
+    cut = np.searchsorted(to[rows], np.arange(n + 1))
+    for b in range(n):
+        if cut[b + 1] > cut[b]:
+            yield b, rows[cut[b] : cut[b + 1]]
+
+
+def key_rows(ids: np.ndarray, texts: list[bytes], grain: Grain, n: int) -> Iterator[pd.DataFrame]:
+    """SENT rows of a batch for the first round: documents and short keys of their anchors, for each bucket, and settled spans."""
+    c, _, (doc, lo, hi) = gather(ids, texts, grain)
+    if len(doc):
+        yield span_rows(doc, lo, hi, n)
+    if c is not None:
+        short = short_key(c["key"])
+        rows = [(b, KEYS, pack([c["doc"][r], short[r]])) for b, r in by_bucket(c["key"], n, c["doc"], short)]
+        yield pd.DataFrame(rows, columns=["task", "kind", "data"])
+
+
+def shared_keys(blobs: list[bytes], n: int) -> pd.DataFrame:
+    """SENT rows: of the documents that share an anchor with another one, the documents and short keys, by bucket of documents."""
+    parts = [unpack(b)[0] for b in blobs]
+    doc, short = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    order = np.lexsort((doc, short))
+    doc, short = doc[order], short[order]
+    fresh = np.append(True, short[1:] != short[:-1])
+    begins = np.flatnonzero(fresh)
+    several = (doc[begins] != doc[np.append(begins[1:], len(doc)) - 1])[np.cumsum(fresh) - 1]
+    doc, short = doc[several], short[several]
+    to = document_bucket(doc, n)
+    order = np.lexsort((short, doc, to))
+    doc, short, to = doc[order], short[order], to[order]
+    at = np.unique(to)
+    cuts = np.searchsorted(to, at), np.searchsorted(to, at, side="right")
+    return pd.DataFrame({"task": at, "kind": KEYS, "data": [pack([doc[i:j], short[i:j]]) for i, j in zip(*cuts, strict=True)]})
+
+
+def context_rows(ids: np.ndarray, texts: list[bytes], keys: list[bytes], grain: Grain, n: int) -> Iterator[pd.DataFrame]:
+    """SENT rows of a bucket of documents for the second round: the contexts of their shared anchors, and settled spans."""
+    parts = [unpack(b)[0] for b in keys]
+    doc, short = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    has = np.isin(ids, doc)
+    c, data, (done, lo, hi) = gather(ids[has], [t for t, ok in zip(texts, has, strict=True) if ok], grain, np.unique(pair_number(doc, short)))
+    if len(done):
+        yield span_rows(done, lo, hi, n)
+    if c is not None and len(c["doc"]):
+        text = np.frombuffer(data, dtype=np.uint8)
+        where, length = c["lo"] - c["start"], c["hi"] - c["lo"]
+        rows = [
+            (b, CONTEXTS, pack([c["doc"][r], where[r], length[r], (c["anchor"] - c["lo"])[r]], text[ragged(c["lo"][r], length[r])].tobytes()))
+            for b, r in by_bucket(c["key"], n, c["doc"], where)
+        ]
+        yield pd.DataFrame(rows, columns=["task", "kind", "data"])
 
 
 def maximal_repeats(lcp: np.ndarray, left: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -252,10 +328,9 @@ def bucket_repeats(blobs: list[bytes], grain: Grain) -> tuple[dict[str, np.ndarr
     contexts: doc, where (of the context in the document), length, same (number of the distinct context), least (least doc of it).
     groups: (length, distinct contexts, places in them) of each maximal repeat: all its occurrences.
     """
-    parts = [unpack_bucket(b) for b in blobs]
-    doc, where, length, anchor = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    text = np.concatenate([p[4] for p in parts])
-    length, anchor = length.astype(np.int64), anchor.astype(np.int64)
+    parts = [unpack(b) for b in blobs]
+    doc, where, length, anchor = (np.concatenate([p[0][i] for p in parts]) for i in range(4))
+    text = np.concatenate([p[1] for p in parts])
     start = np.cumsum(length) - length
     none: dict[str, np.ndarray] = {k: np.zeros(0, dtype=np.int64) for k in ("doc", "where", "length", "same", "least")}
     gram = gram_hashes(text, grain.anchor)[start + anchor]
@@ -351,62 +426,73 @@ def bucket_spans(blobs: list[bytes], grain: Grain) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(docs), np.concatenate(los), np.concatenate(his)
 
 
-def repeated_spans(docs: DataFrame, grain: Grain, batch_bytes: int = 24 << 20, bucket_bytes: int = 24 << 20) -> DataFrame:
-    """doc_id, spans (packed int pairs, one value a source): bytes of documents that smaller documents have in repeats of grain.least or more."""
+def repeated_spans(docs: DataFrame, grain: Grain, batch_bytes: int = 12 << 20, bucket_bytes: int = 5 << 20) -> tuple[DataFrame, int]:
+    """task, data: packed spans of bytes that smaller documents have in repeats of grain.least or more, by bucket of documents; number of buckets.
+
+    Two rounds. The first sends 40 bits for each anchor to the anchor's bucket and learns which ones two documents share. The second sends
+    the contexts of those alone and works on their suffixes. Buckets grow in number with the input, not in size.
+    """
     with_package(docs.sparkSession)
-    rows = docs.where("doc_id is not null").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
-    n_buckets = max(1, -(-total * 4 // bucket_bytes))  # contexts overlap: about four bytes for one
+    rows = docs.select("doc_id", "text")
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    n = max(1, total // bucket_bytes) | 1
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def send_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids: list[int] = []
         texts: list[bytes] = []
         size = 0
         for batch in batches:
-            for doc, data in zip(batch["doc_id"].tolist(), batch["data"], strict=True):
-                ids.append(doc), texts.append(bytes(data))
-                size += len(data)
+            for doc, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
+                ids.append(doc), texts.append(text.encode())
+                size += len(texts[-1])
                 if size >= batch_bytes:
-                    yield from batch_rows(np.array(ids, dtype=np.int64), texts, grain, n_buckets)
+                    yield from key_rows(np.array(ids, dtype=np.int64), texts, grain, n)
                     ids, texts, size = [], [], 0
         if ids:
-            yield from batch_rows(np.array(ids, dtype=np.int64), texts, grain, n_buckets)
+            yield from key_rows(np.array(ids, dtype=np.int64), texts, grain, n)
+
+    def first_round(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return shared_keys(frame["data"].tolist(), n) if key[0] == KEYS else frame
 
-    def settle(frame: pd.DataFrame) -> pd.DataFrame:
-        here = frame["bucket"] >= 0
-        out = [frame.loc[~here, ["doc_id", "data"]]]
-        if here.any():
-            doc, lo, hi = bucket_spans(frame.loc[here, "data"].tolist(), grain)
-            out.append(spans_frame(0, doc, lo, hi)[["doc_id", "data"]])
-        return pd.concat(out)
+    keyed = rows.where("doc_id is not null and text is not null").mapInPandas(send_keys, SENT)
+    first = materialize(keyed.groupBy("kind", "task").applyInPandas(lambda k, f: first_round(k, f), SENT))
 
-    def nullable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in send(batches):
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+    def send_contexts(docs: pa.Table, keys: pa.Table) -> pa.Table:
+        frames = []
+        if len(keys) and len(docs):
+            ids, texts = docs["doc_id"].to_numpy(), [t.encode() for t in docs["text"].to_pylist()]
+            frames = list(context_rows(ids, texts, keys["data"].to_pylist(), grain, n))
+        frame = pd.concat(frames) if frames else pd.DataFrame({"task": [], "kind": [], "data": []})
+        return pa.table({"task": pa.array(frame["task"], pa.int64()), "kind": pa.array(frame["kind"], pa.int32()), "data": pa.array(frame["data"], pa.binary())})
 
-    sent = rows.mapInPandas(nullable, ROWS)
-    # Spans settled in the batches pass through, dealt by document so that they gather nowhere.
-    task = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets))).otherwise(F.col("bucket"))
-    return sent.withColumn("task", task).groupBy("task").applyInPandas(lambda f: settle(f), "doc_id long, data binary")
+    def second_round(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return span_rows(*bucket_spans(frame["data"].tolist(), grain), n) if key[0] == CONTEXTS else frame
 
+    placed = rows.where("doc_id is not null and text is not null").withColumn("task", document_bucket_column(n))
+    sent = placed.groupBy("task").cogroup(first.where(F.col("kind") == KEYS).groupBy("task")).applyInArrow(send_contexts, SENT)
+    second = sent.groupBy("kind", "task").applyInPandas(lambda k, f: second_round(k, f), SENT)
+    spans = first.where(F.col("kind") == SPANS).unionByName(second)
+    return materialize(spans.select("task", "data")), n
 
-def _without(data: bytes, spans) -> tuple[bytes, int, int]:
+
+def _without(data: bytes, pairs: np.ndarray) -> tuple[bytes, int, int]:
     """What is left of data, the number of bytes removed, and of maximal runs."""
-    if spans is None or not len(spans):
-        return bytes(data), 0, 0
-    pairs = np.concatenate([np.frombuffer(s, dtype="<i4").reshape(-1, 2) for s in spans])
     pairs = merge(np.minimum(pairs, len(data)))
     pairs = pairs[pairs[:, 1] > pairs[:, 0]]
     edges = [0, *pairs.ravel().tolist(), len(data)]
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), int((pairs[:, 1] - pairs[:, 0]).sum()), len(pairs)
 
 
-def _with_spans(docs: DataFrame, grain: Grain) -> DataFrame:
-    """docs with _spans and _data (bytes). Spans are one row a document before the join; texts are shuffled once."""
-    with_package(docs.sparkSession)
-    spans = materialize(repeated_spans(docs, grain))
-    spans = spans.groupBy("doc_id").agg(F.collect_list("data").alias("_spans")).withColumnRenamed("doc_id", "_id")
-    return docs.withColumn("_data", F.encode(F.coalesce("text", F.lit("")), "UTF-8")).join(spans.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+def _cut(docs: pa.Table, spans: pa.Table) -> Iterator[tuple[bytes, int, int] | None]:
+    """Of each document what _without() says; None if nothing is cut."""
+    parts = [unpack(b)[0] for b in spans["data"].to_pylist()] if len(spans) else []
+    if parts:
+        doc, lo, hi = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.argsort(doc, kind="stable")
+        doc, pairs = doc[order], np.stack([lo[order], hi[order]], axis=1)
+    for d, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), strict=True):
+        i, j = (np.searchsorted(doc, d), np.searchsorted(doc, d, side="right")) if parts and d is not None else (0, 0)
+        yield _without(text.encode(), pairs[i:j]) if j > i and text else None
 
 
 def dedup(docs: DataFrame, grain: Grain = Grain()) -> DataFrame:
@@ -418,24 +504,32 @@ def dedup(docs: DataFrame, grain: Grain = Grain()) -> DataFrame:
     found in one is cut from each at the same places. Texts shorter than grain.least stay whole. An empty table gives no rows.
     Other columns are ignored.
     """
+    rows = docs.select("doc_id", "text")
+    spans, n = repeated_spans(rows, grain)
 
-    def digest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for data, spans in batches:
-            rows = [(n, runs, hashlib.sha256(kept).hexdigest()) for kept, n, runs in map(_without, data, spans)]
-            yield pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_sha256"])
+    def digest(docs: pa.Table, spans: pa.Table) -> pa.Table:
+        out = []
+        for text, cut in zip(docs["text"].to_pylist(), _cut(docs, spans), strict=True):
+            data = (text or "").encode()
+            kept, removed, runs = cut or (data, 0, 0)
+            out.append((len(data), removed, runs, hashlib.sha256(kept).hexdigest()))
+        columns = list(zip(*out, strict=True)) or [[], [], [], []]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        return pa.table([docs["doc_id"].cast(pa.int64()), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = _with_spans(docs.select("doc_id", "text"), grain)
-    cut = F.pandas_udf(digest, "n_removed long, n_spans long, kept_sha256 string")("_data", "_spans").alias("r")
-    return rows.select("doc_id", F.octet_length("_data").cast("long").alias("n_bytes"), cut).select("doc_id", "n_bytes", "r.*")
+    placed = rows.withColumn("task", document_bucket_column(n))
+    return placed.groupBy("task").cogroup(spans.groupBy("task")).applyInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, grain: Grain = Grain()) -> DataFrame:
     """docs, all columns, each text cut as dedup() says. Where a cut splits a character, its bytes that are left go too."""
+    spans, n = repeated_spans(docs, grain)
+    names = docs.columns
 
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for data, spans in batches:
-            yield pd.Series([_without(d, s)[0].decode("utf-8", "ignore") for d, s in zip(data, spans, strict=True)], dtype=object)
+    def cut(docs: pa.Table, spans: pa.Table) -> pa.Table:
+        old = docs["text"].to_pylist()
+        new = [text if c is None else c[0].decode("utf-8", "ignore") for text, c in zip(old, _cut(docs, spans), strict=True)]
+        return docs.select(names).set_column(names.index("text"), "text", pa.array(new, pa.string()))
 
-    rows = _with_spans(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")), grain)
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.pandas_udf(cut, "string")("_data", "_spans"))
-    return rows.select(text.alias("_text"), "_row").select(*[F.col("_text").alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
+    placed = docs.withColumn("_task", document_bucket_column(n))
+    return placed.groupBy("_task").cogroup(spans.withColumnRenamed("task", "_task").groupBy("_task")).applyInArrow(cut, docs.schema)
