@@ -99,17 +99,17 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def empty_bins(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: int = 3) -> list[list[int]]:
+def empty_bins(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: int = 8) -> list[list[int]]:
     """Local search: moves and swaps between underfull bins, each raising the sum of squared fills, until bins empty.
 
     From the emptiest bin on, a document moves into the fullest bin with room, else is exchanged for a shorter one, two
     of them for a shorter one, or one for two shorter ones together. Each step fills the other bin closer to the
-    capacity and leaves less to place; the search ends when a round empties no bin.
+    capacity and leaves less to place; the search ends when a round finds no step.
     """
     bins = [list(b) for b in bins]
     fill = np.array([sum(int(lengths[i]) for i in b) for b in bins], dtype=np.int64)
     for _ in range(rounds):
-        before = int((fill > 0).sum())
+        steps = 0
         for b in np.argsort(fill, kind="stable").tolist():
             if not 0 < fill[b] < capacity:
                 continue
@@ -126,7 +126,8 @@ def empty_bins(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds
                 bins[c] = [i for i in bins[c] if i not in take] + give
                 fill[b] -= gain
                 fill[c] += gain
-        if int((fill > 0).sum()) == before:
+                steps += 1
+        if not steps:
             break
     return [b for b in bins if b]
 

@@ -526,10 +526,11 @@ def cut_repeats(docs: DataFrame, grain: Grain = Grain()) -> DataFrame:
     spans, n = repeated_spans(docs, grain)
     names = docs.columns
 
-    def cut(docs: pa.Table, spans: pa.Table) -> pa.Table:
+    def cut(rows: pa.Table, spans: pa.Table) -> pa.Table:
+        docs = pa.Table.from_struct_array(rows["_row"])
         old = docs["text"].to_pylist()
         new = [text if c is None else c[0].decode("utf-8", "ignore") for text, c in zip(old, _cut(docs, spans), strict=True)]
-        return docs.select(names).set_column(names.index("text"), "text", pa.array(new, pa.string()))
+        return docs.set_column(names.index("text"), "text", pa.array(new, pa.string()))
 
-    placed = docs.withColumn("_task", document_bucket_column(n))
-    return placed.groupBy("_task").cogroup(spans.withColumnRenamed("task", "_task").groupBy("_task")).applyInArrow(cut, docs.schema)
+    placed = docs.select(document_bucket_column(n).alias("_bucket"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    return placed.groupBy("_bucket").cogroup(spans.withColumnRenamed("task", "_bucket").groupBy("_bucket")).applyInArrow(cut, docs.schema)
