@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -174,7 +175,7 @@ def merge(pairs: np.ndarray) -> np.ndarray:
     return np.stack([pairs[begins, 0], reach[np.append(begins[1:], len(pairs)) - 1]], axis=1).astype(pairs.dtype)
 
 
-def gather(ids: np.ndarray, texts: list[bytes], grain: Grain, wanted: np.ndarray | None = None, chunk: int = 1 << 20):
+def gather(ids: np.ndarray, texts: list[bytes], grain: Grain, wanted: np.ndarray | None = None, chunk: int = 1 << 18):
     """Contexts of a batch of documents (contexts()' columns and start, the document's place in data; doc: its id), their bytes, and the spans
     settled here (doc, lo, hi).
 
@@ -426,7 +427,7 @@ def bucket_spans(blobs: list[bytes], grain: Grain) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(docs), np.concatenate(los), np.concatenate(his)
 
 
-def repeated_spans(docs: DataFrame, grain: Grain, batch_bytes: int = 12 << 20, bucket_bytes: int = 5 << 20) -> tuple[DataFrame, int]:
+def repeated_spans(docs: DataFrame, grain: Grain, batch_bytes: int = 8 << 20, bucket_bytes: int = 5 << 20) -> tuple[DataFrame, int]:
     """task, data: packed spans of bytes that smaller documents have in repeats of grain.least or more, by bucket of documents; number of buckets.
 
     Two rounds. The first sends 40 bits for each anchor to the anchor's bucket and learns which ones two documents share. The second sends
@@ -437,29 +438,35 @@ def repeated_spans(docs: DataFrame, grain: Grain, batch_bytes: int = 12 << 20, b
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     n = max(1, total // bucket_bytes) | 1
 
-    def send_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def send_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         texts: list[bytes] = []
         size = 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for frame in key_rows(np.array(ids, dtype=np.int64), texts, grain, n):
+                yield pa.RecordBatch.from_arrays([pa.array(frame["task"], pa.int64()), pa.array(frame["kind"], pa.int32()), pa.array(frame["data"], pa.binary())], ["task", "kind", "data"])
+
         for batch in batches:
-            for doc, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
-                ids.append(doc), texts.append(text.encode())
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):  # one row at a time: a batch's texts are not copied as a whole
+                ids.append(doc.as_py()), texts.append(text.as_buffer().to_pybytes())
                 size += len(texts[-1])
                 if size >= batch_bytes:
-                    yield from key_rows(np.array(ids, dtype=np.int64), texts, grain, n)
+                    yield from sent()
                     ids, texts, size = [], [], 0
         if ids:
-            yield from key_rows(np.array(ids, dtype=np.int64), texts, grain, n)
+            yield from sent()
 
     def first_round(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return shared_keys(frame["data"].tolist(), n) if key[0] == KEYS else frame
 
-    keyed = rows.where("doc_id is not null and text is not null").mapInPandas(send_keys, SENT)
+    keyed = rows.where("doc_id is not null and text is not null").mapInArrow(send_keys, SENT)
     first = materialize(keyed.groupBy("kind", "task").applyInPandas(lambda k, f: first_round(k, f), SENT))
 
     def send_contexts(docs: pa.Table, keys: pa.Table) -> pa.Table:
         frames = []
         if len(keys) and len(docs):
+            docs = docs.filter(pa.compute.and_(docs["doc_id"].is_valid(), docs["text"].is_valid()))
             ids, texts = docs["doc_id"].to_numpy(), [t.encode() for t in docs["text"].to_pylist()]
             frames = list(context_rows(ids, texts, keys["data"].to_pylist(), grain, n))
         frame = pd.concat(frames) if frames else pd.DataFrame({"task": [], "kind": [], "data": []})
@@ -468,11 +475,16 @@ def repeated_spans(docs: DataFrame, grain: Grain, batch_bytes: int = 12 << 20, b
     def second_round(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return span_rows(*bucket_spans(frame["data"].tolist(), grain), n) if key[0] == CONTEXTS else frame
 
-    placed = rows.where("doc_id is not null and text is not null").withColumn("task", document_bucket_column(n))
+    placed = place(rows, n)
     sent = placed.groupBy("task").cogroup(first.where(F.col("kind") == KEYS).groupBy("task")).applyInArrow(send_contexts, SENT)
     second = sent.groupBy("kind", "task").applyInPandas(lambda k, f: second_round(k, f), SENT)
     spans = first.where(F.col("kind") == SPANS).unionByName(second)
-    return materialize(spans.select("task", "data")), n
+    return spans.select("task", "data"), n
+
+
+def place(docs: DataFrame, n: int) -> DataFrame:
+    """docs with their bucket. Both uses in dedup() have this same plan, so that Spark shuffles the texts once and reads them twice."""
+    return docs.select("doc_id", "text", document_bucket_column(n).alias("task"))
 
 
 def _without(data: bytes, pairs: np.ndarray) -> tuple[bytes, int, int]:
@@ -517,8 +529,7 @@ def dedup(docs: DataFrame, grain: Grain = Grain()) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
         return pa.table([docs["doc_id"].cast(pa.int64()), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    placed = rows.withColumn("task", document_bucket_column(n))
-    return placed.groupBy("task").cogroup(spans.groupBy("task")).applyInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return place(rows, n).groupBy("task").cogroup(spans.groupBy("task")).applyInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, grain: Grain = Grain()) -> DataFrame:
