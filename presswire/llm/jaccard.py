@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswire.llm.common import materialize, with_package
-from presswire.llm.graph import blocks, components
+from presswire.llm.graph import blocks, components, sized
 
 POSITIONS = 128  # MinHash positions: the tokens of a set in the join's tree
 
@@ -209,14 +209,12 @@ def candidates(sets: DataFrame, roots: list[tuple[int, int]], batch_runs: int, b
         nodes = root_nodes(sets, roots, range(batch * batch_runs, (batch + 1) * batch_runs))
         for level in range(1, levels + 1):
             nodes = materialize(nodes)
-            sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-            shared = nodes.join(sizes, "node")
+            shared = materialize(sized(nodes.withColumnRenamed("node", "component")).where("members > 1"))
             last = level == levels
-            ready = shared if last else shared.where(F.col("n") <= small)
-            dealt = blocks(ready.withColumnRenamed("node", "component").drop("n"), small, 2000)
+            dealt = blocks(shared if last else shared.where(F.col("members") <= small), small, 2000)
             found = likely(dealt.join(sets.select("id", "sketch"), "id"), floor)
             edges = materialize(found if edges is None else edges.unionByName(found))
-            large = shared.where(F.col("n") > small)
+            large = shared.where(F.col("members") > small).withColumnRenamed("component", "node")
             if last or large.isEmpty():
                 break
             nodes = split_nodes(large.join(sets.select("id", "sketch"), "id"), level, threshold, seed)
@@ -305,7 +303,7 @@ def join_documents(
     sets = materialize(sets)
     edges = candidates(sets, roots, batch_runs, batches, threshold, small, levels, target, seed, floor)
     groups = components(edges)
-    plan = blocks(groups.join(sets.select("id", "rep", "copies"), "id"), small, 256)
+    plan = blocks(materialize(sized(groups)).join(sets.select("id", "rep", "copies"), "id"), small, 256)
     texts = docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
     found = materialize(verify(texts.join(plan.hint("shuffle_hash"), "rep"), threshold, width))
     linked = components(found.where("other <> -1").select(F.col("id").alias("a"), F.col("other").alias("b")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from presswire.llm.common import materialize, with_package
-from presswire.llm.graph import blocks, components
+from presswire.llm.graph import blocks, components, sized
 from presswire.llm.jaccard import segments, spanning
 from presswire.llm.topk import usable
 
@@ -66,11 +66,12 @@ def start_lists(nodes: DataFrame, k: int, leaf: int, rounds: int, threshold: flo
                 bits = (u @ planes > 0).astype(np.int64)
                 use = np.ceil(np.log2(np.maximum(batch["n"].to_numpy() / leaf, 1))).astype(np.int64)
                 code = (bits * (np.arange(40)[None, :] < use[:, None])) @ (1 << np.arange(40))
-                yield pd.DataFrame({"id": batch["id"], "label": batch["label"], "round": r, "code": code, "vector": batch["vector"]})
+                yield pd.DataFrame({"id": batch["id"], "label": batch["label"], "round": r, "code": code})
 
-    cells = nodes.join(sizes, "label").mapInPandas(sides, "id long, label long, round int, code long, vector array<double>")
-    full = cells.groupBy("label", "round", "code").agg(F.count(F.lit(1)).alias("cell_rows"))
-    cells = cells.join(full, ["label", "round", "code"]).withColumn("slice", F.pmod(F.xxhash64(F.col("round") + seed, "id"), F.ceil(F.col("cell_rows") / (2 * leaf))))
+    # Cells are found and cut to slices without vectors; the written counts let a hot cell's join be split.
+    cells = materialize(nodes.join(sizes, "label").mapInPandas(sides, "id long, label long, round int, code long"))
+    full = materialize(cells.groupBy("label", "round", "code").agg(F.count(F.lit(1)).alias("cell_rows")))
+    cells = cells.join(full, ["label", "round", "code"]).withColumn("slice", F.pmod(F.xxhash64(F.col("round") + seed, "id"), F.ceil(F.col("cell_rows") / (2 * leaf)))).join(nodes.select("id", "vector"), "id")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         u, ids = _matrix(frame["vector"]), frame["id"].to_numpy()
@@ -99,7 +100,8 @@ def descend(nodes: DataFrame, lists: DataFrame, threshold: float, per_task: int,
     A node that is neighbour to very many has them dealt at random to parts of member_rows; each round deals anew.
     """
     both = lists.select(F.col("id").alias("at"), F.col("other").alias("id")).unionByName(lists.select(F.col("other").alias("at"), "id")).distinct()
-    degree = both.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    both = materialize(both)
+    degree = materialize(both.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))  # written, so that hubs can be split in the join
     room = lists.groupBy("id").agg(F.max("room").alias("room"))
     members = both.join(degree, "at").withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("n") / member_rows))).join(nodes.join(room, "id"), "id")
     task = F.pmod(F.xxhash64("at", "part"), F.lit(max(1, both.count() // per_task)))
@@ -119,7 +121,7 @@ def descend(nodes: DataFrame, lists: DataFrame, threshold: float, per_task: int,
 def count_links(nodes: DataFrame, groups: DataFrame, threshold: float, block_rows: int, bin_rows: int) -> DataFrame:
     """id, links: the list of a saturated node enlarged to its whole component, as counts: every two members are compared once,
     in pairs of blocks, and only sums leave a task."""
-    rows = blocks(groups.join(nodes.select("id", "copies"), "id"), block_rows, bin_rows).join(nodes.select("id", "vector"), "id")
+    rows = blocks(materialize(sized(groups)).join(nodes.select("id", "copies"), "id"), block_rows, bin_rows).join(nodes.select("id", "vector"), "id")
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["component", "side_a", "side_b", "id"], ignore_index=True)
