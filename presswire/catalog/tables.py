@@ -95,7 +95,10 @@ def performance_patch(spark, sf_dir):
     return store.patch(old, new, "story_id")
 
 
-ROLES = ["news_aggregator", "source_aggregator", "bias_classifier", "fact_extractor", "report_writer", "relevance_scorer", "profile_reader", "perspective_analyst", "source_critic", "editor"]
+# The agents' roles.
+ROLES = [
+    "profile_reader", "news_aggregator", "relevance_scorer", "story_parser", "source_aggregator", "bias_classifier", "fact_extractor", "rhetorical_analyst", "narrative_analyzer", "report_writer",
+]
 CONFIGS = [("fact_extractor", "xai", "grok/grok-2", True, "high"), ("bias_classifier", "gemini", "models/g", False, None), ("report_writer", "openai", "gpt-5", False, "low")]
 CONFIG_SCHEMA = "agent_name string, provider string, model string, free_tier boolean, reasoning_effort string"
 
