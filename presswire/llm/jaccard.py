@@ -311,7 +311,8 @@ def join_documents(
     least = linked.join(sets.select("id", "rep"), "id").groupBy("component").agg(F.min("rep").alias("component_id"))
     classes = sets.select("id", "rep", "copies").join(linked.join(least, "component").select("id", "component_id"), "id", "left").join(links, "id", "left")
     classes = classes.select(F.col("id").alias("set_a"), F.col("rep").alias("class_id"), F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = described.select("doc_id", "set_a", "n_shingles").join(classes, "set_a", "left")
+    # Classes are written first: the join with the documents is then one whose hot classes adaptive execution can split.
+    out = described.select("doc_id", "set_a", "n_shingles").join(materialize(classes), "set_a", "left")
     own = F.col("n_shingles") == 0
     return out.select(
         "doc_id",

@@ -199,8 +199,10 @@ def near_duplicates(
         log.info("links found %s of %s in the audit", have, there)
         if have >= target * there:
             break
+    groups = materialize(groups)
     least = groups.join(nodes.select("id", "rep"), "id").groupBy("component").agg(F.min("rep").alias("component_id"))
+    least = materialize(least)
     linked = nodes.select("id", "rep", "copies").join(groups.join(least, "component").select("id", "component_id"), "id", "left").join(counts, "id", "left")
     linked = linked.select(F.col("id").alias("key"), F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = base.select("vec_id", "key").join(linked, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = base.select("vec_id", "key").join(materialize(linked), "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
