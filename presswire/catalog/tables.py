@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from presswire import dims
 from presswire.operators import budget, store
 
+# The lines that open a prompt.
 HEAD = ["You are responding through an OpenAI-compatible local bridge.", "Answer the final user request using the conversation below."]
 MAX_PROMPT = 2000
 LIMIT = 100.0
