@@ -93,6 +93,32 @@ ORACLES: dict[str, str] = {
         select vec_id, (select count(*) from l where a = vec_id) as n_links, (select min(b) from r where a = vec_id) as component_id,
           vec_id = (select min(b) from r where a = vec_id) as kept
         from embeddings""",
+    "op5_suffix_array_dedup": """
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+        b as (select doc_id, 200 * i as base, substring(h, 400 * i + 1, 498) as h from (select doc_id, h, unnest(range(0, length(h) // 400 + 1)) as i from d) x),
+        w as (select doc_id, base + q as p, substring(h, 2 * q + 1, 100) as x from (select *, unnest(range(0, least(200, greatest(length(h) // 2 - 49, 0)))) as q from b) y),
+        m as (select x, min(doc_id) as least from w group by x),
+        s as (select doc_id, p, m.least from w join m on w.x = m.x),
+        c as (select doc_id, p, p > lag(p) over (partition by doc_id order by p) + 50 as gap from s where least < doc_id),
+        g as (select doc_id, p, sum(case when gap then 1 else 0 end) over (partition by doc_id order by p) as run from c),
+        r as (select doc_id, run, min(p) as lo, max(p) + 50 as hi from g group by 1, 2),
+        k as (select doc_id, lo, hi, coalesce(lag(hi) over (partition by doc_id order by lo), 0) as since from r),
+        t as (select d.doc_id, any_value(h) as h, count(lo) as n_spans, coalesce(sum(hi - lo), 0)::bigint as n_removed,
+          coalesce(string_agg(substring(h, 2 * since + 1, 2 * (lo - since)), '' order by lo), '') as head, coalesce(max(hi), 0) as last
+          from d left join k on d.doc_id = k.doc_id group by d.doc_id)
+        select doc_id, length(h) // 2 as n_bytes, n_removed, n_spans, sha256(unhex(head || substring(h, 2 * last + 1))) as kept_sha256 from t""",
+    "op9_ngram_jaccard": """
+        with recursive w as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\s\\xA0]+'), lambda x: x <> '') as ws from documents where doc_id is not null),
+        s as (select doc_id, case when len(ws) >= 5 then list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')))
+          when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as g from w),
+        e as (select doc_id, unnest(g) as x, len(g) as n from s),
+        p as (select a.doc_id as a, b.doc_id as b, count(*) as c, any_value(a.n) as na, any_value(b.n) as nb from e a join e b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2),
+        l as (select * from p where c >= 0.8 * (na + nb - c) - 1e-9),
+        r as (select doc_id as a, doc_id as b from s union select r.a, l.b from r join l on r.b = l.a)
+        select doc_id, least(doc_id, coalesce((select min(b) from l where a = doc_id and c = na and c = nb), doc_id)) as class_id,
+          (select min(b) from r where a = doc_id) as component_id, (select count(*) from l where a = doc_id) as n_links, len(g)::bigint as n_shingles,
+          doc_id = (select min(b) from r where a = doc_id) as kept
+        from s""",
     "op6_chat_formatting": """
         with rows as (
           select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
