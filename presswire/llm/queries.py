@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswire.llm import chat, jaccard, mixing, neighbours, packing, sharding, suffixes, topk, toxicity
+from presswire.llm import chat, jaccard, licences, mixing, neighbours, packing, sharding, suffixes, topk, toxicity
 from presswire.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.fit(docs)).select("doc_id", F.array_join("families", ",").alias("families"), F.size("families").alias("n_families"), "n_units", "n_unconfirmed", "spans")
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_toxicity": op2_toxicity,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
+    "op4_license_scan": op4_license_scan,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_mixing": op7_mixing,
