@@ -118,7 +118,7 @@ def samples(noise: list[list[str]], each: int, seed: int) -> tuple[list[list[str
     return out, np.array(label)
 
 
-def train(noise: list[list[str]], each: int = 150, steps: int = 200, l1: float = 2e-5, seed: int = 1) -> Classifier:
+def train(noise: list[list[str]], each: int = 150, steps: int = 200, l1: float = 2e-4, seed: int = 1) -> Classifier:
     """Multinomial logistic regression by proximal steps (L1, so that most weights are zero); a fourth of the samples sets the temperature.
 
     Features are the templates' n-grams, without those that one in 200 noise units holds.
