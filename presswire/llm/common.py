@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,14 +27,38 @@ def shared_dir(spark: SparkSession) -> str:
     return "/tmp/checkpoints/presswire"
 
 
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def written() -> Iterator[list[str]]:
+    """The paths of the tables that materialize() writes inside the block, in order."""
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield paths
+    finally:
+        _written.reset(token)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that no DataFrame in use reads any more."""
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back.
 
-    Unlike a local checkpoint the files outlive an executor. Parquet keeps them small and prunes columns later.
+    Unlike a local checkpoint the files outlive an executor. Parquet keeps them small and prunes columns later. The tables stay
+    until drop_tables() or the cluster's cleaning of the folder, since a returned DataFrame may read them at any time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (paths := _written.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from test_documents import brute_cut, brute_links
 
 from presswire.llm import toxicity
-from presswire.llm.common import materialize, table
+from presswire.llm.common import materialize, shared_dir, table
 
 
 @pytest.fixture(scope="module")
@@ -86,3 +87,10 @@ def test_packs_every_copy(stages, tokenizer):
 def test_run_equals_the_stages(spark, sf_dir, stages):
     key = lambda df: Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in df.collect())
     assert key(corpus_pipeline.run(spark, sf_dir)) == key(stages[5])
+
+
+def test_run_leaves_one_table(spark, sf_dir):
+    folder = Path(shared_dir(spark))
+    before = set(folder.iterdir())
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert len(set(folder.iterdir()) - before) == 1
