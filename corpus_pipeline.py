@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswire.llm import jaccard, mixing, packing, suffixes, toxicity
-from presswire.llm.common import materialize, table
+from presswire.llm.common import drop_tables, materialize, table, written
 from presswire.llm.queries import tokenizer_path
 
 
@@ -50,8 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written as Parquet and read again as the next one's input."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each is written as Parquet and read again as the next one's input, then what it read is dropped."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with written() as paths:
+            docs = materialize(stage(spark, docs, sf_dir))
+        drop_tables(spark, [*before, *paths[:-1]])
+        before = paths[-1:]
     return docs
