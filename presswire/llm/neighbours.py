@@ -31,13 +31,11 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return out / np.sqrt((out**2).sum(axis=1, keepdims=True))
 
 
-def _nearest(ids: np.ndarray, u: np.ndarray, room: np.ndarray, threshold: float, allowed: np.ndarray | None = None) -> pd.DataFrame:
+def _nearest(ids: np.ndarray, u: np.ndarray, room: np.ndarray, threshold: float) -> pd.DataFrame:
     """Of rows that are compared with one another: each one's nearest (as many as its list has room for) and, room 0, links
     that span the groups linked among them, so that no link found is lost with a full list."""
     sim = u @ u.T
     np.fill_diagonal(sim, -np.inf)
-    if allowed is not None:
-        sim = np.where(allowed, sim, -np.inf)
     k = min(int(room.max(initial=1)), len(ids) - 1)
     best = np.argpartition(-sim, k - 1, axis=1)[:, :k]
     value = np.take_along_axis(sim, best, axis=1)

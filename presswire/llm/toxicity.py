@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -194,12 +195,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, max_features
     def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc, text, toxic in zip(batch["doc_id"], batch["text"], batch["toxic"], strict=True):
+            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 tokens = text.lower().split()
                 if not tokens:
                     continue
                 found = [i for i, w in enumerate(tokens) if tagger.listed(w)]
-                rng = np.random.default_rng(abs(int(doc)))
+                rng = np.random.default_rng(zlib.crc32(text.encode()))
                 centres = [*rng.permutation(found)[: max(1, each)], *rng.integers(len(tokens), size=1)]
                 for c in centres:
                     part = tokens[max(0, int(c) - width // 2) :][:width]
