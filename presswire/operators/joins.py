@@ -54,7 +54,7 @@ def similar_seed(seeds: DataFrame, items: DataFrame, least: float = 0.45) -> Dat
 
     By an equi-join on tokens: pairs without a common token are never made.
     """
-    slug = F.array_distinct(F.array_except(text.tokens(F.regexp_replace(urls.path(F.col("url")), "[-_/]", " ")), F.array().cast("array<string>")))
+    slug = text.tokens(urls.path(F.col("url")))
     hint = text.tokens(F.coalesce("title_hint", F.lit("")))
     left = seeds.select("seed_id", slug.alias("slug"), hint.alias("hint"))
     parts = left.select("seed_id", F.explode(F.array_union("slug", "hint")).alias("token"), "slug", "hint")
