@@ -62,8 +62,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_package(spark: SparkSession) -> None:
-    """Let local Python workers import this package when only sys.path of the driver has it (clusters use --py-files)."""
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def with_package(spark: SparkSession, rows: int = 2000) -> None:
+    """Ready the session for Python stages.
+
+    Local Python workers can import this package even when only the driver's sys.path has it (clusters use --py-files). A batch for
+    a worker has at most `rows` rows: it is held several times over, by the executor and by the worker, and texts are long.
+    """
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= rows:
+        spark.conf.set(ARROW_ROWS, rows)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
