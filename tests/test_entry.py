@@ -1,10 +1,11 @@
 """The engine without the corpus operators: folders and pipeline removed."""
 
+import os
 import shutil
 import subprocess
 import sys
 
-from conftest import ROOT
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def test_entry_imports_without_the_corpus_operators(tmp_path):
