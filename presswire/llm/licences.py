@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,7 +41,8 @@ TEMPLATES = {
 }
 FAMILIES = [*TEMPLATES, "unknown"]
 UNKNOWN = len(TEMPLATES)
-UNIT, SHIFT = 48, 24  # words of a unit; long lines are cut twice, so that any 24 words stand whole in a unit
+UNIT, SHIFT = 48, 16  # words of a unit; long paragraphs are cut three times, so that any 33 words (a template has 29 at most) stand whole in a unit
+LEADERS = {"dnl", "rem"}  # words that open comment lines; leaders of punctuation alone have no letters and so are no words
 RESULT = "families array<string>, n_units int, spans array<struct<start:int,end:int,family:string,p:double>>, n_unconfirmed int"
 
 
@@ -81,11 +83,23 @@ def template_share(words: list[str], family: str) -> float:
     return best
 
 
-def units(words: list[str]) -> list[tuple[int, int]]:
-    """Ranges of words that are judged: a line, or for long lines two cuts that overlap by half."""
-    if len(words) <= UNIT:
-        return [(0, len(words))] if words else []
-    return [(i, min(i + UNIT, len(words))) for start in (0, SHIFT) for i in range(start, len(words), UNIT)]
+def units(n: int) -> list[tuple[int, int]]:
+    """Ranges of a paragraph's n words that are judged: all of it, or cuts that overlap if it is long."""
+    if n <= UNIT:
+        return [(0, n)] if n else []
+    return [(i, min(i + UNIT, n)) for start in range(0, UNIT, SHIFT) for i in range(start, n, UNIT)]
+
+
+def paragraphs(text: str) -> list[list[str]]:
+    """The normal words of consecutive lines that have any; comment leaders are skipped."""
+    out: list[list[str]] = [[]]
+    for line in text.split("\n"):
+        words = [w for x in line.split() if (w := normal(x))]
+        words = words[1:] if words and words[0] in LEADERS else words
+        out[-1].extend(words)
+        if not words and out[-1]:
+            out.append([])
+    return out if out[-1] else out[:-1]
 
 
 def samples(noise: list[list[str]], each: int, seed: int) -> tuple[list[list[str]], np.ndarray]:
@@ -162,9 +176,9 @@ def train(noise: list[list[str]], each: int = 150, steps: int = 200, l1: float =
 
 
 def fit(docs: DataFrame, fit_rows: int = 1_000, fit_units: int = 3_000) -> Classifier:
-    """A classifier whose unknown class is learned from at most fit_units lines of fit_rows documents (those of least hash of doc_id).
+    """A classifier whose unknown class is learned from at most fit_units units of fit_rows documents (those of least hash of doc_id).
 
-    Lines that hold most of a template are left out of the unknown class. Only these lines reach the driver.
+    Units with two known pairs of words are left out of the unknown class. Only these units reach the driver.
     """
     with_package(docs.sparkSession)
     known = {(a, b) for ts in TEMPLATES.values() for t in ts for a, b in zip(t.split(), t.split()[1:], strict=False)}
@@ -173,11 +187,10 @@ def fit(docs: DataFrame, fit_rows: int = 1_000, fit_units: int = 3_000) -> Class
         for batch in batches:
             out = []
             for text in batch["text"]:
-                rows = [w for line in text.split("\n") if (w := [normal(x) for x in line.split()])]
-                for words in rows[:: max(1, len(rows) // 4)]:
-                    for lo, hi in units(words)[:2]:
-                        if sum(p in known for p in zip(words[lo:hi], words[lo + 1 : hi], strict=False)) < 2:
-                            out.append(" ".join(w for w in words[lo:hi] if w))
+                rows = [(words, lo, hi) for words in paragraphs(text) for lo, hi in units(len(words))]
+                for words, lo, hi in rows[:: max(1, len(rows) // 4)]:
+                    if sum(p in known for p in zip(words[lo:hi], words[lo + 1 : hi], strict=False)) < 2:
+                        out.append(" ".join(words[lo:hi]))
             yield pd.DataFrame({"line": out})
 
     few = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
@@ -193,21 +206,30 @@ def scan_texts(texts: list[str], model: Classifier, confirm: float = 0.75) -> li
     lines = [[line.split() for line in t.split("\n")] for t in texts]
     flat = [w for ls in lines for ws in ls for w in ws]
     out: list[tuple[list[str], int, list[dict], int]] = []
+    kept, first = np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
     if flat:
         codes, unique = pd.factorize(np.array(flat, dtype=object))
-        starts = np.array([normal(w) in grams_of for w in unique])
-        first = starts[codes]
+        plain = [normal(w) for w in unique]
+        kept = np.array([bool(w) for w in plain])[codes]
+        first = np.array([w in grams_of for w in plain])[codes]
     at = 0
     for t, ls in zip(texts, lines, strict=True):
         found, n_units, unconfirmed, begin = [], 0, 0, at
-        for raw in ls:
-            n_units += len(raw) and len(units(raw))
-            n = len(raw)
-            if n and first[at : at + n].any():
-                words = [normal(w) for w in raw]
-                hits = [(k, len(g), i) for k in np.flatnonzero(first[at : at + n]).tolist() for g, i in grams_of[words[k]] if words[k : k + len(g)] == g]
-                for lo, hi in units(words) if hits else ():
-                    own = {i for k, size, i in hits if lo <= k and k + size <= hi}
+        opened = None  # the paragraph's first word
+        for raw in [*ls, []]:
+            if raw and plain[codes[at]] in LEADERS:
+                kept[at] = first[at] = False
+            if kept[at : at + len(raw)].any():
+                opened = at if opened is None else opened
+            elif opened is not None:
+                place = opened + np.flatnonzero(kept[opened:at])
+                opened, n_units = None, n_units + len(units(len(place)))
+                starts = np.flatnonzero(first[place])
+                words = [plain[c] for c in codes[place]] if len(starts) else []
+                hits = [(k, len(g), i) for k in starts.tolist() for g, i in grams_of[words[k]] if words[k : k + len(g)] == g]
+                begins = [k for k, _, _ in hits]
+                for lo, hi in units(len(words)) if hits else ():
+                    own = {i for k, size, i in hits[bisect_left(begins, lo) : bisect_left(begins, hi)] if k + size <= hi}
                     if not own:
                         continue
                     p = model.probabilities((model.bias + model.weights[sorted(own)].sum(axis=0))[None, :])[0]
@@ -215,20 +237,20 @@ def scan_texts(texts: list[str], model: Classifier, confirm: float = 0.75) -> li
                     if best == UNKNOWN or p[best] < model.least:
                         continue
                     if template_share(words[lo:hi], FAMILIES[best]) >= confirm:
-                        found.append((at - begin + lo, at - begin + hi, FAMILIES[best], float(p[best])))
+                        found.append((int(place[lo]) - begin, int(place[hi - 1]) + 1 - begin, FAMILIES[best], float(p[best])))
                     else:
                         unconfirmed += 1
-            at += n
+            at += len(raw)
         spans = []
         if found:
-            place = [m.span() for m in re.finditer(r"\S+", t)]
-            spans = [{"start": place[lo][0], "end": place[hi - 1][1], "family": f, "p": p} for lo, hi, f, p in found if hi <= len(place)]
+            chars = [m.span() for m in re.finditer(r"\S+", t)]
+            spans = [{"start": chars[lo][0], "end": chars[hi - 1][1], "family": f, "p": p} for lo, hi, f, p in found if hi <= len(chars)]
         out.append((sorted({f for _, _, f, _ in found}), n_units, spans, unconfirmed))
     return out
 
 
 def scan(docs: DataFrame, model: Classifier, confirm: float = 0.75) -> DataFrame:
-    """doc_id, families (sorted), n_units (lines and cuts judged), spans of units with family and calibrated probability, n_unconfirmed.
+    """doc_id, families (sorted), n_units (paragraphs and cuts judged), spans of units with family and calibrated probability, n_unconfirmed.
 
     Whole texts are read; a family is reported only if a template of it confirms the prediction. No shuffle. Null and empty
     texts have no units; null doc_ids and repeated rows are rows like others; other columns are ignored; an empty table gives no rows.

@@ -62,3 +62,22 @@ def test_odd_input(odd_docs, no_docs):
     assert len(got) == odd_docs.count() and all(r["families"] == [] for r in got)
     assert {r["doc_id"]: r["n_units"] for r in got if r["doc_id"] in (1, 2, 8)} == {1: 0, 2: 0, 8: 0}
     assert licences.scan(no_docs, licences.fit(no_docs)).count() == 0
+
+
+WRAPPED = {
+    "MIT": 'Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles (the "Software"), to deal in the Software without restriction,\nincluding without limitation the rights to use, copy, modify, merge,',
+    "BSD": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:\n *",
+    "GPL-3.0": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.",
+}
+
+
+@pytest.mark.parametrize("family", sorted(WRAPPED))
+@pytest.mark.parametrize("before", [0, 7, 23, 31, 40, 100])
+def test_hard_wrapped_notices(model, family, before):
+    pad = "\n".join(f"word{i}" for i in range(before))
+    got = licences.scan_texts([f"Head\n\n{pad}\n{WRAPPED[family]}\n\nint main;"], model)[0]
+    assert got[0] == [family]
+
+
+def test_paragraphs():
+    assert licences.paragraphs("a b\n// c\n *\n\n# d\ndnl e - f\n") == [["a", "b", "c"], ["d", "e", "f"]]
