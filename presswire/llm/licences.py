@@ -40,6 +40,8 @@ TEMPLATES = {
     "proprietary": ["all rights reserved", "no part of this publication may be reproduced without prior written permission"],
 }
 FAMILIES = [*TEMPLATES, "unknown"]
+PAIRS = {f: [set(zip(t.split(), t.split()[1:], strict=False)) for t in ts] for f, ts in TEMPLATES.items()}
+CONFIRM = 0.75  # share of a template's pairs of words that confirms a family
 UNKNOWN = len(TEMPLATES)
 UNIT, SHIFT = 48, 16  # words of a unit; long paragraphs are cut three times, so that any 33 words (a template has 29 at most) stand whole in a unit
 LEADERS = {"dnl", "rem"}  # words that open comment lines; leaders of punctuation alone have no letters and so are no words
@@ -73,14 +75,9 @@ class Classifier:
 
 
 def template_share(words: list[str], family: str) -> float:
-    """The largest share of a template's words, in order and near one another, that a unit holds."""
-    best = 0.0
-    for template in TEMPLATES[family]:
-        t = template.split()
-        want = {(a, b) for a, b in zip(t, t[1:], strict=False)} or {(t[0],)}
-        have = set(zip(words, words[1:], strict=False)) | {(w,) for w in words}
-        best = max(best, len(want & have) / len(want))
-    return best
+    """The largest share of a template's pairs of neighbouring words that a unit holds."""
+    have = set(zip(words, words[1:], strict=False))
+    return max(len(want & have) / len(want) for want in PAIRS[family])
 
 
 def units(n: int) -> list[tuple[int, int]]:
@@ -135,7 +132,7 @@ def samples(noise: list[list[str]], each: int, seed: int) -> tuple[list[list[str
 def train(noise: list[list[str]], each: int = 150, steps: int = 200, l1: float = 2e-4, seed: int = 1) -> Classifier:
     """Multinomial logistic regression by proximal steps (L1, so that most weights are zero); a fourth of the samples sets the temperature.
 
-    Features are the templates' n-grams, without those that one in 200 noise units holds.
+    Features are the templates' n-grams, without those that one in 200 noise units holds; an n-gram that is a whole template stays.
     """
     texts, label = samples(noise, each, seed)
     common: dict[str, int] = {}
@@ -144,7 +141,8 @@ def train(noise: list[list[str]], each: int = 150, steps: int = 200, l1: float =
     for words in noise:
         for g in grams(words) & known:
             common[g] = common.get(g, 0) + 1
-    vocabulary = [g for g in vocabulary if common.get(g, 0) <= max(1, len(noise) // 200)]
+    whole = {t for ts in TEMPLATES.values() for t in ts}
+    vocabulary = [g for g in vocabulary if g in whole or common.get(g, 0) <= max(1, len(noise) // 200)]
     index = {g: i for i, g in enumerate(vocabulary)}
     x = np.zeros((len(texts), len(vocabulary)), dtype=np.float32)
     for r, words in enumerate(texts):
@@ -178,10 +176,9 @@ def train(noise: list[list[str]], each: int = 150, steps: int = 200, l1: float =
 def fit(docs: DataFrame, fit_rows: int = 1_000, fit_units: int = 3_000) -> Classifier:
     """A classifier whose unknown class is learned from at most fit_units units of fit_rows documents (those of least hash of doc_id).
 
-    Units with two known pairs of words are left out of the unknown class. Only these units reach the driver.
+    Units that alone or with their neighbours confirm a template are left out of the unknown class. Only the others reach the driver.
     """
     with_package(docs.sparkSession)
-    known = {(a, b) for ts in TEMPLATES.values() for t in ts for a, b in zip(t.split(), t.split()[1:], strict=False)}
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -189,7 +186,7 @@ def fit(docs: DataFrame, fit_rows: int = 1_000, fit_units: int = 3_000) -> Class
             for text in batch["text"]:
                 rows = [(words, lo, hi) for words in paragraphs(text) for lo, hi in units(len(words))]
                 for words, lo, hi in rows[:: max(1, len(rows) // 4)]:
-                    if sum(p in known for p in zip(words[lo:hi], words[lo + 1 : hi], strict=False)) < 2:
+                    if max(template_share(words[max(0, lo - UNIT) : hi + UNIT], f) for f in TEMPLATES) < CONFIRM:
                         out.append(" ".join(words[lo:hi]))
             yield pd.DataFrame({"line": out})
 
@@ -198,7 +195,7 @@ def fit(docs: DataFrame, fit_rows: int = 1_000, fit_units: int = 3_000) -> Class
     return train(sorted(w for w in noise if w))
 
 
-def scan_texts(texts: list[str], model: Classifier, confirm: float = 0.75) -> list[tuple[list[str], int, list[dict], int]]:
+def scan_texts(texts: list[str], model: Classifier, confirm: float = CONFIRM) -> list[tuple[list[str], int, list[dict], int]]:
     """RESULT of each text. Only units that hold an n-gram with a weight are scored; the others have the bias alone and are unknown."""
     index, grams_of = model.index, {}
     for g, i in index.items():
@@ -249,7 +246,7 @@ def scan_texts(texts: list[str], model: Classifier, confirm: float = 0.75) -> li
     return out
 
 
-def scan(docs: DataFrame, model: Classifier, confirm: float = 0.75) -> DataFrame:
+def scan(docs: DataFrame, model: Classifier, confirm: float = CONFIRM) -> DataFrame:
     """doc_id, families (sorted), n_units (paragraphs and cuts judged), spans of units with family and calibrated probability, n_unconfirmed.
 
     Whole texts are read; a family is reported only if a template of it confirms the prediction. No shuffle. Null and empty

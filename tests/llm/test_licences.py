@@ -81,3 +81,17 @@ def test_hard_wrapped_notices(model, family, before):
 
 def test_paragraphs():
     assert licences.paragraphs("a b\n// c\n *\n\n# d\ndnl e - f\n") == [["a", "b", "c"], ["d", "e", "f"]]
+
+
+def test_frequent_first_lines_are_no_noise(spark):
+    heads = ["MIT License", "ISC License", "SPDX-License-Identifier: GPL-3.0", "CC BY 4.0"]
+    texts = [f"{heads[i % 8] if i % 8 < 4 else 'plain'}\n\n" + "\n\n".join(f"w{(i * 7 + k) % 211} v{(i + k * 5) % 97} u{k}" for k in range(4)) for i in range(160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["families"] for r in licences.scan(docs, licences.fit(docs)).collect()}
+    want = [["MIT"], ["ISC"], ["GPL-3.0"], ["CC-BY-4.0"], [], [], [], []]
+    assert {i: f for i, f in got.items() if f != want[i % 8]} == {}
+
+
+def test_whole_templates_are_not_pruned():
+    noise = [[f"w{i % 50}", f"v{i % 7}"] for i in range(400)] + [["mit", "license"]] * 30
+    assert {"mit license", "isc license"} <= set(licences.train(noise, each=4, steps=1, l1=0).index)
