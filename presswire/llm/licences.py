@@ -40,7 +40,8 @@ TEMPLATES = {
     "proprietary": ["all rights reserved", "no part of this publication may be reproduced without prior written permission"],
 }
 FAMILIES = [*TEMPLATES, "unknown"]
-PAIRS = {f: [set(zip(t.split(), t.split()[1:], strict=False)) for t in ts] for f, ts in TEMPLATES.items()}
+PAIRS = [(k, list(dict.fromkeys(zip(t.split(), t.split()[1:], strict=False)))) for k, ts in enumerate(TEMPLATES.values()) for t in ts]
+HOLDERS = {p: [i for i, (_, pairs) in enumerate(PAIRS) if p in pairs] for _, ps in PAIRS for p in ps}  # templates of each pair of words
 CONFIRM = 0.75  # share of a template's pairs of words that confirms a family
 UNKNOWN = len(TEMPLATES)
 UNIT, SHIFT = 48, 16  # words of a unit; long paragraphs are cut three times, so that any 33 words (a template has 29 at most) stand whole in a unit
@@ -74,10 +75,33 @@ class Classifier:
         return z / z.sum(axis=1, keepdims=True)
 
 
+def shares(words: list[str]) -> dict[int, float]:
+    """For each family with any, the largest share of a template's pairs of neighbouring words that a unit holds."""
+    count: dict[int, int] = {}
+    for p in set(zip(words, words[1:], strict=False)):
+        for i in HOLDERS.get(p, ()):
+            count[i] = count.get(i, 0) + 1
+    out: dict[int, float] = {}
+    for i, n in count.items():
+        k, pairs = PAIRS[i]
+        out[k] = max(out.get(k, 0.0), n / len(pairs))
+    return out
+
+
 def template_share(words: list[str], family: str) -> float:
-    """The largest share of a template's pairs of neighbouring words that a unit holds."""
-    have = set(zip(words, words[1:], strict=False))
-    return max(len(want & have) / len(want) for want in PAIRS[family])
+    return shares(words).get(FAMILIES.index(family), 0.0)
+
+
+def stretch(words: list[str], family: int) -> set[int]:
+    """Places of the words that hold most of one of the family's templates, as near one another as can be."""
+    best: tuple[float, int, int, set[int]] = (0.0, 0, 0, set())
+    for _, pairs in (x for x in PAIRS if x[0] == family):
+        at = [j for j, p in enumerate(zip(words, words[1:], strict=False)) if p in pairs]
+        for a in at:
+            near = {words[j] + " " + words[j + 1]: j for j in reversed(at) if a <= j <= a + 2 * len(pairs)}
+            found = (len(near) / len(pairs), len(near), a - max(near.values()), {x for j in near.values() for x in (j, j + 1)})
+            best = max(best, found, key=lambda x: x[:3])
+    return best[3]
 
 
 def units(n: int) -> list[tuple[int, int]]:
@@ -186,7 +210,7 @@ def fit(docs: DataFrame, fit_rows: int = 1_000, fit_units: int = 3_000) -> Class
             for text in batch["text"]:
                 rows = [(words, lo, hi) for words in paragraphs(text) for lo, hi in units(len(words))]
                 for words, lo, hi in rows[:: max(1, len(rows) // 4)]:
-                    if max(template_share(words[max(0, lo - UNIT) : hi + UNIT], f) for f in TEMPLATES) < CONFIRM:
+                    if max(shares(words[max(0, lo - UNIT) : hi + UNIT]).values(), default=0) < CONFIRM:
                         out.append(" ".join(words[lo:hi]))
             yield pd.DataFrame({"line": out})
 
@@ -195,11 +219,50 @@ def fit(docs: DataFrame, fit_rows: int = 1_000, fit_units: int = 3_000) -> Class
     return train(sorted(w for w in noise if w))
 
 
+def judge(words: list[str], hits: list[tuple[int, int, int]], model: Classifier, owners: list[set[int]], confirm: float) -> tuple[list[tuple[int, float]], int]:
+    """The families of a unit with their probabilities, and the number of families that only the classifier or only a template names.
+
+    hits: (place, words, row of weights) of the n-grams; owners: families whose templates hold each row's n-gram. The likeliest family
+    that a template confirms is taken with the words of that template, then the next of what is left. Each must then be
+    the classifier's choice on the unit without the words of the others.
+    """
+    score = lambda hs: model.probabilities((model.bias + model.weights[sorted({i for _, _, i in hs})].sum(axis=0))[None, :])[0]
+    outside = lambda hs, places: [h for h in hs if places.isdisjoint(range(h[0], h[0] + h[1]))]
+    taken: dict[int, set[int]] = {}
+    left, rest = hits, list(words)
+    while left:
+        own = set().union(*(owners[i] for _, _, i in left))
+        sure = [k for k, x in shares(rest).items() if x >= confirm and k in own]
+        if not sure:
+            break
+        p = score(left)
+        k = max(sure, key=lambda k: p[k])
+        places = stretch(rest, k)
+        taken.setdefault(k, set()).update(places)
+        left = outside(left, places)
+        for j in places:
+            rest[j] = ""
+    found, doubtful = [], 0
+    for k in taken:
+        p = score(outside(hits, set().union(*(v for f, v in taken.items() if f != k))))
+        if int(np.argmax(p)) == k and p[k] >= model.least:
+            found.append((k, float(p[k])))
+        else:
+            doubtful += 1
+    if left:
+        p = score(left)
+        best = int(np.argmax(p))
+        doubtful += best != UNKNOWN and best not in taken and p[best] >= model.least
+    return found, doubtful
+
+
 def scan_texts(texts: list[str], model: Classifier, confirm: float = CONFIRM) -> list[tuple[list[str], int, list[dict], int]]:
     """RESULT of each text. Only units that hold an n-gram with a weight are scored; the others have the bias alone and are unknown."""
     index, grams_of = model.index, {}
     for g, i in index.items():
         grams_of.setdefault(g.split()[0], []).append((g.split(), i))
+    holds = [{g for t in ts for g in grams(t.split())} for ts in TEMPLATES.values()]
+    owners = [{k for k, gs in enumerate(holds) if g in gs} for g in index]
     lines = [[line.split() for line in t.split("\n")] for t in texts]
     flat = [w for ls in lines for ws in ls for w in ws]
     out: list[tuple[list[str], int, list[dict], int]] = []
@@ -226,17 +289,11 @@ def scan_texts(texts: list[str], model: Classifier, confirm: float = CONFIRM) ->
                 hits = [(k, len(g), i) for k in starts.tolist() for g, i in grams_of[words[k]] if words[k : k + len(g)] == g]
                 begins = [k for k, _, _ in hits]
                 for lo, hi in units(len(words)) if hits else ():
-                    own = {i for k, size, i in hits[bisect_left(begins, lo) : bisect_left(begins, hi)] if k + size <= hi}
-                    if not own:
-                        continue
-                    p = model.probabilities((model.bias + model.weights[sorted(own)].sum(axis=0))[None, :])[0]
-                    best = int(np.argmax(p))
-                    if best == UNKNOWN or p[best] < model.least:
-                        continue
-                    if template_share(words[lo:hi], FAMILIES[best]) >= confirm:
-                        found.append((int(place[lo]) - begin, int(place[hi - 1]) + 1 - begin, FAMILIES[best], float(p[best])))
-                    else:
-                        unconfirmed += 1
+                    own = [(k - lo, size, i) for k, size, i in hits[bisect_left(begins, lo) : bisect_left(begins, hi)] if k + size <= hi]
+                    if own:
+                        named, doubtful = judge(words[lo:hi], own, model, owners, confirm)
+                        found += [(int(place[lo]) - begin, int(place[hi - 1]) + 1 - begin, FAMILIES[k], p) for k, p in named]
+                        unconfirmed += doubtful
             at += len(raw)
         spans = []
         if found:
@@ -249,7 +306,7 @@ def scan_texts(texts: list[str], model: Classifier, confirm: float = CONFIRM) ->
 def scan(docs: DataFrame, model: Classifier, confirm: float = CONFIRM) -> DataFrame:
     """doc_id, families (sorted), n_units (paragraphs and cuts judged), spans of units with family and calibrated probability, n_unconfirmed.
 
-    Whole texts are read; a family is reported only if a template of it confirms the prediction. No shuffle. Null and empty
+    Whole texts are read; each family of a unit is reported if classifier and template agree on it; n_unconfirmed counts where only one names it. No shuffle. Null and empty
     texts have no units; null doc_ids and repeated rows are rows like others; other columns are ignored; an empty table gives no rows.
     """
     with_package(docs.sparkSession)

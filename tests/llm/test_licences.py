@@ -95,3 +95,15 @@ def test_frequent_first_lines_are_no_noise(spark):
 def test_whole_templates_are_not_pruned():
     noise = [[f"w{i % 50}", f"v{i % 7}"] for i in range(400)] + [["mit", "license"]] * 30
     assert {"mit license", "isc license"} <= set(licences.train(noise, each=4, steps=1, l1=0).index)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Licensed under either of Apache License, Version 2.0 or MIT license", ["Apache-2.0", "MIT"]), ("All rights reserved. Released under the MIT License.", ["MIT", "proprietary"]),
+        ("Licensed under the Apache License, Version 2.0, or licensed under the LGPL.", ["Apache-2.0", "LGPL"]), ("GNU General Public License version 2", ["GPL-2.0"]),
+        ("GNU Lesser General Public License version 3", ["LGPL"]), ("GNU Affero General Public License version 3", ["AGPL-3.0"]), ("BSD 3-Clause License or ISC License or MIT License", ["BSD", "ISC", "MIT"]),
+    ],
+)
+def test_units_of_several_families(model, text, want):
+    assert licences.scan_texts([text], model)[0][0] == want
