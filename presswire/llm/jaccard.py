@@ -249,8 +249,17 @@ def overlaps(value: np.ndarray, n: np.ndarray, columns: int = 16384) -> np.ndarr
     return out.astype(np.int64)
 
 
+def set_sums(value: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """set_a of each set: the sum of its hashes."""
+    ends = np.append(np.uint64(0), np.cumsum(value, dtype=np.uint64))
+    at = np.append(0, np.cumsum(n))
+    with np.errstate(over="ignore"):
+        return (ends[at[1:]] - ends[at[:-1]]).astype(np.int64)
+
+
 def verify(rows: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Exact links of the sets that meet in a task. rows: blocks() with copies, set_b and text.
+    """Exact links of the sets that meet in a task. rows: blocks() with copies and text; of the texts of a repeated doc_id the first with
+    the set (id) is judged.
 
     id, other, links: a row with links for each set and pair of blocks (copies of the other sets linked), and rows with
     other for a spanning forest of the links. Each pair of sets is judged in one task.
@@ -261,18 +270,25 @@ def verify(rows: DataFrame, threshold: float, width: int) -> DataFrame:
         ids, copies, block = frame["id"].to_numpy(), frame["copies"].to_numpy(), frame["block"].to_numpy()
         out_id, out_other, out_links = [], [], []
         for s, e in segments(frame):
-            value, n = shingle_hashes(frame["text"].iloc[s:e].tolist(), width)
+            at, texts = np.arange(s, e), frame["text"].iloc[s:e].tolist()
+            value, n = shingle_hashes(texts, width)
+            if len(np.unique(ids[at])) < len(at):
+                at = at[set_sums(value, n) == ids[at]]
+                at = at[np.unique(ids[at], return_index=True)[1]]
+                if len(at) < 2:
+                    continue
+                value, n = shingle_hashes([texts[i - s] for i in at], width)
             both = overlaps(value, n)
             link = both >= threshold * (n[:, None] + n[None, :] - both) - 1e-9
             np.fill_diagonal(link, False)
             if frame["side_a"].iloc[s] != frame["side_b"].iloc[s]:
-                link &= block[s:e, None] != block[None, s:e]
-            links = link @ copies[s:e]
+                link &= block[at][:, None] != block[at][None, :]
+            links = link @ copies[at]
             has = np.flatnonzero(links)
             label = spanning(link)
-            other = np.flatnonzero(label != np.arange(e - s))
-            out_id += [ids[s + has], ids[s + other]]
-            out_other += [np.full(len(has), -1), ids[s + label[other]]]
+            other = np.flatnonzero(label != np.arange(len(at)))
+            out_id += [ids[at[has]], ids[at[other]]]
+            out_other += [np.full(len(has), -1), ids[at[label[other]]]]
             out_links += [links[has], np.full(len(other), -1)]
         join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, dtype=np.int64)
         return pd.DataFrame({"id": join(out_id), "other": join(out_other), "links": join(out_links)})
@@ -305,7 +321,13 @@ def join_documents(
     groups = components(edges)
     plan = blocks(materialize(sized(groups)).join(sets.select("id", "rep", "copies"), "id"), small, 256)
     texts = docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
-    found = materialize(verify(texts.join(plan.hint("shuffle_hash"), "rep"), threshold, width))
+    pairs = texts.join(plan.hint("shuffle_hash"), "rep")
+    repeated = materialize(described.groupBy(F.col("doc_id").alias("rep")).count().where("count > 1").select("rep"))
+    if not repeated.isEmpty():
+        # Texts of repeated doc_ids are reduced to distinct ones where they are read.
+        many = texts.join(repeated, "rep", "left_semi").dropDuplicates(["rep", "text"]).join(plan, "rep")
+        pairs = texts.join(repeated, "rep", "left_anti").join(plan.hint("shuffle_hash"), "rep").unionByName(many)
+    found = materialize(verify(pairs, threshold, width))
     linked = components(found.where("other <> -1").select(F.col("id").alias("a"), F.col("other").alias("b")))
     links = found.where("other = -1").groupBy("id").agg(F.sum("links").alias("links"))
     least = linked.join(sets.select("id", "rep"), "id").groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -132,6 +132,14 @@ def test_jaccard_odd_input(odd_docs, no_docs):
     assert jaccard.join_documents(no_docs).count() == 0
 
 
+def test_jaccard_repeated_rows_with_near_copies(spark):
+    words = [f"w{i}" for i in range(100)]
+    near, far = " ".join([*words[:-1], "other"]), " ".join(f"v{i}" for i in range(100))
+    rows = [(5, " ".join(words)), (5, " ".join(words)), (10, near), (5, far), (20, " ".join([*far.split()[:-1], "x"])), (30, "alone " * 9)]
+    got = [tuple(r) for r in jaccard.join_documents(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_links", "n_shingles", "component_id").collect()]
+    assert sorted(got) == [(5, 1, 96, 5), (5, 2, 96, 5), (5, 2, 96, 5), (10, 2, 96, 5), (20, 1, 96, 5), (30, 0, 1, 30)]
+
+
 # --- suffix-array dedup
 
 
