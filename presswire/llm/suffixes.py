@@ -4,7 +4,8 @@ A full suffix array of a corpus would ship every suffix. Here a repeat of at lea
 every window of that length picks one k-gram (the minimizer: least hash, leftmost), which depends on the window alone, so equal
 windows in any two documents pick the same k-gram at the same place. Consecutive windows with one anchor form a
 context. Contexts go to the bucket of their anchor's hash; all suffixes that can share a repeat meet there. In a bucket the
-contexts' suffixes are sorted, adjacent common prefixes measured, and a stack scan walks the tree of intervals.
+contexts' suffixes are sorted, adjacent common prefixes measured, and a stack scan walks the tree of intervals. Contexts of an
+anchor that very many have are dealt by the hashes of their windows instead: equal windows meet, and the anchor is spread.
 """
 
 from __future__ import annotations
@@ -25,15 +26,17 @@ from presswire.llm.common import materialize, with_package
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 SENT = "task long, kind int, data binary"
-KEYS, SPANS, CONTEXTS = 0, 1, 2
+KEYS, SPANS, CONTEXTS, WINDOWS = 0, 1, 2, 3
 
 
 @dataclass(frozen=True)
 class Grain:
-    """Lengths in bytes: of the least repeat, and of an anchor; a window holds least - anchor + 1 anchors."""
+    """Lengths in bytes: of the least repeat, and of an anchor; a window holds least - anchor + 1 anchors. hot: contexts (distinct in a
+    batch) of an anchor above which they are dealt by window."""
 
     least: int = 50
     anchor: int = 20
+    hot: int = 20_000
 
     @property
     def choices(self) -> int:
@@ -258,8 +261,9 @@ def key_rows(ids: np.ndarray, texts: list[bytes], grain: Grain, n: int) -> Itera
         yield pd.DataFrame(rows, columns=["task", "kind", "data"])
 
 
-def shared_keys(blobs: list[bytes], n: int) -> pd.DataFrame:
-    """SENT rows: of the documents that share an anchor with another one, the documents and short keys, by bucket of documents."""
+def shared_keys(blobs: list[bytes], n: int, bucket: int, most: int) -> pd.DataFrame:
+    """SENT rows: of the documents that share an anchor with another one, the documents, short keys, and 1 + bucket for anchors of more than
+    `most` rows or 0, by bucket of documents."""
     parts = [unpack(b)[0] for b in blobs]
     doc, short = (np.concatenate([p[i] for p in parts]) for i in range(2))
     order = np.lexsort((doc, short))
@@ -267,25 +271,70 @@ def shared_keys(blobs: list[bytes], n: int) -> pd.DataFrame:
     fresh = np.append(True, short[1:] != short[:-1])
     begins = np.flatnonzero(fresh)
     several = (doc[begins] != doc[np.append(begins[1:], len(doc)) - 1])[np.cumsum(fresh) - 1]
-    doc, short = doc[several], short[several]
+    hot = (np.diff(np.append(begins, len(doc))) > most)[np.cumsum(fresh) - 1]
+    doc, short, hot = doc[several], short[several], hot[several] * (bucket + 1)
     to = document_bucket(doc, n)
     order = np.lexsort((short, doc, to))
-    doc, short, to = doc[order], short[order], to[order]
+    doc, short, hot, to = doc[order], short[order], hot[order], to[order]
     at = np.unique(to)
     cuts = np.searchsorted(to, at), np.searchsorted(to, at, side="right")
-    return pd.DataFrame({"task": at, "kind": KEYS, "data": [pack([doc[i:j], short[i:j]]) for i, j in zip(*cuts, strict=True)]})
+    return pd.DataFrame({"task": at, "kind": KEYS, "data": [pack([doc[i:j], short[i:j], hot[i:j]]) for i, j in zip(*cuts, strict=True)]})
+
+
+def window_runs(doc: np.ndarray, where: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc, lo, hi of the union of windows of `least` bytes."""
+    order = np.lexsort((where, doc))
+    doc, where = doc[order], where[order]
+    begins = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (where[1:] - where[:-1] > least))[: len(doc)])
+    return doc[begins], where[begins], where[np.append(begins[1:], len(doc))[: len(begins)] - 1] + least
+
+
+def window_least(doc: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """For each row the least doc that has the same window."""
+    _, index = np.unique(window, return_inverse=True)
+    least = np.full(int(index.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, index, doc)
+    return least[index]
+
+
+def window_rows(doc: np.ndarray, where: np.ndarray, begin: np.ndarray, n_windows: np.ndarray, text: np.ndarray, grain: Grain, n: int) -> Iterator[pd.DataFrame]:
+    """SENT rows of contexts of hot anchors (begin: place in text): windows by bucket, of each only the least document's, and settled spans."""
+    inside = ragged(np.zeros(len(n_windows), dtype=np.int64), n_windows)
+    window = _mix(gram_hashes(text, grain.least)[np.repeat(begin, n_windows) + inside])
+    doc, where = np.repeat(doc, n_windows), np.repeat(where, n_windows) + inside
+    again = doc > window_least(doc, window)
+    if again.any():
+        yield span_rows(*window_runs(doc[again], where[again], grain.least), n)
+    doc, where, window = doc[~again], where[~again], window[~again]
+    rows = [(b, WINDOWS, pack([doc[r], where[r], window[r].view(np.int64)])) for b, r in by_bucket(window, n, doc, where)]
+    yield pd.DataFrame(rows, columns=["task", "kind", "data"])
+
+
+def window_spans(blobs: list[bytes], grain: Grain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc, lo, hi: windows of a bucket that documents of smaller ids have too."""
+    parts = [unpack(b)[0] for b in blobs]
+    doc, where, window = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    again = doc > window_least(doc, window)
+    return window_runs(doc[again], where[again], grain.least)
 
 
 def context_rows(ids: np.ndarray, texts: list[bytes], keys: list[bytes], grain: Grain, n: int) -> Iterator[pd.DataFrame]:
-    """SENT rows of a bucket of documents for the second round: the contexts of their shared anchors, and settled spans."""
+    """SENT rows of a bucket of documents for the second round: the contexts of their shared anchors (of hot ones the windows), and
+    settled spans."""
     parts = [unpack(b)[0] for b in keys]
-    doc, short = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    doc, short, hot = (np.concatenate([p[i] for p in parts]) for i in range(3))
     has = np.isin(ids, doc)
     c, data, (done, lo, hi) = gather(ids[has], [t for t, ok in zip(texts, has, strict=True) if ok], grain, np.unique(pair_number(doc, short)))
     if len(done):
         yield span_rows(done, lo, hi, n)
     if c is not None and len(c["doc"]):
         text = np.frombuffer(data, dtype=np.uint8)
+        if hot.any():
+            pairs = pair_number(pair_number(doc, short)[hot > 0], hot[hot > 0])
+            is_hot = np.isin(pair_number(pair_number(c["doc"], short_key(c["key"])), (c["key"] % np.uint64(n)).astype(np.int64) + 1), pairs)
+            h, c = ({k: v[m] for k, v in c.items()} for m in (is_hot, ~is_hot))
+            if len(h["doc"]):
+                yield from window_rows(h["doc"], h["lo"] - h["start"], h["lo"], h["hi"] - h["lo"] - grain.least + 1, text, grain, n)
         where, length = c["lo"] - c["start"], c["hi"] - c["lo"]
         rows = [
             (b, CONTEXTS, pack([c["doc"][r], where[r], length[r], (c["anchor"] - c["lo"])[r]], text[ragged(c["lo"][r], length[r])].tobytes()))
@@ -360,6 +409,8 @@ def bucket_repeats(blobs: list[bytes], grain: Grain) -> tuple[dict[str, np.ndarr
     window_class[order] = np.cumsum(fresh) - 1
     useful = np.zeros(len(pick), dtype=bool)
     useful[owner[shared]] = True
+    if not useful.any():
+        return none, []
     # Distinct contexts.
     first_window = np.cumsum(n_windows) - n_windows
     last_window = first_window + n_windows - 1
@@ -431,7 +482,8 @@ def repeated_spans(docs: DataFrame, grain: Grain, batch_bytes: int = 8 << 20, bu
     """task, data: packed spans of bytes that smaller documents have in repeats of grain.least or more, by bucket of documents; number of buckets.
 
     Two rounds. The first sends 40 bits for each anchor to the anchor's bucket and learns which ones two documents share. The second sends
-    the contexts of those alone and works on their suffixes. Buckets grow in number with the input, not in size.
+    the contexts of those alone and works on their suffixes; those of an anchor with more than grain.hot of them go by window. Buckets
+    grow in number with the input, not in size, but for the first round's numbers (two for each context of an anchor).
     """
     with_package(docs.sparkSession)
     rows = docs.select("doc_id", "text")
@@ -458,7 +510,7 @@ def repeated_spans(docs: DataFrame, grain: Grain, batch_bytes: int = 8 << 20, bu
             yield from sent()
 
     def first_round(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return shared_keys(frame["data"].tolist(), n) if key[0] == KEYS else frame
+        return shared_keys(frame["data"].tolist(), n, int(key[1]), grain.hot) if key[0] == KEYS else frame
 
     keyed = rows.where("doc_id is not null and text is not null").mapInArrow(send_keys, SENT)
     first = materialize(keyed.groupBy("kind", "task").applyInPandas(lambda k, f: first_round(k, f), SENT))
@@ -473,7 +525,9 @@ def repeated_spans(docs: DataFrame, grain: Grain, batch_bytes: int = 8 << 20, bu
         return pa.table({"task": pa.array(frame["task"], pa.int64()), "kind": pa.array(frame["kind"], pa.int32()), "data": pa.array(frame["data"], pa.binary())})
 
     def second_round(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return span_rows(*bucket_spans(frame["data"].tolist(), grain), n) if key[0] == CONTEXTS else frame
+        if key[0] == SPANS:
+            return frame
+        return span_rows(*(bucket_spans if key[0] == CONTEXTS else window_spans)(frame["data"].tolist(), grain), n)
 
     placed = place(rows, n)
     sent = placed.groupBy("task").cogroup(first.where(F.col("kind") == KEYS).groupBy("task")).applyInArrow(send_contexts, SENT)

@@ -179,6 +179,26 @@ def test_suffixes_planted(spark):
     assert cut_result(df, grain=grain) == brute_cut(pairs, 24)
 
 
+def test_suffixes_hot_anchors_are_spread(spark):
+    rng = np.random.default_rng(4)
+    own = lambda k: "".join(map(chr, rng.integers(97, 123, k)))
+    passage = own(40)
+    texts = [(i, own(60) + passage + own(60) + (own(55) if i % 3 else f"{'copied tail ' * 6}")) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted(map(tuple, suffixes.dedup(docs, suffixes.Grain(hot=3)).collect()))
+    assert got == sorted(map(tuple, suffixes.dedup(docs).collect())) and sum(r[2] for r in got) > 1000
+    ids, data = np.arange(60), [t.encode() for _, t in texts]
+    keys = {b: r for f in suffixes.key_rows(ids, data, suffixes.Grain(), 7) for b, k, r in f.itertuples(index=False) if k == suffixes.KEYS}
+    back = [d for b, r in keys.items() for d in suffixes.shared_keys([r], 7, b, 3)["data"]]
+    sent = [r for f in suffixes.context_rows(ids, data, back, suffixes.Grain(), 7) for r in f.itertuples(index=False)]
+    assert len({r.task for r in sent if r.kind == suffixes.WINDOWS}) == 7 and not any(r.kind == suffixes.CONTEXTS and len(suffixes.unpack(r.data)[0][0]) > 30 for r in sent)
+
+
+def test_suffixes_by_windows_against_brute_force(docs, rows):
+    want = sorted(map(tuple, suffixes.dedup(docs).collect()))
+    assert sorted(map(tuple, suffixes.dedup(docs, suffixes.Grain(hot=0)).collect())) == want
+
+
 def test_maximal_repeats_against_enumeration():
     rng = np.random.default_rng(2)
     for _ in range(20):
