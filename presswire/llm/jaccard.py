@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,10 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswire.llm.common import materialize, with_package
+from presswire.llm.common import keep_last, materialize, numbered, with_package
 from presswire.llm.graph import blocks, components, sized
 
 POSITIONS = 128  # MinHash positions: the tokens of a set in the join's tree
+log = logging.getLogger(__name__)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -91,9 +93,9 @@ def _choices(node: int, level: int, threshold: float, seed: int) -> np.ndarray:
     return rng.choice(POSITIONS, size=n, replace=False)
 
 
-def describe(docs: DataFrame, roots: list[tuple[int, int]], width: int = 5) -> DataFrame:
-    """doc_id, set_a, set_b (hash of the shingle set), n_shingles, sketch (POSITIONS x 16 bits), nodes (64 bits for each root split)."""
-    with_package(docs.sparkSession)
+def describe(rows: DataFrame, roots: list[tuple[int, int]], width: int = 5) -> DataFrame:
+    """row, doc_id, set_a, set_b (two hashes of the shingle set), n_shingles, sketch (POSITIONS x 16 bits), nodes (64 bits for each root split)."""
+    with_package(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -110,12 +112,12 @@ def describe(docs: DataFrame, roots: list[tuple[int, int]], width: int = 5) -> D
                 small = sig.astype(np.uint16)
                 yield pd.DataFrame(
                     {
-                        "doc_id": part["doc_id"].to_numpy(), "set_a": sums[0].astype(np.int64), "set_b": sums[1].astype(np.int64), "n_shingles": n,
+                        "row": part["row"].to_numpy(), "doc_id": part["doc_id"].to_numpy(), "set_a": sums[0].astype(np.int64), "set_b": sums[1].astype(np.int64), "n_shingles": n,
                         "sketch": [x.tobytes() for x in small], "nodes": [x.tobytes() for x in nodes],
                     }
                 )
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null").mapInPandas(run, "doc_id long, set_a long, set_b long, n_shingles long, sketch binary, nodes binary")
+    return rows.select("row", "doc_id", "text").mapInPandas(run, "row long, doc_id long, set_a long, set_b long, n_shingles long, sketch binary, nodes binary")
 
 
 def _sketches(column: pd.Series) -> np.ndarray:
@@ -197,33 +199,43 @@ def segments(frame: pd.DataFrame) -> list[tuple[int, int]]:
     return [(s, e) for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True) if e - s > 1]
 
 
-def candidates(sets: DataFrame, roots: list[tuple[int, int]], batch_runs: int, batches: int, threshold: float, small: int, levels: int, target: float, seed: int, floor: float) -> DataFrame:
-    """a, b: edges whose components hold every pair of sets of Jaccard >= threshold, up to the target recall.
+def candidates(sets: DataFrame, roots: list[tuple[int, int]], runs: range, small: int, threshold: float, levels: int, seed: int, floor: float) -> DataFrame:
+    """a, b, run: edges that join the sets which these runs bring together and which are likely at the floor, as spanning forests.
 
     Nodes of up to `small` sets are compared by brute force; larger ones are split further; what is still larger after
-    `levels` splits, as groups of near copies are, is compared in pairs of blocks. Runs come in batches: the sets that even and
-    odd runs have linked give, as in capture and recapture, the share that both miss; batches repeat until that is small.
+    `levels` splits, as groups of near copies are, is compared in pairs of blocks.
     """
-    edges = None
-    for batch in range(batches):
-        nodes = root_nodes(sets, roots, range(batch * batch_runs, (batch + 1) * batch_runs))
-        for level in range(1, levels + 1):
-            nodes = materialize(nodes)
-            shared = materialize(sized(nodes.withColumnRenamed("node", "component")).where("members > 1"))
-            last = level == levels
-            dealt = blocks(shared if last else shared.where(F.col("members") <= small), small, 2000)
-            found = likely(dealt.join(sets.select("id", "sketch"), "id"), floor)
-            edges = materialize(found if edges is None else edges.unionByName(found))
-            large = shared.where(F.col("members") > small).withColumnRenamed("component", "node")
-            if last or large.isEmpty():
-                break
-            nodes = split_nodes(large.join(sets.select("id", "sketch"), "id"), level, threshold, seed)
-        half = edges.select(F.explode(F.array("a", "b")).alias("id"), (F.col("run") % 2).alias("half"))
-        seen = half.groupBy("id").agg(F.max((F.col("half") == 0).cast("int")).alias("x"), F.max((F.col("half") == 1).cast("int")).alias("y"))
-        x, y, both = seen.agg(F.coalesce(F.sum("x"), F.lit(0)), F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0))).first()
-        if not x or not y or (1 - both / y) * (1 - both / x) <= 1 - target:
+    nodes, edges = root_nodes(sets, roots, runs), None
+    for level in range(1, levels + 1):
+        nodes = materialize(nodes)
+        shared = materialize(sized(nodes.withColumnRenamed("node", "component")).where("members > 1"))
+        last = level == levels
+        dealt = blocks(shared if last else shared.where(F.col("members") <= small), small, 2000)
+        found = likely(dealt.join(sets.select("id", "sketch"), "id"), floor)
+        edges = materialize(found if edges is None else edges.unionByName(found))
+        large = shared.where(F.col("members") > small).withColumnRenamed("component", "node")
+        if last or large.isEmpty():
             break
-    return edges.select("a", "b").distinct()
+        nodes = split_nodes(large.join(sets.select("id", "sketch"), "id"), level, threshold, seed)
+    return edges
+
+
+def grouped(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components (id, component) of all edges, and of those of even and of odd runs alone (half 1 and 2), found in one go."""
+    both = F.explode(F.array(F.lit(0), 1 + F.col("run") % 2)).alias("half")
+    tagged = edges.select(both, "a", "b").select((F.col("a") * 4 + F.col("half")).alias("a"), (F.col("b") * 4 + F.col("half")).alias("b")).distinct()
+    stars = materialize(components(tagged))
+    apart = stars.select(F.shiftright("id", 2).alias("id"), F.shiftright("component", 2).alias("component"), F.pmod("id", F.lit(4)).cast("int").alias("half"))
+    return apart.where("half = 0").select("id", "component"), apart.where("half > 0")
+
+
+def captured(links: DataFrame, halves: DataFrame) -> tuple[int, int, int, int]:
+    """Of links (a, b) that were found exactly: their number, and of how many both ends are in one component of even runs, of odd runs, of both."""
+    ends = links.select("a", "b", F.explode(F.array("a", "b")).alias("id")).join(halves, "id")
+    met = ends.groupBy("a", "b", "half").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n = 2 and lo = hi")
+    each = met.groupBy("a", "b").agg(F.max((F.col("half") == 1).cast("int")).alias("x"), F.max((F.col("half") == 2).cast("int")).alias("y"))
+    x, y, both = each.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("x"), F.col("y"), F.col("x") * F.col("y"))]).first()
+    return links.count(), x, y, both
 
 
 def overlaps(value: np.ndarray, n: np.ndarray, columns: int = 16384) -> np.ndarray:
@@ -249,17 +261,8 @@ def overlaps(value: np.ndarray, n: np.ndarray, columns: int = 16384) -> np.ndarr
     return out.astype(np.int64)
 
 
-def set_sums(value: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """set_a of each set: the sum of its hashes."""
-    ends = np.append(np.uint64(0), np.cumsum(value, dtype=np.uint64))
-    at = np.append(0, np.cumsum(n))
-    with np.errstate(over="ignore"):
-        return (ends[at[1:]] - ends[at[:-1]]).astype(np.int64)
-
-
 def verify(rows: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Exact links of the sets that meet in a task. rows: blocks() with copies and text; of the texts of a repeated doc_id the first with
-    the set (id) is judged.
+    """Exact links of the sets that meet in a task. rows: blocks() with copies and the text of one row of each set.
 
     id, other, links: a row with links for each set and pair of blocks (copies of the other sets linked), and rows with
     other for a spanning forest of the links. Each pair of sets is judged in one task.
@@ -272,12 +275,6 @@ def verify(rows: DataFrame, threshold: float, width: int) -> DataFrame:
         for s, e in segments(frame):
             at, texts = np.arange(s, e), frame["text"].iloc[s:e].tolist()
             value, n = shingle_hashes(texts, width)
-            if len(np.unique(ids[at])) < len(at):
-                at = at[set_sums(value, n) == ids[at]]
-                at = at[np.unique(ids[at], return_index=True)[1]]
-                if len(at) < 2:
-                    continue
-                value, n = shingle_hashes([texts[i - s] for i in at], width)
             both = overlaps(value, n)
             link = both >= threshold * (n[:, None] + n[None, :] - both) - 1e-9
             np.fill_diagonal(link, False)
@@ -296,50 +293,70 @@ def verify(rows: DataFrame, threshold: float, width: int) -> DataFrame:
     return rows.groupBy("task").applyInPandas(lambda f: run_all(f), "id long, other long, links long")
 
 
-def join_documents(
-    docs: DataFrame, threshold: float = 0.8, width: int = 5, target: float = 0.995, batch_runs: int = 6, batches: int = 4, small: int = 128, levels: int = 4, floor: float | None = None, seed: int = 5
+def join_rows(
+    rows: DataFrame, threshold: float = 0.8, width: int = 5, target: float = 0.995, batch_runs: int = 8, batches: int = 4, small: int = 128, levels: int = 4, floor: float | None = None, seed: int = 5
 ) -> DataFrame:
-    """Link documents (doc_id, text) whose word shingle sets have Jaccard similarity >= threshold.
-
-    1. Each text becomes its set's hash, MinHash sketch and places in the tree; equal sets become one class.
-    2. Chosen paths (candidates()) gather classes into loose groups by sketches that are likely at a lower similarity.
-    3. Inside each group every two classes are compared exactly on their whole texts, in pairs of bounded blocks.
-    So a link is never wrong, and one is missed only if no run brought a path between its two classes.
+    """join_documents() for numbered() rows (row, doc_id, text) without nulls: the same columns, and row.
 
-    Returns a row a document: doc_id, class_id (least doc_id with the same shingle set), component_id (least doc_id reachable
-    by links), n_links (other documents linked directly), n_shingles, kept (doc_id = component_id).
-    Null and empty texts have no shingles: they link with nothing and are classes of their own. Texts of fewer words than
-    width have one shingle. Rows without doc_id take no part and are not returned. Rows that repeat a doc_id are judged as
-    rows: copies link, other texts do not. Other columns are ignored. An empty table gives no rows.
+    Raises RuntimeError if the estimated recall is below the target after all batches of runs.
     """
     floor = threshold - 0.15 if floor is None else floor
     roots = plan_roots(batch_runs * batches, threshold, seed)
-    described = materialize(describe(docs, roots, width))
-    sets = described.where("n_shingles > 0").groupBy("set_a").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("set_b").alias("set_b"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes")).withColumnRenamed("set_a", "id")
-    sets = materialize(sets)
-    edges = candidates(sets, roots, batch_runs, batches, threshold, small, levels, target, seed, floor)
-    groups = components(edges)
-    plan = blocks(materialize(sized(groups)).join(sets.select("id", "rep", "copies"), "id"), small, 256)
-    texts = docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
-    pairs = texts.join(plan.hint("shuffle_hash"), "rep")
-    repeated = materialize(described.groupBy(F.col("doc_id").alias("rep")).count().where("count > 1").select("rep"))
-    if not repeated.isEmpty():
-        # Texts of repeated doc_ids are reduced to distinct ones where they are read.
-        many = texts.join(repeated, "rep", "left_semi").dropDuplicates(["rep", "text"]).join(plan, "rep")
-        pairs = texts.join(repeated, "rep", "left_anti").join(plan.hint("shuffle_hash"), "rep").unionByName(many)
-    found = materialize(verify(pairs, threshold, width))
+    described = materialize(describe(rows, roots, width))
+    one = F.min(F.struct("doc_id", "row")).alias("rep")
+    sets = described.where("n_shingles > 0").groupBy("set_a", "set_b").agg(one, F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"))
+    sets = numbered(sets, "id")
+
+    edges = found = None
+    for batch in range(batches):
+        new = candidates(sets, roots, range(batch * batch_runs, (batch + 1) * batch_runs), small, threshold, levels, seed, floor)
+        edges = new if edges is None else edges.unionByName(new)
+        groups, halves = grouped(edges)
+        plan = blocks(materialize(sized(groups)).join(sets.select("id", "copies", F.col("rep.row").alias("row")), "id"), small, 256)
+        found = materialize(verify(rows.select("row", "text").join(plan.hint("shuffle_hash"), "row"), threshold, width))
+        links, x, y, both = captured(found.where("other <> -1").select(F.col("id").alias("a"), F.col("other").alias("b")), halves)
+        missed = (1 - both / y) * (1 - both / x) if x and y else float(x + y > 0)
+        log.info("links %d, of even runs %d, of odd runs %d, of both %d: estimated recall %.4f", links, x, y, both, 1 - missed)
+        if missed <= 1 - target:
+            break
+    else:
+        raise RuntimeError(f"estimated recall of links {1 - missed:.4f} is below {target} after {batches * batch_runs} runs: ask for more batches")
+
     linked = components(found.where("other <> -1").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    links = found.where("other = -1").groupBy("id").agg(F.sum("links").alias("links"))
-    least = linked.join(sets.select("id", "rep"), "id").groupBy("component").agg(F.min("rep").alias("component_id"))
-    classes = sets.select("id", "rep", "copies").join(linked.join(least, "component").select("id", "component_id"), "id", "left").join(links, "id", "left")
-    classes = classes.select(F.col("id").alias("set_a"), F.col("rep").alias("class_id"), F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    counts = found.where("other = -1").groupBy("id").agg(F.sum("links").alias("links"))
+    least = linked.join(sets.select("id", "rep"), "id").groupBy("component").agg(F.min("rep").alias("least"))
+    classes = sets.select("id", "set_a", "set_b", "rep", "copies").join(linked.join(least, "component").select("id", "least"), "id", "left").join(counts, "id", "left")
+    classes = classes.select("set_a", "set_b", F.col("rep.doc_id").alias("class_id"), F.coalesce("least", "rep").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # Classes are written first: the join with the documents is then one whose hot classes adaptive execution can split.
-    out = described.select("doc_id", "set_a", "n_shingles").join(materialize(classes), "set_a", "left")
+    out = described.select("row", "doc_id", "set_a", "set_b", "n_shingles").join(materialize(classes), ["set_a", "set_b"], "left")
     own = F.col("n_shingles") == 0
     return out.select(
+        "row",
         "doc_id",
         F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(own, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"),
         F.when(own, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
         "n_shingles",
-    ).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        (own | (F.col("row") == F.col("least.row"))).alias("kept"),
+    )
+
+
+def join_documents(docs: DataFrame, **options) -> DataFrame:
+    """Link documents (doc_id, text) whose word shingle sets have Jaccard similarity >= threshold.
+
+    1. Each text becomes its set's two hashes, MinHash sketch and places in the tree; equal sets become one class.
+    2. Chosen paths (candidates()) gather classes into loose groups by sketches that are likely at a lower similarity.
+    3. Inside each group every two classes are compared exactly on their whole texts, in pairs of bounded blocks.
+    So a link is never wrong, and one is missed only if no run brought a path between its two classes. A run brings two sets of
+    similarity 0.8 together with a chance of about 0.57 after four splits, more after fewer, so a batch of 8 runs misses some one in 900. How many links
+    even and odd runs found each by themselves estimates that on the data; batches of runs repeat until the estimate reaches the
+    target, and if it never does the join raises RuntimeError. options: see join_rows().
+
+    Returns a row a document: doc_id, class_id (least doc_id with the same shingle set), component_id (least doc_id reachable
+    by links), n_links (other rows linked directly), n_shingles, kept (true for one row of each component: of least doc_id).
+    Null and empty texts have no shingles: they link with nothing and are classes of their own, all kept. Texts of fewer words than
+    width have one shingle. Rows without doc_id take no part and are not returned. Rows that repeat a doc_id are documents of their own:
+    equal texts are one class, other texts are judged by themselves. Other columns are ignored. An empty table gives no rows.
+    """
+    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    return keep_last(docs.sparkSession, lambda: join_rows(numbered(some, "row"), **options).drop("row"))
