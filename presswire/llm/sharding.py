@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from presswire.llm.common import bucket, materialize
+from presswire.llm.common import bucket, numbered, row_keys, with_nth
 
 UNIT_SCHEMA = T.StructType([T.StructField("unit", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("first_slot", T.LongType())])
 LARGE_SCHEMA = T.StructType([T.StructField("text_hash", T.LongType()), T.StructField("first_unit", T.LongType()), T.StructField("n_pieces", T.LongType())])
@@ -38,25 +38,31 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, cells_per_shard: int =
     hash). Groups below the mean cell size are gathered into n_shards * cells_per_shard cells by hash; larger ones, at
     most as many, are units of their own. So the packing sees a number of units that the parameters bound, whatever the
     input, and those alone reach the driver. A group above whole_share of a shard's bytes is dealt in pieces; every
-    other group stays in one shard.
+    other group stays in one shard. Pieces are dealt row by row, so a group splits whatever its doc_ids are.
 
     Returns doc_id, size, text_crc32, law ('bytes'), shard, slot (0, 1, ... in each shard), grown_shard (null), n_tokens.
-    Null text counts as empty; empty table: no rows; repeated rows are rows like others; other columns are ignored.
+    Null text counts as empty; empty table: no rows; rows that repeat a doc_id, or have none, are rows like others; other columns are
+    ignored. Reruns agree.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = materialize(
-        docs.select(
-            F.col("doc_id"),
+    key_a, key_b = row_keys(["doc_id", "text"])
+    base = numbered(
+        docs.select("doc_id", "text").select(
+            "doc_id",
             (F.octet_length(text).cast("long") + 8).alias("size"),
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
             F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("n_tokens"),
             F.xxhash64(text).alias("text_hash"),
-        )
+            key_a.alias("key_a"),
+            key_b.alias("key_b"),
+        ),
+        "row",
     )
+    base = with_nth(base, "row")
     spark = docs.sparkSession
     total = base.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("rows")).first()
     cells = n_shards * cells_per_shard
-    piece_rows = max(1, 32 * total["rows"] // cells)
+    piece_rows = max(1, 4 * total["rows"] // cells)
 
     groups = base.groupBy("text_hash").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
     large, first = [], cells
@@ -69,7 +75,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, cells_per_shard: int =
         first += n
     large_df = F.broadcast(spark.createDataFrame(large, LARGE_SCHEMA))
     rows = base.join(large_df, "text_hash", "left").withColumn(
-        "unit", F.coalesce(F.col("first_unit") + bucket(F.col("n_pieces"), "doc_id", seed=3), bucket(cells, "text_hash", seed=5))
+        "unit", F.coalesce(F.col("first_unit") + bucket(F.col("n_pieces"), "key_a", "nth", seed=3), bucket(cells, "text_hash", seed=5))
     )
 
     units = sorted(rows.groupBy("unit").agg(F.sum("size"), F.sum("n_tokens"), F.count(F.lit(1))).collect())
@@ -87,7 +93,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, cells_per_shard: int =
         placed.append((u[0], s, int(start[s])))
         start[s] += u[3]
     placed_df = F.broadcast(spark.createDataFrame(placed, UNIT_SCHEMA))  # bounded as the units are
-    inside = Window.partitionBy("unit").orderBy("doc_id", "text_hash")
+    inside = Window.partitionBy("unit").orderBy("key_a", "nth")  # a unit is a cell's rows or a piece's
     return (
         rows.withColumn("place", F.row_number().over(inside))
         .join(placed_df, "unit")
