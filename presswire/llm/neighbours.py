@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from presswire.llm.common import materialize, with_package
+from presswire.llm.common import few, keep_last, materialize, numbered, with_package
 from presswire.llm.graph import blocks, components, sized
 from presswire.llm.jaccard import segments, spanning
 from presswire.llm.topk import usable
@@ -92,16 +92,16 @@ def trim(found: DataFrame, k: int, threshold: float, most: int) -> DataFrame:
     return ranked.withColumn("room", F.when(full & (F.min("sim").over(own) >= threshold), F.least(F.col("room") * 2, F.lit(most))).otherwise(F.col("room"))).select("id", "other", "sim", "room")
 
 
-def descend(nodes: DataFrame, lists: DataFrame, threshold: float, per_task: int, member_rows: int) -> DataFrame:
+def descend(nodes: DataFrame, lists: DataFrame, threshold: float, per_task: int, member_rows: int, deal: int) -> DataFrame:
     """One round of NN-descent: at every node its neighbours, both ways, are compared with one another (they are neighbours' neighbours).
 
-    A node that is neighbour to very many has them dealt at random to parts of member_rows; each round deals anew.
+    A node that is neighbour to very many has them dealt at random to parts of member_rows; each round (deal) deals anew.
     """
     both = lists.select(F.col("id").alias("at"), F.col("other").alias("id")).unionByName(lists.select(F.col("other").alias("at"), "id")).distinct()
     both = materialize(both)
     degree = materialize(both.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))  # written, so that hubs can be split in the join
     room = lists.groupBy("id").agg(F.max("room").alias("room"))
-    members = both.join(degree, "at").withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("n") / member_rows))).join(nodes.join(room, "id"), "id")
+    members = both.join(degree, "at").withColumn("part", F.pmod(F.xxhash64(F.lit(deal), "id"), F.ceil(F.col("n") / member_rows))).join(nodes.join(room, "id"), "id")
     task = F.pmod(F.xxhash64("at", "part"), F.lit(max(1, both.count() // per_task)))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
@@ -138,13 +138,17 @@ def count_links(nodes: DataFrame, groups: DataFrame, threshold: float, block_row
     return rows.groupBy("task").applyInPandas(lambda f: count(f), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def audit(nodes: DataFrame, links: DataFrame, threshold: float, sample: int) -> tuple[int, int]:
-    """(links found, links there) of at most `sample` nodes, the latter by brute force against all nodes of their labels."""
-    some = nodes.orderBy(F.xxhash64(F.lit(9), "id"), "id").limit(sample).select("id", "label", "vector").collect()
-    if not some:
+def audit(nodes: DataFrame, counts: DataFrame, threshold: float, sample: int, seed: int) -> tuple[int, int]:
+    """(links found, links there), the latter by brute force against all nodes of their labels, of at most `sample` nodes of all and
+    `sample` of those for which links were found (id, links): where links are rare, nodes drawn from all have none."""
+    linked = few(counts.where("links > 0"), sample, "id", seed=seed).select("id")
+    some = few(nodes.select("id"), sample, "id", seed=seed + 1).unionByName(linked).distinct()
+    asked = nodes.join(F.broadcast(materialize(some)), "id").join(counts, "id", "left")  # 2 * sample rows at most
+    asked = asked.select("id", "label", "vector", F.coalesce("links", F.lit(0)).alias("links")).collect()
+    if not asked:
         return 0, 0
-    u = _matrix(pd.Series([r["vector"] for r in some]))
-    ids, labels = np.array([r["id"] for r in some]), np.array([r["label"] for r in some])
+    u = _matrix(pd.Series([r["vector"] for r in asked]))
+    ids, labels = np.array([r["id"] for r in asked]), np.array([r["label"] for r in asked])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -155,19 +159,19 @@ def audit(nodes: DataFrame, links: DataFrame, threshold: float, sample: int) ->
             yield pd.DataFrame({"n": [int((link @ batch["copies"].to_numpy()).sum())]})
 
     there = nodes.mapInPandas(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = links.where(F.col("id").isin([int(i) for i in ids])).agg(F.coalesce(F.sum("links"), F.lit(0))).first()[0]
-    return found, there
+    return sum(r["links"] for r in asked), there
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.98, k: int = 8, rounds: int = 2, leaf: int = 96, trees: int = 4, most: int = 64, target: float = 0.99, attempts: int = 3, sample: int = 512, seed: int = 13
+    vectors: DataFrame, threshold: float = 0.98, k: int = 8, rounds: int = 2, leaf: int = 96, trees: int = 4, most: int = 64, target: float = 0.99, attempts: int = 6, sample: int = 512, seed: int = 13
 ) -> DataFrame:
     """Link vectors (vec_id, embedding, label) of one label with cosine >= threshold in doubles.
 
-    Equal vectors become one node. NN-descent starts from lists that random cells give and refines them by comparing
+    Equal vectors of a label become one node. NN-descent starts from lists that random cells give and refines them by comparing
     neighbours' neighbours; lists full of links grow. Links form components. Inside each, every two nodes are then
     compared, which counts all links of saturated nodes. An audit measures the recall of links by brute force on at most `sample`
-    nodes; below the target, more trees and rounds follow.
+    nodes of all and as many of the linked ones; below the target, more trees and rounds follow, and after `attempts` of them
+    RuntimeError.
 
     Returns a row a vector: vec_id, n_links (other vectors linked directly), component_id (least vec_id reachable), kept.
     Vectors that are null, zero or hold null or non-finite components, and rows with null label, link with nothing. Rows without vec_id
@@ -178,29 +182,37 @@ def near_duplicates(
     vector = F.transform("embedding", lambda x: x.cast("double"))
     fit = usable("embedding") & F.exists("embedding", lambda x: x != 0) & F.col("label").isNotNull()
     base = vectors.where("vec_id is not null").select("vec_id", F.col("label").cast("long").alias("label"), F.when(F.coalesce(fit, F.lit(False)), vector).alias("vector"))
-    base = base.withColumn("key", F.when(F.col("vector").isNotNull(), F.xxhash64("label", "vector")))
-    nodes = base.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector"))
-    nodes = materialize(nodes.withColumnRenamed("key", "id"))
+    key = lambda seed: F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(seed), "label", "vector"))
+    base = base.withColumns({"key_a": key(1), "key_b": key(2)})
+    return keep_last(vectors.sparkSession, lambda: _linked(base, threshold, k, rounds, leaf, trees, most, target, attempts, sample, seed))
+
+
+def _linked(base: DataFrame, threshold: float, k: int, rounds: int, leaf: int, trees: int, most: int, target: float, attempts: int, sample: int, seed: int) -> DataFrame:
+    """near_duplicates() of vec_id, label, vector (null if it links with nothing), key_a, key_b (which equal vectors of a label share)."""
+    nodes = base.where("key_a is not null").groupBy("key_a", "key_b").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector"))
+    nodes = numbered(nodes, "id")
 
     lists = forest = counts = groups = None
     for attempt in range(attempts):
         found = materialize(start_lists(nodes, k, leaf, trees, threshold, seed + attempt))
         forest = found.where("room = 0") if forest is None else forest.unionByName(found.where("room = 0"))
         lists = materialize(trim(found if lists is None else found.unionByName(lists), k, threshold, most))
-        for _ in range(rounds):
-            found = materialize(descend(nodes, lists, threshold, 20_000, 256))
+        for r in range(rounds):
+            found = materialize(descend(nodes, lists, threshold, 20_000, 256, deal=attempt * rounds + r))
             forest = forest.unionByName(found.where("room = 0"))
             lists = materialize(trim(found.unionByName(lists), k, threshold, most))
         groups = components(forest.select(F.col("id").alias("a"), F.col("other").alias("b")))
         counts = materialize(count_links(nodes, groups, threshold, 256, 2000))
-        have, there = audit(nodes, counts, threshold, sample)
+        have, there = audit(nodes, counts, threshold, sample, seed)
         log.info("links found %s of %s in the audit", have, there)
         if have >= target * there:
             break
+    else:
+        raise RuntimeError(f"{have} of {there} links found in the audit, below the target of {target} after {attempts} attempts: ask for more")
     groups = materialize(groups)
     least = groups.join(nodes.select("id", "rep"), "id").groupBy("component").agg(F.min("rep").alias("component_id"))
     least = materialize(least)
-    linked = nodes.select("id", "rep", "copies").join(groups.join(least, "component").select("id", "component_id"), "id", "left").join(counts, "id", "left")
-    linked = linked.select(F.col("id").alias("key"), F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = base.select("vec_id", "key").join(materialize(linked), "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    linked = nodes.select("id", "key_a", "key_b", "rep", "copies").join(groups.join(least, "component").select("id", "component_id"), "id", "left").join(counts, "id", "left")
+    linked = linked.select("key_a", "key_b", F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = base.select("vec_id", "key_a", "key_b").join(materialize(linked), ["key_a", "key_b"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
