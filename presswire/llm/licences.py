@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswire.llm.common import with_package
+from presswire.llm.common import few, materialize, with_package
 
 # Notices and passages of licence families, from the licences' public texts.
 TEMPLATES = {
@@ -198,9 +199,10 @@ def train(noise: list[list[str]], each: int = 150, steps: int = 200, l1: float =
 
 
 def fit(docs: DataFrame, fit_rows: int = 1_000, fit_units: int = 3_000) -> Classifier:
-    """A classifier whose unknown class is learned from at most fit_units units of fit_rows documents (those of least hash of doc_id).
+    """A classifier whose unknown class is learned from at most fit_units units of fit_rows documents (those of least hash of doc_id and text).
 
-    Units that alone or with their neighbours confirm a template are left out of the unknown class. Only the others reach the driver.
+    Units that alone or with their neighbours confirm a template are left out of the unknown class. Of the others some seven a document
+    reach the driver. A bound on the hash leaves few rows before any are sorted, so no task gets texts of all partitions.
     """
     with_package(docs.sparkSession)
 
@@ -214,9 +216,10 @@ def fit(docs: DataFrame, fit_rows: int = 1_000, fit_units: int = 3_000) -> Class
                         out.append(" ".join(words[lo:hi]))
             yield pd.DataFrame({"line": out})
 
-    few = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    noise = [r["line"].split() for r in few.mapInPandas(lines, "line string").limit(fit_units).collect()]
-    return train(sorted(w for w in noise if w))
+    some = materialize(few(docs.select("doc_id", "text").where("doc_id is not null and text is not null"), fit_rows, "doc_id", "text"))
+    noise = [r["line"] for r in some.mapInPandas(lines, "line string").collect() if r["line"]]
+    noise = sorted(noise, key=lambda x: (zlib.crc32(x.encode()), x))[:fit_units]
+    return train(sorted(x.split() for x in noise))
 
 
 def judge(words: list[str], hits: list[tuple[int, int, int]], model: Classifier, owners: list[set[int]], confirm: float) -> tuple[list[tuple[int, float]], int]:
