@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswire.llm.common import materialize, with_package
+from presswire.llm.common import few, materialize, with_package
 
 DOC_FEATURES = 3
 
@@ -158,20 +158,44 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, l2: float = 0.1) ->
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, max_features: int = 4_000, max_chains: int = 20_000, width: int = 16) -> Tagger:
+def stretch_marginals(features: np.ndarray, listed: np.ndarray, mask: np.ndarray, tagger: Tagger) -> np.ndarray:
+    """Marginals of train_crf()'s stretches under a tagger."""
+    before, after = np.zeros(mask.shape), np.zeros(mask.shape)
+    before[:, 1:], after[:, :-1] = listed[:, :-1], listed[:, 1:]
+    emit = np.append(tagger.weights, 0.0)[features].sum(axis=2) + tagger.extra[0] + before * tagger.extra[1] + after * tagger.extra[2]
+    return forward_backward(emit, mask, tagger.trans)[0]
+
+
+def relabel(p: np.ndarray, kind: np.ndarray, likely: float = 0.2) -> np.ndarray:
+    """Token labels from the tagger's own marginals p (chains, steps). kind, by chain: -1 of a clean text, where no token is toxic; 0 of a toxic
+    text, where tokens of `likely` or more are; 1 of a toxic text and cut around a suspect token, where the likeliest is in any case."""
+    out = (p >= likely) & (kind >= 0)[:, None]
+    sure = np.flatnonzero(kind == 1)
+    out[sure, p[sure].argmax(axis=1)] = True
+    return out.astype(float)
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, max_features: int = 4_000, max_chains: int = 20_000, width: int = 16, rounds: int = 2) -> Tagger:
     """Learn from at most fit_rows labelled documents that are not held out (those of least hash of doc_id).
 
-    Token labels come from the documents': a feature (word, or beginning of words) found in far more toxic than clean
-    documents, relative to their numbers, makes its tokens in toxic documents toxic; every other token is clean. The CRF
-    is trained on at most max_chains stretches of width tokens of these documents, the logistic layer on the documents'
-    marginals. Only features, stretches and document sums of the bounded sample reach the driver. Text is the only input.
+    The tables label documents, not tokens, so token labels start from contrast: a feature (word, or beginning of words) that three or
+    more toxic documents hold, far more of them than clean ones relative to their numbers, makes its tokens in toxic documents toxic;
+    every other token is clean. The CRF is trained on stretches of width tokens of these documents, then relabels them: tokens that
+    it finds likely in their context become toxic in toxic documents, others clean (relabel()), and is trained again, `rounds` times in all.
+    The logistic layer is trained on the documents' marginals. Text is the only input.
+
+    Labels that are null count as none; of labels that contradict each other toxic wins, also for equal texts. Of rows that repeat a
+    labelled doc_id one text is learned from. Only features, stretches (max_chains + 2 fit_rows at most) and document sums of the bounded
+    sample reach the driver.
     """
     with_package(docs.sparkSession)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~is_held_out())
     known = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
-    rows = materialize(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id").repartition(16, "doc_id"))
-    totals = {r["toxic"] > 0: r["n"] for r in rows.groupBy("toxic").agg(F.countDistinct(F.xxhash64("text")).alias("n")).collect()}
+    sample = F.broadcast(materialize(few(known, fit_rows, "doc_id")))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text")).join(sample, "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+    rows = materialize(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).repartition(16))
+    totals = {r["toxic"] > 0: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = totals.get(True, 0), totals.get(False, 0)
     if not n1 or not n0:
         return Tagger()
@@ -182,10 +206,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, max_features
                 seen = Counter(f for t in texts for f in {f for w in set(t.lower().split()) for f in token_features(w)})
                 yield pd.DataFrame({"feature": list(seen), "toxic": int(toxic), "n": list(seen.values())})
 
-    counts = rows.dropDuplicates(["text"]).mapInPandas(count, "feature string, toxic int, n long")
+    counts = rows.mapInPandas(count, "feature string, toxic int, n long")
     counts = counts.groupBy("feature").agg(F.sum(F.col("n") * F.col("toxic")).alias("n1"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("n0"))
     ratio = ((F.col("n1") + 0.5) / (n1 + 1)) / ((F.col("n0") + 0.5) / (n0 + 1))
-    strong = counts.where(F.col("n1") >= max(3, n1 // 200)).withColumn("ratio", ratio).where("ratio >= 8").orderBy(F.desc(F.log("ratio") * F.sqrt("n1")), "feature").limit(max_features)
+    strong = counts.where("n1 >= 3").withColumn("ratio", ratio).where("ratio >= 8").orderBy(F.desc(F.log("ratio") * F.sqrt("n1")), "feature").limit(max_features)
     ids = {r["feature"]: i for i, r in enumerate(strong.collect())}
     if not ids:
         return Tagger()
@@ -201,22 +225,25 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, max_features
                     continue
                 found = [i for i, w in enumerate(tokens) if tagger.listed(w)]
                 rng = np.random.default_rng(zlib.crc32(text.encode()))
-                centres = [*rng.permutation(found)[: max(1, each)], *rng.integers(len(tokens), size=1)]
-                for c in centres:
+                centres = [*rng.permutation(found)[:each], *rng.integers(len(tokens), size=1)]
+                for k, c in enumerate(centres):
                     part = tokens[max(0, int(c) - width // 2) :][:width]
                     x = np.full((width, 3), -1, dtype=np.int32)
-                    for k, w in enumerate(part):
+                    for j, w in enumerate(part):
                         f = tagger.listed(w)
-                        x[k, : len(f)] = f
-                    out.append((x.tobytes(), len(part), int(toxic > 0)))
-            yield pd.DataFrame(out, columns=["x", "n", "toxic"])
+                        x[j, : len(f)] = f
+                    out.append((x.tobytes(), len(part), -1 if toxic <= 0 else int(k < len(centres) - 1)))
+            yield pd.DataFrame(out, columns=["x", "n", "kind"])
 
-    got = rows.mapInPandas(stretches, "x binary, n int, toxic int").limit(2 * max_chains).toPandas()
+    got = rows.mapInPandas(stretches, "x binary, n int, kind int").toPandas().sort_values(["x", "n", "kind"], ignore_index=True)
     x = np.stack([np.frombuffer(b, dtype=np.int32).reshape(width, 3) for b in got["x"]])
-    mask = np.arange(width)[None, :] < got["n"].to_numpy()[:, None]
-    listed = (x[:, :, 0] >= 0).astype(float)
-    gold = listed * got["toxic"].to_numpy()[:, None]
-    tagger.weights, tagger.extra, tagger.trans = train_crf(x, listed, mask, gold, len(ids))
+    mask, kind = np.arange(width)[None, :] < got["n"].to_numpy()[:, None], got["kind"].to_numpy()
+    listed = (x >= 0).any(axis=2).astype(float)
+    gold = listed * (kind >= 0)[:, None]
+    for r in range(rounds):
+        tagger.weights, tagger.extra, tagger.trans = train_crf(x, listed, mask, gold, len(ids))
+        if r < rounds - 1:
+            gold = relabel(stretch_marginals(x, listed, mask, tagger), kind)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -224,6 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, max_features
             yield pd.DataFrame({"a": f[:, 0], "b": f[:, 1], "c": f[:, 2], "toxic": (batch["toxic"] > 0).to_numpy().astype(int)})
 
     seen = rows.mapInPandas(sums, "a double, b double, c double, toxic int").toPandas()  # fit_rows rows at most
+    seen = seen.sort_values(["a", "b", "c", "toxic"])
     tagger.document = _logistic(seen[["a", "b", "c"]].to_numpy(), seen["toxic"].to_numpy().astype(float))
     return tagger
 
