@@ -80,12 +80,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_exact_topk": """
         with v as (
-          select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as g from embeddings
+          select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as g from embeddings
           where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
         ), s as (
-          select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.g, c.g), lambda z: z[1] * z[2]))::bigint as score
-          from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id
-        ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+          select q.r as q, q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.g, c.g), lambda z: z[1] * z[2]))::bigint as score
+          from v q join v c on q.vec_id % 100 = 0 and q.r <> c.r
+        ), r as (select *, row_number() over (partition by q order by score desc, vec_id) as rank from s)
         select query_id, rank::integer as rank, vec_id, score from r where rank <= 10""",
     "op3_embedding_near_dedup": """
         with recursive v as (

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from presswire.llm.common import bucket, materialize, with_package
+from presswire.llm.common import bucket, materialize, numbered, with_package
 
-PACKED = "cls long, sub long, longest double, n int, ids binary, vectors binary"
+PACKED = "cls long, sub long, n int, ids binary, vectors binary"
 SLACK = 1e-9  # relative; pruning by rounded bounds must never drop a row that ties
 
 
@@ -25,13 +25,12 @@ def usable(vector: str) -> Column:
 
 
 def to_grid(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
-    """id, vector: array<long> of floor(scale * component) in doubles, one row an id (the least vector if they differ).
+    """row, id, vector: array<long> of floor(scale * component) in doubles, of each row; row tells rows apart that repeat an id.
 
     Rows with a null id and vectors that are null or hold null or non-finite components are left out.
     """
-    rows = df.select(F.col(id_column).alias("id"), F.col(vector).alias("raw")).where(F.col("id").isNotNull() & usable("raw"))
-    grid = F.transform("raw", lambda x: F.floor(x.cast("double") * scale))
-    return rows.select("id", grid.alias("vector")).groupBy("id").agg(F.min("vector").alias("vector"))
+    rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("raw")).where(F.col("id").isNotNull() & usable("raw"))
+    return numbered(rows.select("id", F.transform("raw", lambda x: F.floor(x.cast("double") * scale)).alias("vector")), "row")
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -43,13 +42,17 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 
 
 def _pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values(["norm", "id"], ascending=[False, True])
+    """A bucket as one row: ids are row numbers, then ids; vectors are held in the least width that fits, which their first byte tells."""
+    frame = frame.sort_values(["norm", "id", "row"], ascending=[False, True, True])
     m = _matrix(frame["vector"])
-    return pd.DataFrame([(key[0], key[1], float(frame["norm"].max()), len(frame), frame["id"].to_numpy(dtype=np.int64).tobytes(), m.tobytes())], columns=["cls", "sub", "longest", "n", "ids", "vectors"])
+    m = m.astype(next(t for t in (np.int16, np.int32, np.int64) if np.abs(m).max(initial=0) <= np.iinfo(t).max))
+    ids = frame[["row", "id"]].to_numpy(dtype=np.int64).T
+    return pd.DataFrame([(key[0], key[1], len(frame), ids.tobytes(), bytes([m.itemsize]) + m.tobytes())], columns=["cls", "sub", "n", "ids", "vectors"])
 
 
 def _unpack(n: int, ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, dtype=np.int64), np.frombuffer(vectors, dtype=np.int64).reshape(n, -1)
+    """(row numbers and ids: 2 x n, vectors)."""
+    return np.frombuffer(ids, dtype=np.int64).reshape(2, n), np.frombuffer(vectors, dtype=f"i{vectors[0]}", offset=1).astype(np.int64).reshape(n, -1)
 
 
 def _products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -61,7 +64,8 @@ def _products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def search_bucket(q_ids, q, theta, p_ids, p, k: int, coordinate_from: float = 0.6, focus: int = 4):
-    """(query row, candidate id, score) with score >= theta[row] that can be among the row's k best of this bucket.
+    """(query, candidate id, score) with score >= theta[query] that can be among the query's k best of this bucket. q_ids, p_ids: row
+    numbers and ids (2 x n); a row is no candidate of its own.
 
     p is sorted by falling length. A query's local threshold is the cosine that its theta asks of the longest vector: above 1 the
     bucket is skipped; from coordinate_from on, candidates are pruned by what the query's largest coordinates leave
@@ -78,8 +82,8 @@ def search_bucket(q_ids, q, theta, p_ids, p, k: int, coordinate_from: float = 0.
     out_q, out_id, out_score = [], [], []
 
     def keep(row: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        ok = (scores >= theta[row]) & (ids != q_ids[row])
-        ids, scores = ids[ok], scores[ok]
+        ok = (scores >= theta[row]) & (ids[0] != q_ids[0][row])
+        ids, scores = ids[1][ok], scores[ok]
         best = np.lexsort((ids, -scores))[:k]
         out_q.append(np.full(len(best), row)), out_id.append(ids[best]), out_score.append(scores[best])
 
@@ -88,7 +92,7 @@ def search_bucket(q_ids, q, theta, p_ids, p, k: int, coordinate_from: float = 0.
         prefix = np.searchsorted(-p_len, -need[by_length], side="right")
         scores = _products(q[by_length], p[: prefix.max()])
         for row, n, s in zip(by_length, prefix, scores, strict=True):
-            keep(row, p_ids[:n], s[:n])
+            keep(row, p_ids[:, :n], s[:n])
     by_coordinate = np.flatnonzero((local >= coordinate_from) & (local <= 1))
     if len(by_coordinate):
         unit = np.divide(p, p_len[:, None], out=np.zeros(p.shape), where=p_len[:, None] > 0)
@@ -99,22 +103,22 @@ def search_bucket(q_ids, q, theta, p_ids, p, k: int, coordinate_from: float = 0.
             part = unit[:, at]
             bound = part @ u[at] + rest * np.sqrt(np.maximum(0.0, 1 - (part**2).sum(axis=1)))
             ok = np.flatnonzero((bound + 1e-9) * p_len >= need[row])
-            keep(row, p_ids[ok], _products(q[row : row + 1], p[ok])[0])
+            keep(row, p_ids[:, ok], _products(q[row : row + 1], p[ok])[0])
     join = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
     return join(out_q), join(out_id), join(out_score)
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, ratio: float = 1.05, bucket_rows: int = 512, query_rows: int = 512, seeds: int = 4) -> DataFrame:
-    """Each query's k highest inner products with candidates of another id: query_id, rank (from 1), vec_id, score.
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, ratio: float = 1.05, bucket_rows: int = 4096, query_rows: int = 512, seeds: int = 4) -> DataFrame:
+    """Each query's k highest inner products with candidates of another row number: query_id, rank (from 1), vec_id, score.
 
-    Both tables: id long, vector array<long>. Candidates are grouped by length (within a factor ratio), and each group by
-    hash into buckets of about bucket_rows; queries into blocks. The longest buckets give each query a threshold that k
-    candidates reach; then every block meets the buckets whose length can still matter, in pairs joined on the bucket's
-    key. A pair is one row, so no task holds more than its blocks; only counts by length class (at most some
-    30,000 for doubles) reach the driver.
+    Both tables: row, id (longs), vector array<long>; a row number stands for one row in both. Candidates are grouped by length (within a
+    factor ratio), and each group by hash into buckets of about bucket_rows; queries into blocks of about query_rows. The longest buckets
+    give each query a threshold that k candidates reach; then every block meets the buckets whose length can still matter, in pairs joined
+    on the bucket's key. A pair is one row, so no task holds more than its blocks, and buckets, the larger side, are sent once;
+    only counts by length class (at most some 30,000 for doubles) reach the driver.
 
-    Ties go to the smaller id. A query with fewer candidates than k gets them all. Vectors of unequal length count as
-    padded with zeros. Empty tables give no rows.
+    Ties go to the smaller id. A query with fewer candidates than k gets them all. Rows that repeat an id are queries and candidates of
+    their own. Vectors of unequal length count as padded with zeros. Empty tables give no rows.
     """
     spark = candidates.sparkSession
     with_package(spark)
@@ -124,12 +128,12 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, ratio: float =
     classes = sorted(((r["cls"], -(-r["n"] // bucket_rows)) for r in rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
     subs = T.StructType([T.StructField("cls", T.LongType()), T.StructField("subs", T.LongType())])
     subs_df = F.broadcast(spark.createDataFrame(classes, subs))
-    buckets = rows.join(subs_df, "cls").withColumn("sub", bucket(F.col("subs"), "id", seed=1)).select("cls", "sub", "norm", "id", "vector")
+    buckets = rows.join(subs_df, "cls").withColumn("sub", bucket(F.col("subs"), "row", seed=1)).select("cls", "sub", "norm", "row", "id", "vector")
     buckets = materialize(buckets.groupBy("cls", "sub").applyInPandas(_pack, PACKED))
 
     asked = queries.withColumn("norm", norm)
     blocks = max(1, -(-asked.count() // query_rows))
-    blocks_df = asked.withColumns({"cls": F.lit(0).cast("long"), "sub": bucket(blocks, "id", seed=2)}).select("cls", "sub", "norm", "id", "vector").groupBy("cls", "sub").applyInPandas(_pack, PACKED)
+    blocks_df = asked.withColumns({"cls": F.lit(0).cast("long"), "sub": bucket(blocks, "row", seed=2)}).select("cls", "sub", "norm", "row", "id", "vector").groupBy("cls", "sub").applyInPandas(_pack, PACKED)
     blocks_df = materialize(blocks_df.select(F.col("sub").alias("block"), F.col("n").alias("qn"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
 
     # Thresholds: in each of the longest buckets a query's k-th best score; the highest of these is one that k rows reach.
@@ -172,7 +176,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, ratio: float =
             yield pd.DataFrame(out, columns=["block", "cls", "sub", "theta"])
 
     pairs = blocks_df.join(seeded, "block", "left").mapInPandas(reach, "block long, cls long, sub long, theta binary")
-    pairs = pairs.join(buckets, ["cls", "sub"]).join(blocks_df, "block")
+    pairs = pairs.join(blocks_df, "block").join(buckets, ["cls", "sub"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -180,8 +184,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, ratio: float =
                 q_ids, q = _unpack(r.qn, r.q_ids, r.q_vectors)
                 p_ids, p = _unpack(r.n, r.ids, r.vectors)
                 row, ids, score = search_bucket(q_ids, q, np.frombuffer(r.theta), p_ids, p, k)
-                yield pd.DataFrame({"query_id": q_ids[row], "vec_id": ids, "score": score})
+                yield pd.DataFrame({"query": q_ids[0][row], "query_id": q_ids[1][row], "vec_id": ids, "score": score})
 
-    found = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = pairs.mapInPandas(search, "query long, query_id long, vec_id long, score long")
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
