@@ -11,6 +11,7 @@ anchor that very many have are dealt by the hashes of their windows instead: equ
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,17 +27,19 @@ from presswire.llm.common import materialize, with_package
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 SENT = "task long, kind int, data binary"
-KEYS, SPANS, CONTEXTS, WINDOWS = 0, 1, 2, 3
+KEYS, SPANS, CONTEXTS, WINDOWS, HOT_KEYS = 0, 1, 2, 3, 4
+PLACE_BITS = 31  # of a place in a text; the bits above tell texts apart
 
 
 @dataclass(frozen=True)
 class Grain:
-    """Lengths in bytes: of the least repeat, and of an anchor; a window holds least - anchor + 1 anchors. hot: contexts (distinct in a
-    batch) of an anchor above which they are dealt by window."""
+    """Lengths in bytes: of the least repeat, and of an anchor; a window holds least - anchor + 1 anchors. Contexts of an anchor are dealt by
+    window if a batch has more than `often` different ones, or all batches together more than `hot`."""
 
     least: int = 50
     anchor: int = 20
     hot: int = 20_000
+    often: int = 64
 
     @property
     def choices(self) -> int:
@@ -110,6 +113,11 @@ def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, grain: Grai
     return {"doc": doc, "lo": lo, "hi": last + grain.least, "anchor": at[lo].astype(np.int64), "key": h[at[lo]], "whole": whole}
 
 
+def text_tag(text: bytes) -> int:
+    """What is added to places in a text: they then differ for different texts of rows that repeat a doc_id."""
+    return zlib.crc32(text) << PLACE_BITS
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indexes starts[0] .. starts[0] + lengths[0] - 1, then the next's, and so on."""
     if not len(lengths):
@@ -179,8 +187,8 @@ def merge(pairs: np.ndarray) -> np.ndarray:
 
 
 def gather(ids: np.ndarray, texts: list[bytes], grain: Grain, wanted: np.ndarray | None = None, chunk: int = 1 << 18):
-    """Contexts of a batch of documents (contexts()' columns and start, the document's place in data; doc: its id), their bytes, and the spans
-    settled here (doc, lo, hi).
+    """Contexts of a batch of documents (contexts()' columns and start, the document's place in data less its text_tag(); doc: its id), their
+    bytes, and the spans settled here (doc, lo, hi; places with tags).
 
     A text, or a context, that a document of the batch with a smaller id has too is settled here: all of it is covered.
     Only those of the least id are returned, so whatever is frequent sends one row a batch. wanted: keep only contexts
@@ -194,7 +202,7 @@ def gather(ids: np.ndarray, texts: list[bytes], grain: Grain, wanted: np.ndarray
         if seen.setdefault(texts[i], int(ids[i])) == ids[i]:
             keep.append(i)
         else:
-            settled.append((ids[i], 0, len(texts[i])))
+            settled.append((ids[i], text_tag(texts[i]), text_tag(texts[i]) + len(texts[i])))
     seen.clear()
     found, pieces, part, base, size = [], [], [], 0, 0
     for i in [*keep, -1]:
@@ -203,7 +211,8 @@ def gather(ids: np.ndarray, texts: list[bytes], grain: Grain, wanted: np.ndarray
             lengths = np.array([len(texts[j]) for j in part], dtype=np.int64)
             ends = np.cumsum(lengths)
             c = contexts(np.frombuffer(joined, dtype=np.uint8), ends - lengths, ends, grain)
-            c["start"] = (ends - lengths)[c["doc"]]
+            tags = np.array([text_tag(texts[j]) for j in part], dtype=np.int64)
+            c["start"] = (ends - lengths - tags)[c["doc"]]
             c["doc"] = ids[np.array(part)][c["doc"]]
             if wanted is not None:
                 ok = np.isin(pair_number(c["doc"], short_key(c["key"])), wanted)
@@ -251,34 +260,54 @@ def by_bucket(key: np.ndarray, n: int, *order: np.ndarray) -> Iterator[tuple[int
 
 
 def key_rows(ids: np.ndarray, texts: list[bytes], grain: Grain, n: int) -> Iterator[pd.DataFrame]:
-    """SENT rows of a batch for the first round: documents and short keys of their anchors, for each bucket, and settled spans."""
+    """SENT rows of a batch for the first round: documents and short keys of their anchors, for each bucket, and settled spans.
+
+    An anchor that the batch alone shows to be hot is no question any more: its documents are told at once (HOT_KEYS), and its bucket
+    gets one row for all of them (marked, which is 1). So a bucket gets at most grain.often rows of an anchor from a batch.
+    """
     c, _, (doc, lo, hi) = gather(ids, texts, grain)
     if len(doc):
         yield span_rows(doc, lo, hi, n)
-    if c is not None:
-        short = short_key(c["key"])
-        rows = [(b, KEYS, pack([c["doc"][r], short[r]])) for b, r in by_bucket(c["key"], n, c["doc"], short)]
-        yield pd.DataFrame(rows, columns=["task", "kind", "data"])
+    if c is None:
+        return
+    doc, key = c["doc"], c["key"]
+    order = np.lexsort((doc, key))
+    doc, key = doc[order], key[order]
+    begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    times = np.diff(np.append(begins, len(key)))
+    hot = np.repeat(times > grain.often, times)
+    if hot.any():
+        yield told_rows(doc[hot], short_key(key[hot]), (key[hot] % np.uint64(n)).astype(np.int64) + 1, n, HOT_KEYS)
+    send = ~hot
+    send[begins[times > grain.often]] = True
+    doc, short, key, marked = doc[send], short_key(key[send]), key[send], hot[send].astype(np.int64)
+    rows = [(b, KEYS, pack([doc[r], short[r], marked[r]])) for b, r in by_bucket(key, n, doc, short)]
+    yield pd.DataFrame(rows, columns=["task", "kind", "data"])
 
 
-def shared_keys(blobs: list[bytes], n: int, bucket: int, most: int) -> pd.DataFrame:
-    """SENT rows: of the documents that share an anchor with another one, the documents, short keys, and 1 + bucket for anchors of more than
-    `most` rows or 0, by bucket of documents."""
-    parts = [unpack(b)[0] for b in blobs]
-    doc, short = (np.concatenate([p[i] for p in parts]) for i in range(2))
-    order = np.lexsort((doc, short))
-    doc, short = doc[order], short[order]
-    fresh = np.append(True, short[1:] != short[:-1])
-    begins = np.flatnonzero(fresh)
-    several = (doc[begins] != doc[np.append(begins[1:], len(doc)) - 1])[np.cumsum(fresh) - 1]
-    hot = (np.diff(np.append(begins, len(doc))) > most)[np.cumsum(fresh) - 1]
-    doc, short, hot = doc[several], short[several], hot[several] * (bucket + 1)
+def told_rows(doc: np.ndarray, short: np.ndarray, hot: np.ndarray, n: int, kind: int) -> pd.DataFrame:
+    """SENT rows by bucket of documents: documents, short keys of their shared anchors, and 1 + bucket of hot anchors or 0."""
     to = document_bucket(doc, n)
     order = np.lexsort((short, doc, to))
     doc, short, hot, to = doc[order], short[order], hot[order], to[order]
     at = np.unique(to)
     cuts = np.searchsorted(to, at), np.searchsorted(to, at, side="right")
-    return pd.DataFrame({"task": at, "kind": KEYS, "data": [pack([doc[i:j], short[i:j], hot[i:j]]) for i, j in zip(*cuts, strict=True)]})
+    return pd.DataFrame({"task": at, "kind": kind, "data": [pack([doc[i:j], short[i:j], hot[i:j]]) for i, j in zip(*cuts, strict=True)]})
+
+
+def shared_keys(blobs: list[bytes], n: int, bucket: int, most: int) -> pd.DataFrame:
+    """told_rows() for the documents that share an anchor with another one; an anchor is hot if it has more than `most` rows or a marked one."""
+    parts = [unpack(b)[0] for b in blobs]
+    doc, short, marked = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.lexsort((doc, short))
+    doc, short, marked = doc[order], short[order], marked[order]
+    fresh = np.append(True, short[1:] != short[:-1])
+    begins = np.flatnonzero(fresh)
+    of = np.cumsum(fresh) - 1
+    told = np.maximum.reduceat(marked, begins) > 0
+    several = (told | (doc[begins] != doc[np.append(begins[1:], len(doc)) - 1]))[of]
+    hot = (told | (np.diff(np.append(begins, len(doc))) > most))[of]
+    return told_rows(doc[several], short[several], hot[several] * (bucket + 1), n, KEYS)
 
 
 def window_runs(doc: np.ndarray, where: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -482,8 +511,8 @@ def repeated_spans(docs: DataFrame, grain: Grain, batch_bytes: int = 8 << 20, bu
     """task, data: packed spans of bytes that smaller documents have in repeats of grain.least or more, by bucket of documents; number of buckets.
 
     Two rounds. The first sends 40 bits for each anchor to the anchor's bucket and learns which ones two documents share. The second sends
-    the contexts of those alone and works on their suffixes; those of an anchor with more than grain.hot of them go by window. Buckets
-    grow in number with the input, not in size, but for the first round's numbers (two for each context of an anchor).
+    the contexts of those alone and works on their suffixes; those of hot anchors (Grain) go by window. Buckets grow in number with
+    the input, not in size, but for the first round's numbers: at most grain.often pairs of numbers of an anchor from each batch.
     """
     with_package(docs.sparkSession)
     rows = docs.select("doc_id", "text")
@@ -530,7 +559,7 @@ def repeated_spans(docs: DataFrame, grain: Grain, batch_bytes: int = 8 << 20, bu
         return span_rows(*(bucket_spans if key[0] == CONTEXTS else window_spans)(frame["data"].tolist(), grain), n)
 
     placed = place(rows, n)
-    sent = placed.groupBy("task").cogroup(first.where(F.col("kind") == KEYS).groupBy("task")).applyInArrow(send_contexts, SENT)
+    sent = placed.groupBy("task").cogroup(first.where(F.col("kind").isin(KEYS, HOT_KEYS)).groupBy("task")).applyInArrow(send_contexts, SENT)
     second = sent.groupBy("kind", "task").applyInPandas(lambda k, f: second_round(k, f), SENT)
     spans = first.where(F.col("kind") == SPANS).unionByName(second)
     return spans.select("task", "data"), n
@@ -558,7 +587,13 @@ def _cut(docs: pa.Table, spans: pa.Table) -> Iterator[tuple[bytes, int, int] | N
         doc, pairs = doc[order], np.stack([lo[order], hi[order]], axis=1)
     for d, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), strict=True):
         i, j = (np.searchsorted(doc, d), np.searchsorted(doc, d, side="right")) if parts and d is not None else (0, 0)
-        yield _without(text.encode(), pairs[i:j]) if j > i and text else None
+        if j == i or not text:
+            yield None
+            continue
+        data = text.encode()
+        own = pairs[i:j] - text_tag(data)
+        own = own[(own[:, 0] >= 0) & (own[:, 1] <= len(data))]
+        yield _without(data, own) if len(own) else None
 
 
 def dedup(docs: DataFrame, grain: Grain = Grain()) -> DataFrame:
@@ -566,9 +601,8 @@ def dedup(docs: DataFrame, grain: Grain = Grain()) -> DataFrame:
 
     Every byte covered by a string of grain.least bytes that also starts in a document of smaller doc_id goes; strings are
     judged on the input. Returns doc_id, n_bytes, n_removed, n_spans (maximal runs), kept_sha256.
-    Null text counts as empty. Rows without doc_id keep all and cover nothing. Rows that repeat a doc_id count as one document: what is
-    found in one is cut from each at the same places. Texts shorter than grain.least stay whole. An empty table gives no rows.
-    Other columns are ignored.
+    Null text counts as empty. Rows without doc_id keep all and cover nothing. Rows that repeat a doc_id cover nothing in each other; each is
+    cut by its own text. Texts shorter than grain.least stay whole. An empty table gives no rows. Other columns are ignored.
     """
     rows = docs.select("doc_id", "text")
     spans, n = repeated_spans(rows, grain)
