@@ -18,12 +18,29 @@ from presswire.llm.common import bucket, materialize, with_package
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: What a tokenizer file must say for the fast path, and how it then parts texts (the pattern that use_regex stands for).
+FAST = {
+    "normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False},
+}
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def is_fast(spec: dict) -> bool:
+    """The file is a plain byte-level BPE whose merges come in the order of their tokens' ids, so that ranks are ids."""
+    model = spec["model"]
+    if any(spec.get(k) != FAST[k] for k in ("normalizer", "pre_tokenizer")) or any(model.get(k, v) != v for k, v in FAST["model"].items()):
+        return False
+    made = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    return all(a < b for a, b in zip([-1, *made], made, strict=False))
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """text -> ids of the byte-level BPE tokenizer file at path.
+    """text -> ids of the tokenizer file at path, as the tokenizers library gives them.
 
-    Ids are those of the tokenizers library. Its vocabulary and merges are also run through tiktoken, which gives the
-    same ids several times faster; a text that holds the string of an added token goes to tokenizers itself.
+    If is_fast(), vocabulary and merges are also run through tiktoken, which gives the same ids several times faster; a text that holds
+    the string of an added token goes to tokenizers itself, as every text does for another kind of file.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import tiktoken
@@ -32,13 +49,14 @@ def encoder(path: str):
     tokenizer = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    if not is_fast(spec):
+        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
     added = [t["content"] for t in spec.get("added_tokens", [])]
     # Byte-level BPE writes a byte as itself where it is printable, else as the next code point from 256 on.
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
-    pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
         if any(t in text for t in added):
@@ -99,16 +117,18 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def empty_bins(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: int = 8) -> list[list[int]]:
+def empty_bins(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Local search: moves and swaps between underfull bins, each raising the sum of squared fills, until bins empty.
 
     From the emptiest bin on, a document moves into the fullest bin with room, else is exchanged for a shorter one, two
     of them for a shorter one, or one for two shorter ones together. Each step fills the other bin closer to the
-    capacity and leaves less to place; the search ends when a round finds no step.
+    capacity and leaves less to place; the search ends when a round finds no step. What is tried is a neighbourhood (_best_step()):
+    a search is no proof that fewer bins are impossible.
     """
     bins = [list(b) for b in bins]
     fill = np.array([sum(int(lengths[i]) for i in b) for b in bins], dtype=np.int64)
-    for _ in range(rounds):
+    steps = 1
+    while steps:
         steps = 0
         for b in np.argsort(fill, kind="stable").tolist():
             if not 0 < fill[b] < capacity:
@@ -127,13 +147,15 @@ def empty_bins(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds
                 fill[b] -= gain
                 fill[c] += gain
                 steps += 1
-        if not steps:
-            break
     return [b for b in bins if b]
 
 
 def _best_step(b: int, others: np.ndarray, bins: list[list[int]], fill: np.ndarray, lengths: np.ndarray, capacity: int):
-    """The (given, other bin, taken) that leaves the other bin fullest. Since it is as full or fuller, squares grow."""
+    """The (given, other bin, taken) that leaves the other bin fullest. Since it is as full or fuller, squares grow.
+
+    Every document of b is tried for a move, its 8 longest for an exchange, pairs of its 6 longest for two for one, and its 4 longest against
+    pairs of another bin's 8 shortest.
+    """
     room = capacity - fill[others]
     mine = sorted(bins[b], key=lambda i: -int(lengths[i]))
     for i in mine:  # move
@@ -174,8 +196,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     """Pack documents (doc_id, text) into as few sequences of at most capacity tokens as the search finds.
 
     Only documents longer than the capacity are cut. Full pieces are sequences alone. The others are dealt at random to
-    groups of about group_size pieces; each group is packed by best fit, then by local search. The underfull sequences
-    of all groups are broken up, dealt to new groups and searched once more, so that no group keeps a poor remainder.
+    groups of about group_size pieces; each group is packed by best fit, then by local search. The sequences of all groups that are
+    less than 63/64 full are broken up, dealt to new groups and searched once more, so that no group keeps a poor remainder.
     A group's size does not depend on the input's, nor does any group hold equal keys together.
 
     Returns PIECES and sequence_id, offset. Null text: one piece of end_id alone; an empty table: no rows; repeated rows
