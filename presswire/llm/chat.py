@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -109,38 +110,47 @@ def canonical(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame
     return rows.select("conv_id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))
 
 
+def shape(field_paths: tuple[str, ...]) -> str:
+    """The paths as schema_of_variant() writes an object, without leaf kinds: OBJECT<conv_id, messages: ARRAY<OBJECT<content, role>>>."""
+    below: dict[str, list[str]] = {}
+    for p in field_paths:
+        head, _, rest = p.split(":")[0].partition(".")
+        below.setdefault(head, []).append(rest)
+
+    def field(head: str) -> str:
+        name, rests = head.removesuffix("[]"), tuple(r for r in below[head] if r)
+        inner = shape(rests) if rests else ""
+        return f"{name}: ARRAY<{inner}>" if head.endswith("[]") else f"{name}: {inner}" if inner else name
+
+    return "OBJECT<" + ", ".join(field(h) for h in sorted(below)) + ">"
+
+
 def canonical_json(df: DataFrame, column: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """conv_id, turns of JSON records of mixed layouts in one column: each record's own paths are fingerprinted.
+    """conv_id, turns of JSON records of mixed layouts in one column: the fingerprint of each record's own nested paths chooses its layout.
 
-    conv_id is read from the record. A record that is null, no JSON, or of no known layout gives turns null.
+    conv_id is read from the record. A record that is null, no JSON, or of no known layout (another path, at any depth, more or less) gives
+    turns null. Null leaves keep their path; null texts are empty. Other columns are ignored.
     """
-    # An object's keys are its paths' heads; the layouts of LAYOUTS differ in them.
-    keys = F.array_sort(F.json_object_keys(F.col(column)))
-    key = F.sha2(F.array_join(keys, "\n"), 256)
-    turns = F.lit(None).cast(TURNS)
-    for layout in layouts:
-        if layout.per_row:
-            continue
+    rows = df.select(F.col(column).alias("record"))
+    paths_of = F.regexp_replace(F.schema_of_variant(F.try_parse_json("record")), r": (?!ARRAY<|OBJECT<)[A-Z_]+(\(\d+,\d+\))?", "")
+    rows = rows.withColumn("key", F.sha2(paths_of, 256))
+    known = [x for x in layouts if not x.per_row]
+    parsed = []
+    for i, layout in enumerate(known):
         heads = sorted({p.split(":")[0].split("[")[0] for p in layout.field_paths})
-        fields = []
-        for h in heads:
-            nested = [p.split("[].")[1].split(":")[0] for p in layout.field_paths if p.startswith(f"{h}[]")]
-            kind = f"array<struct<{','.join(f'`{n}`:string' for n in nested)}>>" if nested else "bigint" if h == "conv_id" else "string"
-            fields.append(f"`{h}` {kind}")
-        parsed = F.from_json(F.col(column), ", ".join(fields))
-        sql = layout.turns
-        for h in heads:
-            sql = _qualify(sql, h)
-        df = df.withColumn("_rec", F.when(key == hashlib.sha256("\n".join(heads).encode()).hexdigest(), parsed)).withColumn("_t", F.when(F.col("_rec").isNotNull(), F.expr(sql)))
-        df = df.withColumn("_turns", F.coalesce(F.col("_turns"), F.col("_t")) if "_turns" in df.columns else F.col("_t")).drop("_rec", "_t")
-    turns = F.col("_turns") if "_turns" in df.columns else turns
-    return df.select(F.get_json_object(column, "$.conv_id").cast("long").alias("conv_id"), turns.alias("turns"))
-
-
-def _qualify(sql: str, name: str) -> str:
-    import re
-
-    return re.sub(rf"(?<![\w.'])({name})(?![\w'])", rf"_rec.`\1`", sql)
+        nested = {h: [p.split("[].")[1].split(":")[0] for p in layout.field_paths if p.startswith(f"{h}[]")] for h in heads}
+        kinds = [f"`{h}` " + (f"array<struct<{','.join(f'`{n}`:string' for n in nested[h])}>>" if nested[h] else "bigint" if h == "conv_id" else "string") for h in heads]
+        own = F.col("key") == hashlib.sha256(shape(layout.field_paths).encode()).hexdigest()
+        parsed.append(F.when(own, F.from_json("record", ", ".join(kinds))).alias(f"layout_{i}"))
+    rows = rows.select("record", *parsed)
+    turns = [F.when(F.col(f"layout_{i}").isNotNull(), F.expr(_qualify(x, f"layout_{i}"))) for i, x in enumerate(known)]
+    return rows.select(F.get_json_object("record", "$.conv_id").try_cast("long").alias("conv_id"), F.coalesce(*turns, F.lit(None).cast(TURNS)).alias("turns"))
+
+
+def _qualify(layout: Layout, record: str) -> str:
+    """The layout's SQL with its fields taken from a struct column."""
+    heads = "|".join({p.split(":")[0].split("[")[0] for p in layout.field_paths})
+    return re.sub(rf"(?<![\w.'])({heads})(?![\w'])", rf"{record}.`\1`", layout.turns)
 
 
 def render(conversations: DataFrame) -> DataFrame:
