@@ -7,7 +7,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from presswire.llm import jaccard, mixing, packing, sharding, suffixes, toxicity
+from pyspark.sql import functions as F
+
+from presswire.llm import common, jaccard, mixing, packing, sharding, suffixes, toxicity
 from presswire.llm.common import table
 
 
@@ -21,6 +23,34 @@ def rows(docs):
     return [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
 
 
+# --- what operators share
+
+
+def test_equal_rows_are_numbered_in_every_part(spark):
+    rows = [(i % 3 if i < 40 else i, None if i % 2 else "t") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    key_a, key_b = common.row_keys(["doc_id", "text"])
+    got = common.with_nth(common.numbered(df.withColumns({"key_a": key_a, "key_b": key_b}), "row"), "row").collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["doc_id"], r["text"]].append(r["nth"])
+    assert Counter(rows) == Counter({k: len(v) for k, v in by.items()}) and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert max(map(len, by.values())) > 5
+
+
+def test_row_keys_tell_nulls_from_values(spark):
+    df = spark.createDataFrame([("x", None), (None, "x"), ("x", "x"), (None, None), ("", None), (None, "")], "a string, b string")
+    assert df.select(*common.row_keys(["a", "b"])).distinct().count() == 6
+
+
+def test_few_is_bounded_and_the_same_in_every_run(spark):
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    got = {r["k"] for r in common.few(df, 20, "k").collect()}
+    assert len(got) == 20 and got == {r["k"] for r in common.few(df.repartition(7), 20, "k").collect()}
+    assert common.few(df.limit(5), 20, "k").count() == 5 and common.few(df.limit(0), 20, "k").count() == 0
+    assert common.few(spark.createDataFrame([(1,)] * 50, "k long"), 20, "k").count() == 1
+
+
 # --- toxicity
 
 
@@ -64,6 +94,37 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(pair, [[sum(w * sum(k[t] == a and k[t + 1] == b for t in range(4)) for k, w in weight.items()) / total for b in range(2)] for a in range(2)])
 
 
+def test_document_score_against_enumeration(spark):
+    """The score of a short text, from the weights of all its paths."""
+    rng = np.random.default_rng(3)
+    tagger = toxicity.Tagger(ids={"wbad": 0, "4slur": 1, "wrude": 2}, weights=np.array([2.0, 1.5, 0.7]), extra=np.array([-2.0, 0.4, 0.3]), trans=rng.normal(size=(2, 2)), document=np.array([0.8, 1.1, 0.5, -2.0]), empty=False)
+    texts = ["Bad slurry day", "rude bad! bad fine", "fine", "one two three four five", ""]
+    got = [r["score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tagger).orderBy("doc_id").collect()]
+    for text, score in zip(texts, got, strict=True):
+        tokens = text.lower().split()
+        own = [tagger.listed(t) for t in tokens]
+        emit = [tagger.weights[f].sum() + tagger.extra[0] + (tagger.extra[1] if i and own[i - 1] else 0) + (tagger.extra[2] if i + 1 < len(own) and own[i + 1] else 0) for i, f in enumerate(own)]
+        weight = {path: np.exp(sum(e * s for e, s in zip(emit, path)) + sum(tagger.trans[a, b] for a, b in zip(path, path[1:]))) for path in np.ndindex(*[2] * len(tokens))}
+        p = np.array([sum(w for k, w in weight.items() if k[t]) / sum(weight.values()) for t in range(len(tokens))])
+        x = [-np.log1p(-p).sum(), p.max(initial=0), np.log1p(p[p > 0.05].sum())]
+        assert np.isclose(score, 1 / (1 + np.exp(-(np.array(x) @ tagger.document[:3] + tagger.document[3]))))
+
+
+def test_relabelling_follows_the_marginals():
+    p = np.array([[0.1, 0.6, 0.2], [0.9, 0.8, 0.1], [0.1, 0.3, 0.2], [0.1, 0.2, 0.7]])
+    assert toxicity.relabel(p, np.array([0, -1, 1, 1]), likely=0.5).tolist() == [[0, 1, 0], [0, 0, 0], [0, 1, 0], [0, 0, 1]]
+
+
+def test_fits_agree_whatever_the_order_and_the_repeats(spark):
+    texts = ["you slur person", "calm words here", "slur again you", "more calm talk"]
+    rows = [(i, texts[i % 4] + f" n{i % 40}") for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 4 in (0, 2))) for i in range(200)] + [(0, 0), (4, None)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a = toxicity.fit(docs, labels)
+    b = toxicity.fit(docs.unionByName(docs).repartition(9), labels)
+    assert list(a.ids) == list(b.ids) and np.allclose(a.weights, b.weights) and np.allclose(a.document, b.document)
+
+
 def test_toxicity_odd_input(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, None), (None, 1), (3, 1), (4, 0), (9, 1), (6, 0), (9, 1)], "doc_id long, toxic int")
     got = toxicity.score(odd_docs, toxicity.fit(odd_docs, labels)).collect()
@@ -127,7 +188,7 @@ def test_jaccard_odd_input(odd_docs, no_docs):
     for r in got:
         by[r["doc_id"]].append((r["n_links"], r["component_id"], r["kept"]))
     assert len(got) == odd_docs.count() - 1  # the row without id
-    assert by[3] == [(1, 3, True)] and by[4] == [(1, 3, False)] and by[5] == [(1, 5, True)] * 2
+    assert by[3] == [(1, 3, True)] and by[4] == [(1, 3, False)] and sorted(by[5]) == [(1, 5, False), (1, 5, True)]
     assert by[1] == [(0, 1, True)] and by[2] == [(0, 2, True)] and by[8] == [(0, 8, True)]
     assert jaccard.join_documents(no_docs).count() == 0
 
@@ -140,6 +201,24 @@ def test_jaccard_repeated_rows_with_near_copies(spark):
     assert sorted(got) == [(5, 1, 96, 5), (5, 2, 96, 5), (5, 2, 96, 5), (10, 2, 96, 5), (20, 1, 96, 5), (30, 0, 1, 30)]
 
 
+def test_jaccard_keeps_one_row_a_component_and_judges_each_row(spark):
+    """One id on many texts, each with a near copy; a text on many rows of one id."""
+    words = lambda k: [f"{k}-{i}" for i in range(60)]
+    rows = [(7, " ".join(words(k))) for k in range(6)] + [(100 + k, " ".join([*words(k)[:-1], "end"])) for k in range(6)] + [(7, " ".join(words(0)))] * 20
+    got = jaccard.join_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).toPandas()
+    assert len(got) == len(rows) and (got["component_id"] == 7).all() and got["kept"].sum() == 6
+    assert sorted(got["n_links"]) == [1] * 10 + [21] * 22
+    assert (got[got["doc_id"] != 7]["kept"] == False).all()  # noqa: E712
+
+
+def test_jaccard_reports_a_recall_below_the_target(spark, docs):
+    with pytest.raises(RuntimeError, match="recall"):
+        jaccard.join_documents(docs, target=1.1, batches=1).count()
+    halves = spark.createDataFrame([(1, 1, 1), (2, 1, 1), (1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 3, 1), (5, 5, 2), (6, 6, 2)], "id long, component long, half int")
+    links = spark.createDataFrame([(1, 2), (3, 4), (5, 6), (7, 8)], "a long, b long")
+    assert jaccard.captured(links, halves) == (4, 2, 1, 1)
+
+
 # --- suffix-array dedup
 
 
@@ -194,6 +273,37 @@ def test_suffixes_hot_anchors_are_spread(spark):
     assert len({r.task for r in sent if r.kind == suffixes.WINDOWS}) == 7 and not any(r.kind == suffixes.CONTEXTS and len(suffixes.unpack(r.data)[0][0]) > 30 for r in sent)
 
 
+def test_suffixes_anchors_that_a_batch_shows_to_be_hot(spark):
+    """Anchors of more than two contexts in a batch go by window in every batch, also where few have them."""
+    rng = np.random.default_rng(6)
+    own = lambda k: "".join(map(chr, rng.integers(97, 123, k)))
+    passage = own(45)
+    pairs = [(i, own(60) + passage + own(60) + (own(55) if i % 3 else "copied tail " * 6)) for i in range(60)]
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    for df in (docs, docs.repartition(4), docs.orderBy("doc_id").repartitionByRange(2, F.pow("doc_id", F.lit(0.1)))):
+        assert cut_result(df, grain=suffixes.Grain(often=2)) == brute_cut(pairs)
+
+
+def test_suffixes_of_rows_that_repeat_a_doc_id(spark):
+    """Rows of one doc_id cover nothing in each other, and each is cut at its own places."""
+    rng = np.random.default_rng(7)
+    own = lambda k: "".join(map(chr, rng.integers(97, 123, k)))
+    p, q = own(70), own(80)
+    rows = [(1, p + own(30)), (1, q + own(10)), (5, own(40) + p + own(20)), (5, own(90) + q), (5, own(300)), (5, own(40) + p), (9, q + p), (5, "z" + q)]
+    rows += [rows[2]] * 3
+    got = Counter(tuple(r)[1:] for r in suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = Counter()
+    for d, t in rows:
+        data = t.encode()
+        earlier = {e.encode()[i : i + 50] for c, e in rows if c < d for i in range(len(e) - 49)}
+        cover = np.zeros(len(data), dtype=bool)
+        for i in range(len(data) - 49):
+            cover[i : i + 50] |= data[i : i + 50] in earlier
+        kept = bytes(np.frombuffer(data, dtype=np.uint8)[~cover])
+        want[len(data), int(cover.sum()), int((cover & ~np.append(False, cover[:-1])).sum()), hashlib.sha256(kept).hexdigest()] += 1
+    assert got == want
+
+
 def test_suffixes_by_windows_against_brute_force(docs, rows):
     want = sorted(map(tuple, suffixes.dedup(docs).collect()))
     assert sorted(map(tuple, suffixes.dedup(docs, suffixes.Grain(hot=0)).collect())) == want
@@ -260,6 +370,42 @@ def test_mix(spark):
     assert ((by["taken"] - by["target"]).abs() <= by["most"] / 2 + 1).all()
 
 
+def brute_taken(df):
+    """What mix() takes, one source after the other: rows in the order of their hashes, up to the target."""
+    key_a, key_b = common.row_keys(["doc_id", "source", "text"])
+    rows = common.with_nth(common.numbered(df.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).alias("size"), key_a.alias("key_a"), key_b.alias("key_b")), "row"), "row")
+    rows = rows.select("*", common.bucket(1024, "key_a", "nth", seed=11).alias("b"), common.bucket(1024, "key_a", "nth", seed=12).alias("s")).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r["source"]] += r["size"]
+    targets, out = mixing.source_targets(sizes), Counter()
+    for source, target in targets.items():
+        passes = min(2, int(target // sizes[source])) if sizes[source] else 0
+        rest, before = target - passes * sizes[source], 0
+        for r in sorted((r for r in rows if r["source"] == source), key=lambda r: (r["b"], r["s"], r["key_a"], r["nth"])):
+            out[r["doc_id"], r["size"], sizes[source], target, r["size"] * (passes + (before + r["size"] / 2 <= rest))] += 1
+            before += r["size"]
+    return out
+
+
+def mixed(df):
+    return Counter((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"]) for r in mixing.mix(df).collect())
+
+
+def test_mix_against_brute_force(docs, odd_docs):
+    assert mixed(docs) == brute_taken(docs) and mixed(odd_docs) == brute_taken(odd_docs)
+
+
+def test_mix_of_a_source_with_one_id(spark):
+    """One doc_id on all rows of a source, with equal and with other texts, and no ids at all: targets are met, reruns agree."""
+    rows = [(7, f"w{i} " * 5, "a") for i in range(100)] + [(8, "same five words of text", "b")] * 900 + [(None, f"null {i} id", "c") for i in range(300)] + [(i, "x y z " * 4, None) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).toPandas()
+    for _, part in got.groupby("source", dropna=False):
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= 5 and (part["taken"] <= 2 * part["size"]).all()
+    assert mixed(df) == mixed(df.repartition(7)) == brute_taken(df)
+
+
 def test_mix_odd_input(odd_docs, no_docs):
     got = mixing.mix(odd_docs).collect()
     assert len(got) == odd_docs.count() and sum(r["size"] for r in got) > 60_000
@@ -327,6 +473,20 @@ def test_swaps_beat_best_fit():
     assert len(packing.empty_bins(start, lengths, 10)) == 2
 
 
+def test_other_tokenizer_files_take_no_fast_path(tmp_path, tokenizer):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(open(tokenizer, encoding="utf-8").read())
+    assert packing.is_fast(spec)
+    spec["normalizer"] = {"type": "Lowercase"}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    assert not packing.is_fast(spec) and packing.encoder(str(path))("ABC def") == Tokenizer.from_file(str(path)).encode("abc def", add_special_tokens=False).ids
+    assert not packing.is_fast(spec | {"normalizer": None, "pre_tokenizer": {"type": "Whitespace"}})
+
+
 def test_packing_odd_input(odd_docs, no_docs, tokenizer):
     got = packing.pack(odd_docs, tokenizer).collect()
     by = defaultdict(list)
@@ -358,6 +518,18 @@ def test_sharding_splits_a_hot_group(spark):
     assert sizes.max() <= 1.02 * sizes.mean() and all(sorted(p["slot"]) == list(range(len(p))) for _, p in got.groupby("shard"))
 
 
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_sharding_splits_a_hot_group_without_ids(spark, doc_id):
+    """Three texts on rows without ids, or with one id: bytes are near equal, and slots have no gap."""
+    docs = spark.createDataFrame([(doc_id, f"text {i % 3} " * 50) for i in range(3000)], "doc_id long, text string")
+    got = sharding.shard_documents(docs).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(sizes) == 24 and sizes.max() <= 1.15 * sizes.mean() and all(sorted(p["slot"]) == list(range(len(p))) for _, p in got.groupby("shard"))
+    again = sharding.shard_documents(docs.repartition(7)).toPandas()
+    columns = ["size", "text_crc32", "shard", "slot"]
+    assert sorted(map(tuple, got[columns].to_numpy().tolist())) == sorted(map(tuple, again[columns].to_numpy().tolist()))
+
+
 def test_sharding_odd_input(odd_docs, no_docs):
     got = sharding.shard_documents(odd_docs, n_shards=3).collect()
     assert len(got) == odd_docs.count()

@@ -44,6 +44,30 @@ def test_one_of_each_group_stays(stages):
     assert after == {i: r for i, r in before.items() if links[i][1] == i}
 
 
+def test_rows_that_share_an_id_are_judged_one_by_one(spark, sf_dir):
+    base = [f"w{i}" for i in range(80)]
+    copy, near, other, more = " ".join(base), " ".join([*base[:-1], "x"]), " ".join(f"v{i}" for i in range(80)), " ".join(f"u{i}" for i in range(30))
+    rows = [(7, copy), (7, copy), (8, near), (8, other), (9, more), (None, copy), (None, None), (10, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, sf_dir).collect())
+    assert got == Counter([(7, copy), (8, other), (9, more), (None, copy), (None, None), (10, "")])
+    taken = corpus_pipeline.mix_sources(spark, docs, sf_dir)
+    assert taken.columns == docs.columns and max(Counter(map(tuple, taken.collect())).values()) <= 4
+
+
+def test_stages_on_odd_input(spark, sf_dir, odd_docs, no_docs):
+    """Nulls, empty and very long texts, repeated rows, clashing and dotted column names; and nothing at all."""
+    docs = odd_docs.withColumn("a.b", F.lit(1)).withColumn("_row", F.lit(2)).withColumn("key_a", F.lit(3))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        kept[name] = out.count()
+        assert stage(spark, no_docs, sf_dir).count() == 0
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+    assert kept["toxicity"] in (10, 11) and kept["ngram_jaccard_join"] == 9 and kept["suffix_array_dedup"] == 11 and kept["best_fit_packing"] >= 11
+
+
 def test_repeats_are_cut(stages):
     before, after = by_id(stages[2]), by_id(stages[3])
     want = brute_cut([(i, r["text"]) for i, r in before.items()])

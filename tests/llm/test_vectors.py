@@ -37,7 +37,7 @@ def test_topk_with_lengths_that_prune(spark):
     v *= np.exp(rng.normal(size=(900, 1)) * 2)
     v = np.floor(v * 50).astype(int)
     v[5] = v[6] = v[7]
-    df = spark.createDataFrame([(i, [int(x) for x in row]) for i, row in enumerate(v)], "id long, vector array<long>")
+    df = spark.createDataFrame([(i, i, [int(x) for x in row]) for i, row in enumerate(v)], "row long, id long, vector array<long>")
     got = topk.top_k(df.where("id % 20 = 0"), df, bucket_rows=32, query_rows=7)
     found = {}
     for r in got.orderBy("query_id", "rank").collect():
@@ -56,7 +56,7 @@ def test_topk_kernel_choices_are_exact():
     scores = q @ p.T
     for share in (0.2, 0.7, 0.95):
         theta = np.quantile(scores, share, axis=1)
-        row, ids, score = topk.search_bucket(np.full(len(q), -1), q, theta, np.arange(60), p, 60)
+        row, ids, score = topk.search_bucket(np.full((2, len(q)), -1), q, theta, np.stack([np.arange(60)] * 2), p, 60)
         got = {(a, b): c for a, b, c in zip(row.tolist(), ids.tolist(), score.tolist(), strict=True)}
         assert got == {(a, b): int(scores[a, b]) for a in range(len(q)) for b in range(60) if scores[a, b] >= theta[a]}
 
@@ -66,10 +66,26 @@ def test_topk_odd_input(odd):
     got = topk.top_k(grid.where("id % 100 = 0"), grid).collect()
     ids = {r["vec_id"] for r in got} | {r["query_id"] for r in got}
     assert ids == {1, 2, 7, 8, 9, 10, 100, 200, 300, 400}
-    assert all(sum(r["query_id"] == q for r in got) == 9 for q in (100, 200, 300, 400))
+    assert all(sum(r["query_id"] == q for r in got) == 10 for q in (100, 200, 300, 400))
     assert topk.top_k(grid.limit(0), grid.limit(0)).count() == 0 and topk.top_k(grid.limit(0), grid).count() == 0
 
 
+def test_topk_repeated_ids(spark):
+    """Rows that repeat a vec_id, with equal and with other vectors, are queries and candidates of their own."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(30)]
+    rows += [(0, rows[7][1]), (0, [0.5, 0.5, 0.5, 0.5]), (7, rows[7][1]), (7, rows[7][1])]
+    grid = topk.to_grid(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted(map(tuple, topk.top_k(grid.where("id % 7 = 0"), grid, k=4).collect()))
+    v = np.floor(1024 * np.array([r[1] for r in rows])).astype(int)
+    want = []
+    for i, (q, _) in enumerate(rows):
+        if q % 7 == 0:
+            best = sorted((-int(v[i] @ v[j]), rows[j][0]) for j in range(len(rows)) if j != i)[:4]
+            want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def links(rows, threshold=0.98):
     ok = [(i, np.array(v, dtype=float), label) for i, v, label in rows if i is not None and v and label is not None and None not in v and np.isfinite(np.array(v, dtype=float)).all() and np.any(np.array(v))]
     n, root = {}, {}
@@ -119,6 +135,19 @@ def test_neighbours_odd_input(odd):
     assert neighbours.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_neighbours_report_links_that_the_audit_misses(spark):
+    rng = np.random.default_rng(2)
+    data = [(2 * i + k, [float(x) for x in v], 1) for i, v in enumerate(rng.normal(size=(40, 8))) for k in (0, 1)]
+    data = [(i, [x + 0.001 * (i % 2) for x in v], label) for i, v, label in data]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    assert neighbours.near_duplicates(df).agg(F.sum("n_links")).first()[0] == 80
+    with pytest.raises(RuntimeError, match="audit"):
+        neighbours.near_duplicates(df, target=1.01, attempts=1).count()
+    nodes = df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label", F.lit(1).alias("copies"))
+    counts = spark.createDataFrame([(i, 0 if i < 20 else 1) for i in range(80)], "id long, links long")
+    assert neighbours.audit(nodes, counts, 0.98, 512, 1) == (60, 80)
+
+
 # --- chat formatting
 
 
@@ -173,7 +202,12 @@ def test_chat_records_of_mixed_layouts(spark):
     records = [
         '{"conv_id": 1, "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}', '{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}], "conv_id": 2}',
         '{"conv_id": 3, "instruction": "q", "input": "", "output": "a"}', '{"conv_id": 4, "prompt": "q", "completion": "a"}', '{"conv_id": 5, "what": 1}', "no json", None,
+        '{"conv_id": 6, "messages": [{"role": "user", "text": "q"}]}', '{"conv_id": 7, "messages": [{"role": "user", "content": "q", "extra": 1}]}', '{"conv_id": 8, "messages": "q"}',
+        '{"conv_id": 9, "prompt": "q", "completion": {"deep": "a"}}', '{"conv_id": 10, "prompt": "q", "response": null}', '{"conv_id": 11, "messages": [{"role": "human", "content": null}, {"content": "a", "role": "gpt"}]}',
     ]
     df = spark.createDataFrame([(r,) for r in records], "record string")
+    for c in ("_turns", "turns", "key", "layout_0", "conv_id", "_rec"):
+        df = df.withColumn(c, F.lit(1))
+    nulls = {10: [("user", "q"), ("assistant", "")], 11: [("user", ""), ("assistant", "a")]}
     got = [(r["conv_id"], r["turns"] and [tuple(t) for t in r["turns"]]) for r in chat.canonical_json(df).collect()]
-    assert sorted(got, key=str) == sorted([(i, [("user", "q"), ("assistant", "a")]) for i in (1, 2, 3, 4)] + [(5, None), (None, None), (None, None)], key=str)
+    assert sorted(got, key=str) == sorted([(i, [("user", "q"), ("assistant", "a")]) for i in (1, 2, 3, 4)] + [(i, None) for i in (5, 6, 7, 8, 9, None, None)] + list(nulls.items()), key=str)
