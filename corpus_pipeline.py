@@ -6,35 +6,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswire.llm import jaccard, mixing, packing, suffixes, toxicity
-from presswire.llm.common import drop_tables, materialize, table, written
+from presswire.llm.common import drop_tables, free_name, materialize, numbered, table, written
 from presswire.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.3 or more go; the tagger is fitted on labelled documents of docs that are not held out."""
+    """Documents that score 0.3 or more go; the tagger is fitted on labelled documents of docs that are not held out.
+
+    Null and empty texts score as texts without toxic words. Every row is judged by its own text, so rows that repeat go or stay together.
+    Without labels of both classes nothing goes. An empty table gives no rows.
+    """
     return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that links of Jaccard similarity 0.8 or more connect, the one of least doc_id stays."""
-    gone = jaccard.join_documents(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of the documents that links of Jaccard similarity 0.8 or more connect, one of least doc_id stays.
+
+    Rows are judged one by one: of rows that repeat a doc_id and text one stays, other texts of that doc_id are not touched. Rows
+    without doc_id or without words stay. An empty table gives no rows.
+    """
+    row = free_name(docs)
+    rows = numbered(docs, row)
+    judged = jaccard.join_rows(rows.where("doc_id is not null").select(F.col(row).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    return rows.join(judged.where(~F.col("kept")).select(F.col("row").alias(row)), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 bytes or more that a document of smaller doc_id has are cut from texts; n_chars follows."""
+    """Passages of 50 bytes or more that a document of smaller doc_id has are cut from texts; n_chars follows. No row goes.
+
+    Rows without doc_id, null texts and rows that only repeat what their own doc_id has stay whole. An empty table gives no rows.
+    """
     return suffixes.cut_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: 0, 1 or 2 times."""
-    rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
+    """Documents as often as the mix takes them: 0, 1 or 2 times. Rows that repeat a doc_id, or have none, are taken or not one by one;
+    null texts have no words, so whether they are taken changes no sum. An empty table gives no rows."""
+    rows = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     taken = mixing.mix(rows, keep=("_row",)).select("_row", F.explode("copies").alias("copy"))
     return taken.select(*[F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048."""
+    """Token sequences of at most 2048. A null text is one piece, its end token; rows that repeat are documents of their own."""
     return packing.pack(docs, tokenizer_path())
 
 
