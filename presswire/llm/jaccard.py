@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswire.llm.common import keep_last, materialize, numbered, with_package
+from presswire.llm.common import few, keep_last, materialize, numbered, with_package
 from presswire.llm.graph import blocks, components, sized
 
 POSITIONS = 128  # MinHash positions: the tokens of a set in the join's tree
@@ -222,9 +222,9 @@ def candidates(sets: DataFrame, roots: list[tuple[int, int]], runs: range, small
 
 def grouped(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Components (id, component) of all edges, and of those of even and of odd runs alone (half 1 and 2), found in one go."""
-    both = F.explode(F.array(F.lit(0), 1 + F.col("run") % 2)).alias("half")
-    tagged = edges.select(both, "a", "b").select((F.col("a") * 4 + F.col("half")).alias("a"), (F.col("b") * 4 + F.col("half")).alias("b")).distinct()
-    stars = materialize(components(tagged))
+    pairs = materialize(edges.groupBy("a", "b").agg(F.max(F.col("run") % 2 == 0).alias("even"), F.max(F.col("run") % 2 == 1).alias("odd")))
+    tag = lambda rows, half: rows.select((F.col("a") * 4 + half).alias("a"), (F.col("b") * 4 + half).alias("b"))
+    stars = materialize(components(tag(pairs, 0).unionByName(tag(pairs.where("even"), 1)).unionByName(tag(pairs.where("odd"), 2))))
     apart = stars.select(F.shiftright("id", 2).alias("id"), F.shiftright("component", 2).alias("component"), F.pmod("id", F.lit(4)).cast("int").alias("half"))
     return apart.where("half = 0").select("id", "component"), apart.where("half > 0")
 
@@ -314,7 +314,8 @@ def join_rows(
         groups, halves = grouped(edges)
         plan = blocks(materialize(sized(groups)).join(sets.select("id", "copies", F.col("rep.row").alias("row")), "id"), small, 256)
         found = materialize(verify(rows.select("row", "text").join(plan.hint("shuffle_hash"), "row"), threshold, width))
-        links, x, y, both = captured(found.where("other <> -1").select(F.col("id").alias("a"), F.col("other").alias("b")), halves)
+        sample = few(found.where("other <> -1").select(F.col("id").alias("a"), F.col("other").alias("b")), 100_000, "a", "b")
+        links, x, y, both = captured(materialize(sample), halves)
         missed = (1 - both / y) * (1 - both / x) if x and y else float(x + y > 0)
         log.info("links %d, of even runs %d, of odd runs %d, of both %d: estimated recall %.4f", links, x, y, both, 1 - missed)
         if missed <= 1 - target:
@@ -349,7 +350,7 @@ def join_documents(docs: DataFrame, **options) -> DataFrame:
     3. Inside each group every two classes are compared exactly on their whole texts, in pairs of bounded blocks.
     So a link is never wrong, and one is missed only if no run brought a path between its two classes. A run brings two sets of
     similarity 0.8 together with a chance of about 0.57 after four splits, more after fewer, so a batch of 8 runs misses some one in 900. How many links
-    even and odd runs found each by themselves estimates that on the data; batches of runs repeat until the estimate reaches the
+    even and odd runs found each by themselves estimates that on (at most 100,000 of) the links found; batches of runs repeat until the estimate reaches the
     target, and if it never does the join raises RuntimeError. options: see join_rows().
 
     Returns a row a document: doc_id, class_id (least doc_id with the same shingle set), component_id (least doc_id reachable
