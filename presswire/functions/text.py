@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from html.entities import html5, name2codepoint
+from itertools import chain
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,8 +27,12 @@ SECRETS = [
     (r"\bsk-[A-Za-z0-9_-]{8,}\b", False),
     (r"\b[A-Za-z0-9_-]{20,}\.[A-Za-z0-9_-]{20,}\.[A-Za-z0-9_-]{20,}\b", False),
 ]
-# Entities of the pages; amp comes last so that nothing is decoded twice.
-ENTITIES = [("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", " "), ("lt", "<"), ("gt", ">"), ("#39", "'"), ("amp", "&")]
+# HTML 4's names of characters and apos, from Python's tables; those that HTML lets go without semicolon.
+NAMED = {n: chr(c) for n, c in name2codepoint.items()} | {"apos": "'"}
+BARE = sorted((n for n in NAMED if n in html5), key=lambda n: (-len(n), n))
+ENTITY = r"&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+# Numbers from 128 to 159 stand for characters of this code page.
+LATIN = {i: bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160)}
 # Markers of the rhetoric rubric.
 RHETORIC = {
     "prescriptive": ["should", "must", "ought"],
@@ -76,11 +83,33 @@ def score_three_sided(text: Column, margin: int = 3) -> Column:
     return F.struct(F.when(free, 0).when(left > right + margin, -2).when(right > left + margin, 2).otherwise(0).alias("bias"), F.when(free, "libertarian").alias("category"))
 
 
+def code_point(n: Column) -> Column:
+    """The character of a number, as HTML has it: the replacement character for null, 0, surrogates and numbers beyond Unicode, nothing for
+    control characters."""
+    low = F.try_element_at(F.create_map(*[F.lit(x) for x in chain(*LATIN.items())]), n.cast("int"))
+    control = n.between(1, 8) | n.between(14, 31) | n.isin(11, 127)
+    bad = n.isNull() | (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    return F.when(bad, "\ufffd").when(control, "").when(n.between(128, 159), low).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+
+def entity(found: Column) -> Column:
+    """What an entity stands for. Of a name that is none the longest beginning that HTML lets go without semicolon counts, else it stays as it is."""
+    named = F.str_to_map(F.lit("\x02".join("\x01".join(pair) for pair in NAMED.items())), F.lit("\x02"), F.lit("\x01"))  # a constant, folded once
+    name = F.substring(found, 2, 40)
+    digits = F.regexp_replace(name, "^#[xX]?|;$", "")
+    short = F.length(F.ltrim(digits, F.lit("0"))) <= 8
+    number = F.when(short & name.rlike("^#[xX]"), F.conv(digits, 16, 10).try_cast("long")).when(short, digits.try_cast("long"))
+    whole = F.when(name.endswith(";"), F.try_element_at(named, F.regexp_replace(name, ";$", "")))
+    bare = F.regexp_extract(name, f"^({'|'.join(BARE)})", 1)
+    start = F.when(bare != "", F.concat(F.try_element_at(named, bare), F.substring(name, F.length(bare) + 1, F.lit(40))))
+    return F.when(name.startswith("#"), code_point(number)).otherwise(F.coalesce(whole, start, found))
+
+
 def unescape(text: Column) -> Column:
-    """The entities of ENTITIES, with or without their semicolon, as HTML allows."""
-    for name, char in ENTITIES:
-        text = F.regexp_replace(text, f"&{name};?", char.replace("\\", "\\\\").replace("$", "\\$"))
-    return text
+    """HTML's entities decoded in one pass, so nothing is decoded twice: numbers, and names with their semicolon or, where HTML allows it, without."""
+    between, found = F.split(text, ENTITY, -1), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+    decoded = F.transform(between, lambda part, i: F.concat(part, F.coalesce(entity(F.get(found, i)), F.lit(""))))
+    return F.when(text.contains("&"), F.array_join(decoded, "")).otherwise(text)
 
 
 def clean_summary(text: Column) -> Column:

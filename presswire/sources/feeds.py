@@ -11,37 +11,49 @@ from presswire.operators.ordered import cap, fresh
 # Time ranges of search replies; week where none fits.
 TIME_RANGES = {"d": "day", "w": "week", "m": "month"}
 SEARCH_REPLY = "results array<struct<title:string,url:string,content:string,snippet:string,engine:string,source:string,publishedDate:string>>"
-DATE_FORMATS = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"]
+DATE_FORMATS = [
+    "d MMM yyyy HH:mm[:ss] Z", "d MMM yyyy HH:mm[:ss] z", "d MMM yy HH:mm[:ss] Z", "d MMM yy HH:mm[:ss] z", "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSSSSS]XXX", "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSSSSS]XX", "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSSSSS]",
+    "yyyy-MM-dd HH:mm[:ss][.SSSSSSSSS]", "yyyy-MM-dd", "d MMM yyyy",
+]
 
 
 def timestamp(value: Column) -> Column:
-    """The first format that reads the text; null if none does."""
-    value = F.nullif(F.regexp_replace(F.trim(value), r"^[A-Za-z]{3},\s*", ""), F.lit(""))
+    """The first format that reads the text (a weekday before it is left out; no zone counts as the session's); null if none does."""
+    value = F.nullif(F.regexp_replace(F.trim(value), r"^[A-Za-z]{3,9},?\s+", ""), F.lit(""))
     return F.coalesce(*[F.try_to_timestamp(F.when(F.length(value) > 9, value), F.lit(f)) for f in DATE_FORMATS])
 
 
 def items(documents: DataFrame, xml: str = "xml") -> DataFrame:
     """RSS and Atom documents (feed_pos, xml, name, bias) to items in order: item_pos, title, url, domain, published, summary (500 characters), bias, source_name.
 
-    Documents are cut into items by regular expression, so one that is not well-formed still gives those before the fault.
+    Documents are cut into items by regular expression, so one that is not well-formed still gives those before the fault. Entities are
+    decoded but in CDATA; a date comes from pubDate, published, dc:date or updated.
     """
     entry = F.regexp_extract_all(F.col(xml), F.lit(r"(?is)<(?:item|entry)\b[^>]*>(.*?)</(?:item|entry)>"), F.lit(1))
     rows = documents.select("feed_pos", "name", "bias", F.posexplode(entry).alias("item_pos", "item"))
 
-    def field(name: str) -> Column:
-        inner = F.regexp_extract("item", rf"(?is)<{name}\b[^>]*>(.*?)</{name}>", 1)
-        return F.nullif(F.trim(F.regexp_replace(inner, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")), F.lit(""))
+    def inner(name: str) -> Column:
+        return F.regexp_extract("item", rf"(?is)<{name}\b[^>]*>(.*?)</{name}>", 1)
 
-    href = F.nullif(F.regexp_extract("item", r'(?is)<link\b[^>]*href="([^"]*)"', 1), F.lit(""))
-    url = F.coalesce(field("link"), href, F.lit(""))
+    def href(kind: str) -> Column:
+        return F.regexp_extract("item", rf'(?is)<link\b{kind}[^>]*href="([^"]*)"', 1)
+
+    # All fields of an item are decoded as one array, so that the plan holds the decoding once.
+    names = ["title", "link", "summary", "description", "pubDate", "published", "dc:date", "updated"]
+    raw = F.array(*[inner(n) for n in names], href(r'(?=[^>]*rel="alternate")'), href(""))
+    whole = lambda x: F.regexp_extract(x, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", 1)
+    fields = F.transform(raw, lambda x: F.nullif(F.trim(F.when(whole(x) != "", whole(x)).otherwise(text.unescape(x))), F.lit("")))
+    rows = rows.withColumn("f", fields)
+    field = {n: F.col("f")[i] for i, n in enumerate([*names, "alternate", "href"])}
+    rows = rows.select("feed_pos", "item_pos", "bias", "name", F.coalesce(field["title"], F.lit("")).alias("title"), F.coalesce(field["link"], field["alternate"], field["href"], F.lit("")).alias("url"), *[field[n].alias(n) for n in names[2:]])
     return rows.select(
         "feed_pos",
         "item_pos",
-        F.coalesce(field("title"), F.lit("")).alias("title"),
-        url.alias("url"),
-        urls.domain(url).alias("domain"),
-        F.coalesce(timestamp(field("pubDate")), timestamp(field("published")), timestamp(field("updated"))).alias("published"),
-        F.substring(F.coalesce(field("summary"), field("description"), F.lit("")), 1, 500).alias("summary"),
+        "title",
+        "url",
+        urls.domain(F.col("url")).alias("domain"),
+        F.coalesce(*[timestamp(F.col(f"`{n}`")) for n in names[4:]]).alias("published"),
+        F.substring(F.coalesce("summary", "description", F.lit("")), 1, 500).alias("summary"),
         "bias",
         F.col("name").alias("source_name"),
     )
