@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from presswire.operators.ordered import free_name
+
 
 def counted(cost: Column) -> Column:
     """Costs of 0 or less are not tracked."""
@@ -30,6 +32,7 @@ def task_times(events: DataFrame, key: list[str], ts: str, kind: str, started: s
     """Each end with the time since the last start of its key; a start that another end has used up gives null."""
     own = Window.partitionBy(*key).orderBy(ts, "event_id")
     before = F.lag(F.struct(kind, ts)).over(own)
-    rows = events.where(F.col(kind).isin(started, *ended)).withColumn("_p", before).where(F.col(kind).isin(ended))
-    seconds = F.when(F.col("_p")[kind] == started, F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_p")[ts].cast("timestamp")))
-    return rows.withColumn("micros", seconds).drop("_p")
+    last = free_name(events, "_last")
+    rows = events.where(F.col(kind).isin(started, *ended)).withColumn(last, before).where(F.col(kind).isin(ended))
+    seconds = F.when(F.col(last)[kind] == started, F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col(last)[ts].cast("timestamp")))
+    return rows.withColumn("micros", seconds).drop(last)

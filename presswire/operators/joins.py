@@ -4,25 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from presswire import dims
 from presswire.functions import rating, text, urls
-from presswire.operators.ordered import best
+from presswire.operators.ordered import best, free_name
 
 
 def rate_domains(df: DataFrame, domain: str) -> DataFrame:
-    """Adds bias, bias_label, confidence, method, factual, category of the domain from the rated list; unknown ones get 0, 0.0 and 'unknown'."""
-    known = dims.rated_domains(df.sparkSession).withColumnRenamed("domain", "_key").drop("name")
-    out = df.join(F.broadcast(known), urls.dataset_key(F.col(domain)) == F.col("_key"), "left")
-    hit = F.col("_key").isNotNull()
-    return out.withColumns(
-        {
-            "bias_label": F.when(hit, rating.label(F.col("bias"))).otherwise("Unknown"),
-            "confidence": F.when(hit, 1.0).otherwise(0.0),
-            "method": F.when(hit, "dataset").otherwise("unknown"),
-            "bias": F.coalesce("bias", F.lit(0)),
-        }
-    ).drop("_key")
+    """Adds bias, bias_label, confidence, method, factual, category of the domain from the rated list; unknown ones get 0, 0.0 and 'unknown'.
+
+    Columns of df that have these names are replaced, but for the one that holds the domain.
+    """
+    rated = dims.rated_domains(df.sparkSession).select("domain", "bias", "factual", "category")
+    entry = free_name(df, "_rated")
+    known = rated.select(F.struct(*rated.columns).alias(entry))
+    out = df.join(F.broadcast(known), urls.dataset_key(F.col(domain)) == F.col(f"{entry}.domain"), "left")
+    hit = F.col(entry).isNotNull()
+    rating_columns = {
+        "bias_label": F.when(hit, rating.label(F.col(f"{entry}.bias"))).otherwise("Unknown"),
+        "confidence": F.when(hit, 1.0).otherwise(0.0),
+        "method": F.when(hit, "dataset").otherwise("unknown"),
+        "bias": F.coalesce(f"{entry}.bias", F.lit(0)),
+        "factual": F.col(f"{entry}.factual"),
+        "category": F.col(f"{entry}.category"),
+    }
+    return out.withColumns({k: v for k, v in rating_columns.items() if k != domain}).drop(entry)
 
 
 def candidate_feeds(domains: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -43,28 +50,36 @@ def candidate_feeds(domains: DataFrame, feeds: DataFrame) -> DataFrame:
 
 def exact_seed(seeds: DataFrame, items: DataFrame) -> DataFrame:
     """seeds (seed_id, url) joined with the first item (feed_pos, item_pos, url, title) of the same URL key."""
-    key = items.select(urls.normalize(F.col("url")).alias("_key"), "feed_pos", "item_pos", "title")
-    first = key.groupBy("_key").agg(F.min_by(F.struct("feed_pos", "item_pos", "title"), F.struct("feed_pos", "item_pos")).alias("m"))
-    out = seeds.withColumn("_key", urls.normalize(F.col("url"))).join(first, "_key")
+    key = items.select(urls.normalize(F.col("url")).alias("key"), "feed_pos", "item_pos", "title")
+    first = key.groupBy("key").agg(F.min_by(F.struct("feed_pos", "item_pos", "title"), F.struct("feed_pos", "item_pos")).alias("m"))
+    out = seeds.select("seed_id", urls.normalize(F.col("url")).alias("key")).join(first, "key")
     return out.select("seed_id", "m.feed_pos", "m.item_pos", "m.title", F.lit("exact_url").alias("match_type"), F.lit(1.0).alias("match_confidence"))
 
 
-def similar_seed(seeds: DataFrame, items: DataFrame, least: float = 0.45) -> DataFrame:
-    """seeds (seed_id, url, title_hint) with the item that holds most of their slug's (or, at 0.9, their title's) tokens.
+def similar_seed(seeds: DataFrame, items: DataFrame, least: float = 0.45, title_weight: float = 0.9) -> DataFrame:
+    """seeds (seed_id, url, title_hint) with the item that holds most of their slug's (or, at title_weight, their title's) tokens.
 
-    By an equi-join on tokens: pairs without a common token are never made.
+    An item must hold a share of `least` of a seed's n slug tokens, so it holds one of any n - ceil(least * n) + 1 of them; likewise of the
+    title's, at least / title_weight. The join is on that many of each seed's rarest tokens alone: tokens that stand in very many
+    items, such as the parts that all URLs have, pair nothing. Pairs that it finds are scored on all tokens.
     """
-    slug = text.tokens(urls.path(F.col("url")))
-    hint = text.tokens(F.coalesce("title_hint", F.lit("")))
-    left = seeds.select("seed_id", slug.alias("slug"), hint.alias("hint"))
-    parts = left.select("seed_id", F.explode(F.array_union("slug", "hint")).alias("token"), "slug", "hint")
-    parts = parts.select("seed_id", "token", F.array_contains("slug", F.col("token")).alias("in_slug"), F.array_contains("hint", F.col("token")).alias("in_hint"))
-    right = items.select("feed_pos", "item_pos", "title", F.explode(text.tokens(F.concat_ws(" ", "title", "summary", "url"))).alias("token"))
-    common = parts.join(right, "token").groupBy("seed_id", "feed_pos", "item_pos", "title").agg(F.count_if("in_slug").alias("s"), F.count_if("in_hint").alias("t"))
-    scored = common.join(left.select("seed_id", F.size("slug").alias("ns"), F.size("hint").alias("nt")), "seed_id")
-    score = F.greatest(F.col("s") / F.greatest("ns", F.lit(1)), 0.9 * F.col("t") / F.greatest("nt", F.lit(1)))
-    top = best(scored.withColumn("match_confidence", score), ["seed_id"], "match_confidence", ["feed_pos", "item_pos"])
-    return top.where(F.col("match_confidence") >= least).select("seed_id", "feed_pos", "item_pos", "title", F.lit("slug_title").alias("match_type"), "match_confidence")
+    left = seeds.select("seed_id", text.tokens(urls.path(F.col("url"))).alias("slug"), text.tokens(F.coalesce("title_hint", F.lit(""))).alias("hint"))
+    right = items.select("feed_pos", "item_pos", "title", text.tokens(F.concat_ws(" ", "title", "summary", "url")).alias("tokens"))
+    postings = right.select("feed_pos", "item_pos", F.explode("tokens").alias("token"))
+    often = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n_items"))
+
+    def rare(side: str, share: float) -> DataFrame:
+        """The tokens of a side that pair: of a token in no item the pair is empty, but it counts among the rarest."""
+        own = left.select("seed_id", F.size(side).alias("n"), F.explode(side).alias("token")).join(often, "token", "left")
+        place = F.row_number().over(Window.partitionBy("seed_id").orderBy(F.coalesce("n_items", F.lit(0)), "token"))
+        return own.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).where("n_items > 0").select("seed_id", "token")
+
+    pairs = rare("slug", least).unionByName(rare("hint", least / title_weight)).distinct().join(postings, "token").select("seed_id", "feed_pos", "item_pos").distinct()
+    both = pairs.join(left, "seed_id").join(right, ["feed_pos", "item_pos"])
+    share = lambda side: F.size(F.array_intersect(side, "tokens")) / F.greatest(F.size(side), F.lit(1))
+    scored = both.select("seed_id", "feed_pos", "item_pos", "title", F.greatest(share("slug"), title_weight * share("hint")).alias("match_confidence"))
+    top = best(scored.where(F.col("match_confidence") >= least), ["seed_id"], "match_confidence", ["feed_pos", "item_pos"])
+    return top.select("seed_id", "feed_pos", "item_pos", "title", F.lit("slug_title").alias("match_type"), "match_confidence")
 
 
 def contains_any(words: Column, keys: Column) -> Column:

@@ -7,21 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A name that no column of df has, for a column that comes and goes."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in the given order (which should be unique). Spark cuts each partition to one row a key before the shuffle."""
-    own = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
+    return cap(df, keys, order, 1)
 
 
 def cap(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     """At most n rows of each key. Apply it before any filter that must not make room for later rows."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+    place = free_name(df, "_n")
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(place) <= n).drop(place)
 
 
 def best(df: DataFrame, keys: list[str], score: str, order: list[str]) -> DataFrame:
     """The row of highest score of each key; the earliest if several have it."""
-    own = Window.partitionBy(*keys).orderBy(F.desc(score), *order)
-    return df.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
+    return cap(df, keys, [F.desc(score), *order], 1)
 
 
 def fresh(published: Column, now: Column, hours: int) -> Column:
@@ -31,8 +38,7 @@ def fresh(published: Column, now: Column, hours: int) -> Column:
 
 def first_success(attempts: DataFrame, key: str, ok: Column, rank: str) -> DataFrame:
     """The first attempt that is ok, else the last one made."""
-    own = Window.partitionBy(key).orderBy(F.when(ok, F.col(rank)).asc_nulls_last(), F.desc(rank))
-    return attempts.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
+    return cap(attempts, [key], [F.when(ok, F.col(rank)).asc_nulls_last(), F.desc(rank)], 1)
 
 
 def balanced_sample(candidates: DataFrame, most: int = 5, least: int = 2, min_text: int = 200) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from presswire.functions import urls
 from presswire.operators.joins import contains_any
-from presswire.operators.ordered import cap, fresh, keep_first
+from presswire.operators.ordered import cap, free_name, fresh, keep_first
 
 
 def feed_records(items: DataFrame, topics: list[str], now: Column, hours: int = 48, per_feed: int = 10) -> DataFrame:
@@ -40,7 +40,8 @@ def prefetch(items: DataFrame, results: DataFrame, topics: list[str], now: Colum
 def news_then_web(results: DataFrame, least: int = 4) -> DataFrame:
     """Results (query_pos, kind, result_pos, ...) with web ones only for queries that have fewer than `least` news ones."""
     news = F.count_if(F.col("kind") == "news").over(Window.partitionBy("query_pos"))
-    return results.withColumn("_n", news).where((F.col("kind") == "news") | (F.col("_n") < least)).drop("_n")
+    n = free_name(results, "_n")
+    return results.withColumn(n, news).where((F.col("kind") == "news") | (F.col(n) < least)).drop(n)
 
 
 def aggregator_queries(story: Column, title: Column, rss_title: Column, summary_terms: Column, slug_terms: Column) -> Column:
