@@ -35,8 +35,9 @@ def items(spark, sf_dir):
     )
 
 
-#: The same in SQL (ASCII white space; the pages hold no other in titles and texts).
-_CLEAN = lambda x: "trim(regexp_replace(" + "".join("regexp_replace(" for _ in text.ENTITIES) + f"regexp_replace({x}, '<[^>]+>', ' ', 'g')" + "".join(f", '&{n};?', {dims.literal(c)}, 'g')" for n, c in text.ENTITIES) + ", '[\\s\\xA0]+', ' ', 'g'))"
+#: The same in SQL: ASCII white space and these entities, since the pages hold no others. amp comes last so that nothing is decoded twice.
+PAGE_ENTITIES = [("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", "\u00a0"), ("lt", "<"), ("gt", ">"), ("#39", "'"), ("amp", "&")]
+_CLEAN = lambda x: "trim(regexp_replace(" + "".join("regexp_replace(" for _ in PAGE_ENTITIES) + f"regexp_replace({x}, '<[^>]+>', ' ', 'g')" + "".join(f", '&{n};?', {dims.literal(c)}, 'g')" for n, c in PAGE_ENTITIES) + ", '[\\s\\xA0]+', ' ', 'g'))"
 TITLE = _CLEAN("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
 BODY = _CLEAN("regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<head\\b.*?</head>', ' ', 'g')")
 ITEMS = f"""(select page_id % {FEEDS} as feed_pos, page_id // {FEEDS} as item_pos, coalesce(nullif({TITLE}, ''), '') as title, url, left({BODY}, 500) as summary,
@@ -126,8 +127,9 @@ _FEEDS = dims.values_sql([(i, *f) for i, f in enumerate(dims.FEEDS)], "feed_pos,
 
 
 def seeds(spark, sf_dir):
-    """Every 25th page's URL, with query and slash added, as a seed."""
-    return pages(spark, sf_dir).where("page_id % 25 = 3").select(F.col("page_id").alias("seed_id"), F.concat("url", F.lit("/?utm=1")).alias("url"), F.lit(None).cast("string").alias("title_hint"))
+    """Every page's URL, with query and slash added, as a seed; its title as the hint."""
+    rows = pages(spark, sf_dir)
+    return rows.select(F.col("page_id").alias("seed_id"), F.concat("url", F.lit("/?utm=1")).alias("url"), text.html_title(F.col("html")).alias("title_hint"))
 
 
 def seed_exact_match(spark, sf_dir):
@@ -135,9 +137,8 @@ def seed_exact_match(spark, sf_dir):
 
 
 def seed_slug_match(spark, sf_dir):
-    """Seeds that are other pages' titles: the best item by share of title tokens."""
-    some = items(spark, sf_dir).where("item_pos % 5 = 1").select((F.col("item_pos") * FEEDS + F.col("feed_pos")).alias("seed_id"), F.lit("https://elsewhere.example/").alias("url"), F.col("title").alias("title_hint"))
-    out = joins.similar_seed(some, items(spark, sf_dir))
+    """The best item by share of the tokens of a seed's slug or title."""
+    out = joins.similar_seed(seeds(spark, sf_dir), items(spark, sf_dir))
     return out.select("seed_id", "feed_pos", "item_pos", F.round("match_confidence", 6).alias("match_confidence"))
 
 
@@ -180,8 +181,11 @@ RECORDS = f"""(select feed_pos, item_pos, key from (select *, row_number() over
 
 RSS = """<?xml version="1.0"?><rss><channel><title>Feed</title>
 <item><title>One &amp; only</title><link>https://www.example.com/a/</link><description><![CDATA[<b>First</b> summary]]></description><pubDate>Wed, 04 Feb 2026 10:00:00 +0000</pubDate></item>
-<item><title>Two</title><link>https://example.com/b</link><summary>Second</summary><description>other</description><pubDate>nonsense</pubDate></item></channel></rss>"""
-ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>Three</title><link href="https://www.example.org/c"/><updated>2026-02-01T08:30:00+01:00</updated><summary>Third</summary></entry><entry><title>Four</title></entry></feed>"""
+<item><title>Two</title><link>https://example.com/b</link><summary>Second</summary><description>other</description><pubDate>nonsense</pubDate></item>
+<item><title>It&rsquo;s &#8220;five&#x201D; &mdash; &lt;b&gt;</title><link>https://example.com/e?a=1&amp;b=2</link><description>&lt;p&gt;a&amp;nbsp;b&lt;/p&gt;</description><pubDate>Wed, 04 Feb 2026 10:00 GMT</pubDate></item>
+<item><title><![CDATA[Six &amp; more]]></title><link>https://example.com/f</link><dc:date>2026-02-01T08:30:00.123Z</dc:date></item></channel></rss>"""
+ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>Three</title><link href="https://www.example.org/c"/><updated>2026-02-01T08:30:00+01:00</updated><summary>Third</summary></entry><entry><title>Four</title></entry>
+<entry><title>Seven</title><link rel="self" href="https://example.org/self"/><link rel="alternate" href="https://example.org/g?x&amp;y"/><published>2026-02-01T08:30Z</published></entry></feed>"""
 
 
 def feed_documents(spark, sf_dir):
@@ -191,8 +195,9 @@ def feed_documents(spark, sf_dir):
 
 
 FEED_ROWS = [
-    (0, 0, "One &amp; only", "https://www.example.com/a/", "example.com", 1770199200, "<b>First</b> summary", 1, "RSS"), (0, 1, "Two", "https://example.com/b", "example.com", -1, "Second", 1, "RSS"),
-    (1, 0, "Three", "https://www.example.org/c", "example.org", 1769931000, "Third", -2, "Atom"), (1, 1, "Four", "", "", -1, "", -2, "Atom"),
+    (0, 0, "One & only", "https://www.example.com/a/", "example.com", 1770199200, "<b>First</b> summary", 1, "RSS"), (0, 1, "Two", "https://example.com/b", "example.com", -1, "Second", 1, "RSS"),
+    (0, 2, "It’s “five” — <b>", "https://example.com/e?a=1&b=2", "example.com", 1770199200, "<p>a&nbsp;b</p>", 1, "RSS"), (0, 3, "Six &amp; more", "https://example.com/f", "example.com", 1769934600, "", 1, "RSS"),
+    (1, 0, "Three", "https://www.example.org/c", "example.org", 1769931000, "Third", -2, "Atom"), (1, 1, "Four", "", "", -1, "", -2, "Atom"), (1, 2, "Seven", "https://example.org/g?x&y", "example.org", 1769934600, "", -2, "Atom"),
 ]
 
 SEARCH = [
@@ -261,10 +266,10 @@ QUERIES = {
         select domain, feed_pos::integer as feed_pos from m where hit or not (select bool_or(n.hit) from m n where n.domain = m.domain)"""),
     "feed_catalogue": (feed_catalogue, f"select category, count(*) as n, round(avg(bias), 4) as mean_bias from {_FEEDS} f group by category"),
     "seed_exact_match": (seed_exact_match, f"""with k as (select {_NORM('url')} as key, feed_pos, item_pos, row_number() over (partition by {_NORM('url')} order by feed_pos, item_pos) as rn from {ITEMS} i)
-        select page_id as seed_id, feed_pos, item_pos, 'exact_url' as match_type, 1.0::double as match_confidence from (select page_id, url || '/?utm=1' as url from pages where page_id % 25 = 3) s join k on {_NORM('s.url')} = key and rn = 1"""),
-    "seed_slug_match": (seed_slug_match, f"""with i as (select *, {_TOKENS("title || ' ' || summary || ' ' || url")} as t from {ITEMS} x), s as (select item_pos * {FEEDS} + feed_pos as seed_id, {_TOKENS('title')} as h from i where item_pos % 5 = 1),
-        c as (select seed_id, feed_pos, item_pos, 0.9 * len(list_intersect(h, t)) / greatest(len(h), 1) as sc from s join i on list_has_any(h, t)), r as (select *, row_number() over (partition by seed_id order by sc desc, feed_pos, item_pos) as rn from c)
-        select seed_id, feed_pos, item_pos, round(sc, 6)::double as match_confidence from r where rn = 1 and sc >= 0.45"""),
+        select page_id as seed_id, feed_pos, item_pos, 'exact_url' as match_type, 1.0::double as match_confidence from (select page_id, url || '/?utm=1' as url from pages) s join k on {_NORM('s.url')} = key and rn = 1"""),
+    "seed_slug_match": (seed_slug_match, f"""with i as (select *, {_TOKENS("title || ' ' || summary || ' ' || url")} as t from {ITEMS} x), s as (select page_id as seed_id, {_TOKENS(_PATH("url || '/?utm=1'"))} as u, {_TOKENS(f"coalesce(nullif({TITLE}, ''), '')")} as h from pages),
+        c as (select seed_id, feed_pos, item_pos, greatest(len(list_intersect(u, t))::double / greatest(len(u), 1), 0.9::double * (len(list_intersect(h, t))::double / greatest(len(h), 1))) as sc from s join i on list_has_any(h, t) or list_has_any(u, t)),
+        r as (select *, row_number() over (partition by seed_id order by sc desc, feed_pos, item_pos) as rn from c) select seed_id, feed_pos, item_pos, round(sc, 6) as match_confidence from r where rn = 1 and sc >= 0.45::double"""),
     "extraction_first_success": (extraction_first_success, """with a as (select page_id, m as method_rank, (page_id * 37 + m * 61) % 180 as text_length from pages cross join range(4) r(m)),
         b as (select *, row_number() over (partition by page_id order by case when text_length > 100 then method_rank end nulls last, method_rank desc) as rn from a)
         select page_id, method_rank::integer as method_rank, text_length from b where rn = 1"""),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from presswire import dims
 from presswire.functions import models, rating, reports, text, urls
 from presswire.operators import joins
-from presswire.sources import catalogues, profiles, sinks
+from presswire.sources import catalogues, profiles, sinks, videos
 
 
 def frame(spark, rows, schema):
@@ -163,17 +163,49 @@ def youtube_id(spark, sf_dir):
 def video_metadata(spark, sf_dir):
     """Output limits: description 2000, 20 tags, English captions of known kinds."""
     info = '{"description": "%s", "tags": [%s], "subtitles": {}, "automatic_captions": {"en": [{"ext": "ttml"}, {"ext": "vtt"}]}}' % ("d" * 2500, ", ".join(f'"t{i}"' for i in range(30)))
-    rows = frame(spark, [(0, info), (1, '{"description": null, "subtitles": {"de": [{"ext": "vtt"}]}}')], "i int, j string")
-    kind = "map<string,array<struct<ext:string>>>"
-    p = F.from_json("j", f"description string, tags array<string>, subtitles {kind}, automatic_captions {kind}")
-    english = lambda m: F.exists(F.coalesce(F.try_element_at(m, F.lit("en")), F.array().cast("array<struct<ext:string>>")), lambda s: s["ext"].isin("vtt", "json3", "srv1"))
-    empty = F.create_map().cast(kind)
-    return rows.select(
-        "i", F.length(F.substring(F.coalesce(p["description"], F.lit("")), 1, 2000)).alias("description_chars"), F.size(F.slice(F.coalesce(p["tags"], F.array().cast("array<string>")), 1, 20)).alias("n_tags"),
-        (english(F.coalesce(p["subtitles"], empty)) | english(F.coalesce(p["automatic_captions"], empty))).alias("has_captions"),
-    )
+    rows = videos.metadata(frame(spark, [(0, info), (1, '{"description": null, "subtitles": {"de": [{"ext": "vtt"}]}}'), (2, "no json")], "i int, json string"))
+    return rows.select("i", F.length("description").alias("description_chars"), F.size("tags").alias("n_tags"), "has_captions")
 
 
+def page_video_metadata(spark, sf_dir):
+    """The same over a table: pages as videos, with captions of some."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    tracks = F.create_map(F.when(F.col("page_id") % 2 == 0, "en").otherwise("de"), F.array(F.struct(F.when(F.col("page_id") % 3 == 0, "vtt").otherwise("ttml").alias("ext"))))
+    info = F.to_json(F.struct(F.col("url").alias("title"), F.col("html").alias("description"), F.split("html", " ").alias("tags"), tracks.alias("subtitles")))
+    rows = videos.metadata(pages.select("page_id", info.alias("json")))
+    return rows.select("page_id", "title", F.length("description").alias("description_chars"), F.size("tags").alias("n_tags"), "has_captions")
+
+
+YAML_PROFILES = [
+    (0, 'channel:\n  name: "News desk"  # shown\n  description: |\n    First line\n    second line\n\n  worldview: libertarian\ncontent_style:\n  name: wrong\ntopics:\n  primary:\n    - economy\n    - "rule of law"\n  secondary: [peace, \'trade\']\n  other:\n    - no\ntopic_keywords:\n  economy:\n    - jobs\n'),
+    (1, "# flat\nname: Flat\ndescription: one: two\ntopics:\n- a\n- b\n"), (2, "topics: [x]"), (3, "no yaml"),
+]
+YAML_ROWS = [(0, "News desk", "First line\nsecond line", "libertarian", "economy|rule of law|peace|trade"), (1, "Flat", "one: two", "", "a|b"), (2, "", "", "", "x"), (3, "", "", "", "")]
+
+
+def profile_yaml(spark, sf_dir):
+    out = profiles.from_yaml(frame(spark, YAML_PROFILES, "id int, content string"))
+    return out.select("id", "name", "description", "worldview", F.array_join("topics", "|").alias("topics"))
+
+
+def profile_write_back(spark, sf_dir):
+    """Profiles of all kinds written as flat YAML and read again."""
+    kinds = [profiles.from_markdown(frame(spark, PROFILES[:1], "id int, content string")), profiles.from_yaml(frame(spark, YAML_PROFILES[:1], "id int, content string").withColumn("id", F.col("id") + 10))]
+    out = profiles.from_yaml(profiles.to_yaml(kinds[0].unionByName(kinds[1])))
+    return out.select("id", "name", "description", "worldview", F.array_join("topics", "|").alias("topics"))
+
+
+def context_cards(spark, sf_dir):
+    rows = profiles.from_yaml(frame(spark, YAML_PROFILES[:1], "id int, content string")).select("id", "name", "worldview", F.repeat("description", 40).alias("description"), F.flatten(F.array_repeat("topics", 3)).alias("topics"))
+    missing = frame(spark, [(9, None, None, None, None)], "id int, name string, worldview string, description string, topics array<string>")
+    rows = rows.unionByName(missing)
+    card = reports.context_card(F.col("name"), F.col("worldview"), F.col("description"), F.col("topics"))
+    return rows.select("id", F.length(card).alias("n_chars"), F.split_part(card, F.lit("\n"), F.lit(2)).alias("second_line"))
+
+
+_CARD = len("Channel Profile:\n- Name: News desk\n- Worldview: libertarian\n- Description: \n- Topics: \n") + 500 + len(", ".join(["economy", "rule of law", "peace", "trade"] * 2 + ["economy", "rule of law"]))
+CARD_ROWS = [(0, _CARD, "- Name: News desk"), (9, len("Channel Profile: Not configured. Using default settings."), "")]
+
 MODELS = [
     ("gemini", "models/gemini-2.0-flash"), ("Gemini ", "gemini/models/models/x"), ("groq", "openai/gpt-oss-120b"), ("xai", "grok/xai/grok-2"), ("lm-studio", "lm_studio/phi-4"), ("openrouter", "openrouter/openrouter/a/b"),
     ("nobody", "nobody/x"), ("openai", None), ("ollama", " ollama/llama3 "),
@@ -307,7 +339,11 @@ QUERIES = {
     "profile_json": (profile_json, _v([(2, "Flat", "a|b"), (3, "", "c")], "id, name, topics")),
     "profile_text": (profile_text, _v([(4, "Plain name", "first line\nsecond line")], "id, name, description")),
     "youtube_id": (youtube_id, f"select i, coalesce(nullif(regexp_extract(u, '(?:youtube\\.com/watch\\?v=|youtu\\.be/|youtube\\.com/embed/)([a-zA-Z0-9_-]{{11}})', 1), ''), regexp_extract(u, 'youtube\\.com/shorts/([a-zA-Z0-9_-]{{11}})', 1)) as video_id from {dims.values_sql(YOUTUBE, 'i, u')}"),
-    "video_metadata": (video_metadata, _v([(0, 2000, 20, True), (1, 0, 0, False)], "i, description_chars, n_tags, has_captions")),
+    "video_metadata": (video_metadata, _v([(0, 2000, 20, True), (1, 0, 0, False), (2, 0, 0, False)], "i, description_chars, n_tags, has_captions")),
+    "page_video_metadata": (page_video_metadata, "select page_id, url as title, least(length(html), 2000)::integer as description_chars, least(len(string_split(html, ' ')), 20)::integer as n_tags, page_id % 6 = 0 as has_captions from pages"),
+    "profile_yaml": (profile_yaml, _v(YAML_ROWS, "id, name, description, worldview, topics")),
+    "profile_write_back": (profile_write_back, _v([(0, "My Channel", "We read news.\nAll of it.", "libertarian", "Economy|Law|Peace"), (10, *YAML_ROWS[0][1:])], "id, name, description, worldview, topics")),
+    "context_cards": (context_cards, _v(CARD_ROWS, "id, n_chars, second_line")),
     "model_normalize": (model_normalize, _v(MODEL_ROWS, "i, provider, model, call_name")),
     "model_price_label": (model_price_label, _v([(0, "A ($0.2/$0.4 per 1M)"), (1, "B (Free)"), (2, "C"), (3, "D ($10/$0.15 per 1M)")], "i, label")),
     "model_catalogue": (model_catalogue, f"select provider, id, name, is_free, input_cost::double as input_cost, output_cost::double as output_cost, context_length::bigint as context_length from {dims.values_sql(CATALOGUE_ROWS, 'provider, id, name, is_free, input_cost, output_cost, context_length')}"),

@@ -186,7 +186,8 @@ def story_ranking(spark, sf_dir):
     scores = topic_match_score(spark, sf_dir).select("pos", "relevance")
     rows = articles(spark, sf_dir).select("story_id", "pos", "bias", "outlet").join(scores, "pos")
     g = rows.groupBy("story_id").agg(F.avg("relevance").alias("topic"), F.max("pos").alias("latest"), F.count_if(F.col("bias") <= -2).alias("l"), F.count_if(F.col("bias") >= 2).alias("r"), F.count_distinct("outlet").alias("outlets"), F.count(F.lit(1)).alias("n"))
-    recency = F.col("latest") / F.greatest(F.max("latest").over(Window.partitionBy()), F.lit(1))
+    g = g.crossJoin(F.broadcast(articles(spark, sf_dir).agg(F.max("pos").alias("last"))))  # one row on that side
+    recency = F.col("latest") / F.greatest(F.col("last"), F.lit(1))
     score = 0.35 * F.col("topic") + 0.25 * recency + 0.15 * (2 * F.least("l", "r") / F.greatest(F.col("l") + F.col("r"), F.lit(1))) + 0.10 * (F.col("outlets") / F.col("n"))
     return g.select("story_id", F.round(score, 6).alias("score"))
 

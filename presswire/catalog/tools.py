@@ -8,15 +8,9 @@ from pyspark.sql.window import Window
 from presswire import dims
 from presswire.catalog.feeds import ITEMS, items
 from presswire.catalog.stories import ARTICLES, LABEL_CASE, articles
-from presswire.functions import models, rating, urls
+from presswire.functions import models, rating, reports, urls
 from presswire.operators.ordered import cap
-
-# Providers whose completions the agents' library calls itself.
-NATIVE_PROVIDERS = ["openai", "anthropic", "gemini", "azure", "azure_openai", "bedrock", "aws"]
-# Spellings of the debug setting.
-DEBUG_OFF, DEBUG_ON = ["release", "prod", "production"], ["debug", "dev", "development"]
-LOOPBACK = ["localhost", "127.0.0.1", "0.0.0.0", "::1"]
-CACHE_SECONDS = 3600
+from presswire.sources import catalogues
 
 
 def frame(spark, rows, schema):
@@ -58,21 +52,26 @@ def keyword_bars(spark, sf_dir):
 MESSAGES = [
     (0, '"plain"'), (1, '{"text": "T", "output": "O"}'), (2, '{"output": "O"}'), (3, '[{"type": "text", "text": "a"}, "b", {"type": "input_text", "text": ""}, {"content": "c"}, {"output": "d"}, {"type": "image"}]'), (4, "null"), (5, '{"content": "deep"}'),
     (6, '[{"content": [{"type": "output_text", "text": "x"}, {"type": "text", "text": "y"}]}]'),
+    (7, '{"content": [{"content": {"content": [{"content": "four deep"}]}}]}'),
 ]
 
 
-def content_text(content, depth: int = 2):
-    """Text of a message content (variant): a string, an object or a list of either; two levels of nesting."""
+def content_text(content, depth: int = 3):
+    """Text of a message content (variant): a string, an object or a list of either, nested `depth` deep; what lies deeper counts if it is a string.
+
+    Columns cannot recurse without end, so the depth is unrolled; messages of chat clients nest twice.
+    """
     as_text = lambda v, path: F.try_variant_get(v, path, "string")
     keyed = F.coalesce(F.nullif(as_text(content, "$.text"), F.lit("")), F.nullif(as_text(content, "$.output"), F.lit("")))
     nested = F.try_variant_get(content, "$.content", "variant")
     parts = F.try_variant_get(content, "$", "array<variant>")
-    inner = content_text(nested, depth - 1) if depth else as_text(content, "$.content")
+    plain = lambda v: F.when(F.schema_of_variant(v) == "STRING", as_text(v, "$"))
+    inner = content_text(nested, depth - 1) if depth else plain(nested)
 
     def part(x):
         kind = F.coalesce(as_text(x, "$.type"), F.lit(""))
         below = F.try_variant_get(x, "$.content", "variant")
-        deeper = content_text(below, depth - 1) if depth else as_text(x, "$.content")
+        deeper = content_text(below, depth - 1) if depth else plain(below)
         own = F.when(kind.isin("text", "input_text", "output_text"), as_text(x, "$.text")).when(below.isNotNull(), deeper).otherwise(as_text(x, "$.output"))
         return F.when(F.schema_of_variant(x) == "STRING", as_text(x, "$")).otherwise(F.nullif(own, F.lit("")))
 
@@ -85,7 +84,7 @@ def message_contents(spark, sf_dir):
     return rows.select("i", F.coalesce(content_text(F.try_parse_json("j")), F.lit("")).alias("content"))
 
 
-CONTENT_ROWS = [(0, "plain"), (1, "T"), (2, "O"), (3, "a\nb\nc\nd"), (4, ""), (5, "deep"), (6, "x\ny")]
+CONTENT_ROWS = [(0, "plain"), (1, "T"), (2, "O"), (3, "a\nb\nc\nd"), (4, ""), (5, "deep"), (6, "x\ny"), (7, "four deep")]
 
 
 def completion_envelopes(spark, sf_dir):
@@ -97,25 +96,29 @@ def completion_envelopes(spark, sf_dir):
 
 
 def failure_records(spark, sf_dir):
-    """Blocked or failed pages as extraction records: blank text, code by status."""
-    rows = frame(spark, [(0, 403, None), (1, 200, "captcha"), (2, 500, None), (3, None, None)], "i int, status int, page string")
-    code = F.when((F.col("status") == 403) | F.coalesce(F.col("page").contains("captcha"), F.lit(False)), "blocked_challenge").when(F.col("status") >= 400, "exception").otherwise("parse_failure")
-    record = F.struct(F.lit("").alias("text"), F.lit(False).alias("success"), code.alias("error_code"), F.col("status").alias("http_status"))
-    return rows.select("i", record["success"].alias("success"), F.length(record["text"]).alias("n_chars"), record["error_code"].alias("error_code"))
+    """Pages as extractions that failed: those that block readers by what they say, others by a status (403, 500, 200, none in turn)."""
+    k = F.col("page_id") % 4
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html", F.when(k == 0, 403).when(k == 1, 500).when(k == 2, 200).alias("status"))
+    r = reports.failure_record(F.col("status"), F.col("html"))
+    return rows.select("page_id", r["success"].alias("success"), F.length(r["text"]).alias("n_chars"), r["error_code"].alias("error_code"), F.coalesce(r["http_status"], F.lit(-1)).alias("http_status"))
 
 
 def provider_fallbacks(spark, sf_dir):
     """The local model as fallback of providers that are neither native nor local."""
     providers = frame(spark, [(p,) for p, *_ in dims.PROVIDERS], "provider string")
-    out = providers.where(~F.col("provider").isin([*NATIVE_PROVIDERS, "lmstudio"]))
-    return out.select("provider", models.call_name(F.lit("lmstudio"), F.lit("lm_studio/phi-4")).alias("fallback"))
+    return providers.withColumn("fallback", models.fallback(F.col("provider"))).where("fallback is not null")
 
 
 def configured_providers(spark, sf_dir):
-    """Providers whose key is set, by a semi join of the key list; the ones without a key need a base URL."""
     keys = frame(spark, [("OPENAI_API_KEY",), ("XAI_API_KEY",), ("UNKNOWN",)], "key string")
-    providers = frame(spark, [(p, k) for p, _, _, k in dims.PROVIDERS], "provider string, key string")
-    return providers.join(F.broadcast(keys), "key", "left_semi").select("provider").unionByName(providers.where("key is null").select("provider"))
+    return catalogues.configured(frame(spark, [(p, k) for p, _, _, k in dims.PROVIDERS], "provider string, key string"), keys)
+
+
+def configured_segments(spark, sf_dir):
+    """The same over tables: nations are the keys that are set, suppliers' nations the providers' keys, those of the first five need none."""
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("provider"), F.when(F.col("s_nationkey") >= 5, F.col("s_nationkey")).alias("key"))
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_regionkey <> 2").select(F.col("n_nationkey").alias("key"))
+    return catalogues.configured(suppliers, nations).withColumnRenamed("provider", "s_suppkey")
 
 
 CACHE = [("openai", "m1", 0), ("openai", "m2", 0), ("groq", "g1", 5000), ("gemini", "x", 3599)]
@@ -123,19 +126,26 @@ FETCHED = [("groq", "g9")]
 
 
 def cached_catalogue(spark, sf_dir):
-    """Entries younger than an hour stand; of older ones the newly fetched, else the stale ones."""
-    now = 3600
-    cache = frame(spark, CACHE, "provider string, model string, at int").withColumn("fresh", F.lit(now) - F.col("at") < CACHE_SECONDS)
-    fetched = frame(spark, FETCHED, "provider string, model string")
-    new = fetched.join(cache.where("fresh").select("provider").distinct(), "provider", "left_anti")
-    old = cache.join(new.select("provider").distinct(), "provider", "left_anti")
-    return new.select("provider", "model", F.lit("fetched").alias("state")).unionByName(old.select("provider", "model", F.when(F.col("fresh"), "cached").otherwise("stale").alias("state")))
+    return catalogues.refreshed(frame(spark, CACHE, "provider string, model string, at int"), frame(spark, FETCHED, "provider string, model string"), F.lit(3600))
+
+
+def cached_parts(spark, sf_dir):
+    """The same over tables: parts by brand as a cache as old as their size says, larger ones of some brands fetched anew."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    cache = parts.select(F.col("p_brand").alias("provider"), F.col("p_partkey").alias("model"), (F.col("p_size") * 100).alias("at"))
+    fetched = parts.where("p_partkey % 50 = 7").select(F.col("p_brand").alias("provider"), (-F.col("p_partkey")).alias("model"))
+    return catalogues.refreshed(cache, fetched, F.lit(8000)).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("model").alias("total"))
 
 
 def model_search(spark, sf_dir):
     rows = frame(spark, [("gpt-4o", "GPT 4o (Free)"), ("o1-mini", None), ("claude", "Claude")], "id string, label string")
-    term = F.lower(F.trim(F.lit(" O1 ")))
-    return rows.where(F.lower(F.coalesce(F.nullif("label", F.lit("")), "id")).contains(term) | F.lower("id").contains(term)).select("id")
+    return rows.where(models.found(F.lit(" O1 "), F.col("id"), F.col("label"))).select("id")
+
+
+def part_search(spark, sf_dir):
+    """The same over a table: parts as models, their names as labels (none for every third)."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")).alias("label"))
+    return rows.where(models.found(F.lit(" bRAND#1"), F.col("p_brand"), F.col("label"))).select("p_partkey")
 
 
 EFFORTS = [(0, "openai", "gpt-5", "high"), (1, "openai", "o3", "xhigh"), (2, "openai", "davinci", "low"), (3, "groq", "gpt-x", "low"), (4, "openai", "Codex-1", None)]
@@ -143,37 +153,42 @@ EFFORTS = [(0, "openai", "gpt-5", "high"), (1, "openai", "o3", "xhigh"), (2, "op
 
 def reasoning_effort(spark, sf_dir):
     rows = frame(spark, EFFORTS, "i int, provider string, model string, effort string")
-    shown = (F.col("provider") == "openai") & F.col("model").rlike(r"(?i)^(gpt-|o\d|o-|codex)")
-    passed = F.when((F.col("provider") == "openai") & F.col("effort").isin("low", "medium", "high"), F.col("effort"))
-    return rows.select("i", shown.alias("shown"), F.coalesce(passed, F.lit("")).alias("passed"))
+    return rows.select("i", models.takes_effort(F.col("provider"), F.col("model")).alias("shown"), F.coalesce(models.passed_effort(F.col("provider"), F.col("effort")), F.lit("")).alias("passed"))
 
 
 def debug_flags(spark, sf_dir):
     rows = frame(spark, [(0, " Release "), (1, "DEV"), (2, "true"), (3, "production")], "i int, v string")
-    low = F.lower(F.trim("v"))
-    return rows.select("i", F.when(low.isin(DEBUG_OFF), "false").when(low.isin(DEBUG_ON), "true").otherwise(F.col("v")).alias("debug"))
+    return rows.select("i", models.debug_setting(F.col("v")).alias("debug"))
 
 
 def provider_model_split(spark, sf_dir):
-    rows = frame(spark, [(0, "groq/openai/x"), (1, "plain"), (2, None), (3, "/m"), (4, "p/")], "i int, llm string")
-    split = F.coalesce(F.col("llm").contains("/"), F.lit(False))
-    first, rest = F.split_part("llm", F.lit("/"), F.lit(1)), F.regexp_replace("llm", r"^[^/]*/", "")
-    known = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("unknown"))
-    return rows.select("i", F.when(split, known(first)).otherwise("unknown").alias("provider"), F.when(split, known(rest)).otherwise(known(F.col("llm"))).alias("model"))
+    rows = frame(spark, [(0, "groq/openai/x"), (1, "plain"), (2, None), (3, "/m"), (4, "p/")], "i int, llm string").withColumn("r", models.split_llm(F.col("llm")))
+    return rows.select("i", "r.provider", "r.model")
+
+
+def url_provider_split(spark, sf_dir):
+    """The same over a table: pages' URLs without their scheme are provider and model."""
+    r = models.split_llm(F.regexp_replace("url", "^https?://", ""))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", r["provider"].alias("provider"), F.length(r["model"]).alias("n_chars"))
 
 
 def container_urls(spark, sf_dir):
     """Loopback hosts become the container host; others stay."""
     rows = frame(spark, [(0, "http://localhost:8080/s"), (1, "http://[::1]/x"), (2, "https://search.example/q"), (3, "http://0.0.0.0")], "i int, u string")
-    u = F.col("u")
-    port = F.when(urls.port_text(u) != "", F.concat(F.lit(":"), urls.port_text(u))).otherwise("")
-    moved = F.concat(F.regexp_extract(u, r"^([^/]*//)", 1), F.lit("host.docker.internal"), port, F.regexp_replace(u, r"^[^/]*//[^/?#]*", ""))
-    return rows.select("i", F.when(urls.host(u).isin(LOOPBACK), moved).otherwise(u).alias("url"))
+    return rows.select("i", urls.container_url(F.col("u")).alias("url"))
+
+
+def container_pages(spark, sf_dir):
+    """The same over a table: every other page's host is the machine itself, with a port for some."""
+    own = F.concat(F.lit("http://localhost"), F.when(F.col("page_id") % 4 == 0, ":8080").otherwise(""), F.regexp_replace("url", "^https?://[^/]*", ""))
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.when(F.col("page_id") % 2 == 0, own).otherwise(F.col("url")).alias("url"))
+    return rows.select("page_id", urls.container_url(F.col("url")).alias("url"))
 
 
 def models_sorted(spark, sf_dir):
-    rows = frame(spark, [("gpt-b",), ("gpt-a",), ("GPT-c",)], "id string")
-    return rows.select("id", F.row_number().over(Window.orderBy("id")).alias("rank"))  # a provider's list
+    """Part types as models: their rank by id within their brand, as lists show them."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("provider"), F.concat_ws("/", "p_type", F.format_string("%09d", "p_partkey")).alias("id"))
+    return catalogues.in_order(rows)
 
 
 def _v(rows, columns):
@@ -192,8 +207,9 @@ QUERIES = {
     "keyword_bars": (keyword_bars, _v([(0, " 1. economy" + " " * 23 + " " + "█" * 9), (1, " 2. a rather long keyword that overflows ███"), (2, " 3. x" + " " * 29 + " ")], "i, line")),
     "message_contents": (message_contents, _v(CONTENT_ROWS, "i, content")),
     "completion_envelopes": (completion_envelopes, "select conv_id, 'chatcmpl_' || conv_id as id, length(arg_max(text, turn))::integer as n_chars, 'stop' as finish_reason from conversations where role = 'assistant' group by conv_id"),
-    "failure_records": (failure_records, _v([(0, False, 0, "blocked_challenge"), (1, False, 0, "blocked_challenge"), (2, False, 0, "exception"), (3, False, 0, "parse_failure")], "i, success, n_chars, error_code")),
-    "provider_fallbacks": (provider_fallbacks, _v([(p, "lm_studio/phi-4") for p, *_ in dims.PROVIDERS if p not in [*NATIVE_PROVIDERS, "lmstudio"]], "provider, fallback")),
+    "failure_records": (failure_records, """select page_id, false as success, 0 as n_chars, case when page_id % 4 = 0 or contains(lower(html), 'captcha') then 'blocked_challenge' when page_id % 4 = 1 then 'exception' else 'parse_failure' end as error_code,
+        case page_id % 4 when 0 then 403 when 1 then 500 when 2 then 200 else -1 end as http_status from pages"""),
+    "provider_fallbacks": (provider_fallbacks, _v([(p, "lm_studio/phi-4") for p, *_ in dims.PROVIDERS if p not in [*models.NATIVE_PROVIDERS, "lmstudio"]], "provider, fallback")),
     "configured_providers": (configured_providers, _v([("openai",), ("grok",), ("ollama",)], "provider")),
     "cached_catalogue": (cached_catalogue, _v([("openai", "m1", "stale"), ("openai", "m2", "stale"), ("groq", "g1", "cached"), ("gemini", "x", "cached")], "provider, model, state")),
     "model_search": (model_search, _v([("o1-mini",)], "id")),
@@ -201,5 +217,15 @@ QUERIES = {
     "debug_flags": (debug_flags, _v([(0, "false"), (1, "true"), (2, "true"), (3, "false")], "i, debug")),
     "provider_model_split": (provider_model_split, _v([(0, "groq", "openai/x"), (1, "unknown", "plain"), (2, "unknown", "unknown"), (3, "unknown", "m"), (4, "p", "unknown")], "i, provider, model")),
     "container_urls": (container_urls, _v([(0, "http://host.docker.internal:8080/s"), (1, "http://host.docker.internal/x"), (2, "https://search.example/q"), (3, "http://host.docker.internal")], "i, url")),
-    "models_sorted": (models_sorted, _v([("GPT-c", 1), ("gpt-a", 2), ("gpt-b", 3)], "id, rank")),
+    "models_sorted": (models_sorted, "select p_brand as provider, p_type || '/' || lpad(p_partkey::varchar, 9, '0') as id, row_number() over (partition by p_brand order by p_type || '/' || lpad(p_partkey::varchar, 9, '0'))::integer as rank from part"),
+    "configured_segments": (configured_segments, "select s_suppkey from supplier where s_nationkey < 5 or s_nationkey in (select n_nationkey from nation where n_regionkey <> 2)"),
+    "cached_parts": (cached_parts, """with c as (select p_brand as b, p_partkey as m, 8000 - p_size * 100 < 3600 as fresh from part), live as (select distinct b from c where fresh),
+        f as (select p_brand as b, -p_partkey as m from part where p_partkey % 50 = 7 and p_brand not in (select b from live)),
+        u as (select m, 'fetched' as state from f union all select m, case when fresh then 'cached' else 'stale' end from c where b not in (select b from f))
+        select state, count(*) as n, sum(m)::bigint as total from u group by state"""),
+    "part_search": (part_search, "select p_partkey from part where contains(lower(case when p_partkey % 3 <> 0 then p_name else p_brand end), 'brand#1') or contains(lower(p_brand), 'brand#1')"),
+    "url_provider_split": (url_provider_split, """with u as (select page_id, regexp_replace(url, '^https?://', '') as x from pages)
+        select page_id, case when contains(x, '/') then coalesce(nullif(split_part(x, '/', 1), ''), 'unknown') else 'unknown' end as provider,
+          length(case when contains(x, '/') then coalesce(nullif(x[strpos(x, '/') + 1:], ''), 'unknown') else coalesce(nullif(x, ''), 'unknown') end)::integer as n_chars from u"""),
+    "container_pages": (container_pages, """select page_id, case when page_id % 2 = 0 then 'http://host.docker.internal' || case when page_id % 4 = 0 then ':8080' else '' end || regexp_replace(url, '^https?://[^/]*', '') else url end as url from pages"""),
 }

@@ -119,3 +119,45 @@ def http_status(error: Column) -> Column:
         .when(error == "bad_request", 400)
         .otherwise(500)
     )
+
+
+# Providers whose completions the agents' library calls itself.
+NATIVE_PROVIDERS = ["openai", "anthropic", "gemini", "azure", "azure_openai", "bedrock", "aws"]
+# Spellings of the debug setting.
+DEBUG_OFF, DEBUG_ON = ["release", "prod", "production"], ["debug", "dev", "development"]
+EFFORTS = ["low", "medium", "high"]
+
+
+def split_llm(llm: Column) -> Column:
+    """struct(provider, model) of provider/model; what is missing is unknown, and all of a name without slash is the model."""
+    known = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("unknown"))
+    split = F.coalesce(llm.contains("/"), F.lit(False))
+    provider = F.when(split, known(F.split_part(llm, F.lit("/"), F.lit(1)))).otherwise("unknown")
+    return F.struct(provider.alias("provider"), F.when(split, known(F.regexp_replace(llm, r"^[^/]*/", ""))).otherwise(known(llm)).alias("model"))
+
+
+def found(term: Column, model: Column, label: Column) -> Column:
+    """The search term, trimmed and in any case, is part of the label (the id without one) or of the id."""
+    low = F.lower(F.trim(term))
+    return F.lower(F.coalesce(F.nullif(label, F.lit("")), model)).contains(low) | F.lower(model).contains(low)
+
+
+def takes_effort(provider: Column, model: Column) -> Column:
+    """Whether a model is offered with a reasoning effort."""
+    return (provider == "openai") & model.rlike(r"(?i)^(gpt-|o\d|o-|codex)")
+
+
+def passed_effort(provider: Column, effort: Column) -> Column:
+    """The effort that is passed on; null if none is."""
+    return F.when((provider == "openai") & effort.isin(EFFORTS), effort)
+
+
+def debug_setting(value: Column) -> Column:
+    """false and true for their other spellings; anything else stays."""
+    low = F.lower(F.trim(value))
+    return F.when(low.isin(DEBUG_OFF), "false").when(low.isin(DEBUG_ON), "true").otherwise(value)
+
+
+def fallback(provider: Column, local: str = "lmstudio", model: str = "lm_studio/phi-4") -> Column:
+    """The local model's call name for providers that are neither native nor local; null for these."""
+    return F.when(~provider.isin([*NATIVE_PROVIDERS, local]), call_name(F.lit(local), F.lit(model)))

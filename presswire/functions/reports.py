@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from presswire.functions.urls import normalize
 
+# How reports mark their source matrix, headings and links.
 MATRIX = r"(?i)^#{1,6}\s*\d*\.?\s*source matrix"
 HEADING = r"^#{1,6}\s+"
 LINK = r"\[[^\]]+\]\((https?://[^)]+)\)"
@@ -96,3 +97,21 @@ def worldview(section: Column) -> Column:
 def youtube_id(url: Column) -> Column:
     first = F.regexp_extract(url, r"(?:youtube\.com/watch\?v=|youtu\.be/|youtube\.com/embed/)([a-zA-Z0-9_-]{11})", 1)
     return F.coalesce(F.nullif(first, F.lit("")), F.nullif(F.regexp_extract(url, r"youtube\.com/shorts/([a-zA-Z0-9_-]{11})", 1), F.lit("")))
+
+
+def failure_code(status: Column, page: Column) -> Column:
+    """What an extraction that gave no text is recorded as: blocked by 403 or a captcha, an exception from 400 on, else a parse failure."""
+    blocked = F.coalesce(status == 403, F.lit(False)) | F.coalesce(F.lower(page).contains("captcha"), F.lit(False))
+    return F.when(blocked, "blocked_challenge").when(status >= 400, "exception").otherwise("parse_failure")
+
+
+def failure_record(status: Column, page: Column) -> Column:
+    """struct(text, success, error_code, http_status) of a failed extraction."""
+    return F.struct(F.lit("").alias("text"), F.lit(False).alias("success"), failure_code(status, page).alias("error_code"), status.alias("http_status"))
+
+
+def context_card(name: Column, worldview: Column, description: Column, topics: Column) -> Column:
+    """A channel's card for prompts: 500 characters of the description, ten topics; a fixed text without a profile (null name)."""
+    lines = ["Channel Profile:", F.concat(F.lit("- Name: "), name), F.concat(F.lit("- Worldview: "), worldview), F.concat(F.lit("- Description: "), F.substring(description, 1, 500)), F.concat(F.lit("- Topics: "), F.array_join(F.slice(topics, 1, 10), ", "))]
+    card = F.concat(*[x for line in lines for x in ((F.lit(line) if isinstance(line, str) else line), F.lit("\n"))])
+    return F.coalesce(card, F.lit("Channel Profile: Not configured. Using default settings."))

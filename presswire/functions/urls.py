@@ -103,3 +103,14 @@ def bridge_errors(url: Column, require_local: bool = True, allow_public: bool =
     if not (allow_public and not require_local):
         checks.append((shaped & web & ~local, "public"))
     return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for c, code in checks]), lambda x: x.isNotNull())
+
+
+# Hosts that mean the machine itself.
+LOOPBACK = ["localhost", "127.0.0.1", "0.0.0.0", "::1"]
+
+
+def container_url(url: Column, container_host: str = "host.docker.internal") -> Column:
+    """As seen from inside a container: the machine's own hosts become the container's name for it, port, path and scheme stay; others stay whole."""
+    port = F.when(port_text(url) != "", F.concat(F.lit(":"), port_text(url))).otherwise("")
+    moved = F.concat(F.regexp_extract(url, r"^([^/]*//)", 1), F.lit(container_host), port, F.regexp_replace(url, r"^[^/]*//[^/?#]*", ""))
+    return F.when(host(url).isin(LOOPBACK), moved).otherwise(url)

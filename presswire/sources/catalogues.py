@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from presswire.functions import models, text
 
@@ -58,3 +59,22 @@ def recovery_order(catalogue: DataFrame) -> DataFrame:
         F.lit(3),
     )
     return catalogue.where("id <> ''").groupBy("id").agg(F.min(F.array_min(every)).alias("tier"))
+
+
+def in_order(catalogue: DataFrame) -> DataFrame:
+    """A provider's models with their rank by id (code points), as lists show them."""
+    return catalogue.withColumn("rank", F.row_number().over(Window.partitionBy("provider").orderBy("id")))
+
+
+def configured(providers: DataFrame, keys: DataFrame) -> DataFrame:
+    """Of providers (provider, key) those whose key is among the set ones (key), and those that need none (null)."""
+    return providers.join(keys, "key", "left_semi").select("provider").unionByName(providers.where("key is null").select("provider"))
+
+
+def refreshed(cache: DataFrame, fetched: DataFrame, now: Column, seconds: int = 3600) -> DataFrame:
+    """provider, model, state of a cache (provider, model, at) and what was fetched (provider, model): entries younger than `seconds` stand
+    (cached), older ones are replaced by their provider's fetched ones, or stay (stale) if it has none."""
+    cache = cache.withColumn("fresh", now - F.col("at") < seconds)
+    new = fetched.join(cache.where("fresh").select("provider").distinct(), "provider", "left_anti")
+    old = cache.join(new.select("provider").distinct(), "provider", "left_anti")
+    return new.select("provider", "model", F.lit("fetched").alias("state")).unionByName(old.select("provider", "model", F.when(F.col("fresh"), "cached").otherwise("stale").alias("state")))

@@ -16,6 +16,31 @@ def stories(df: DataFrame) -> DataFrame:
     )
 
 
+def sources(df: DataFrame) -> DataFrame:
+    """New source rows (story_id, domain, url, title, full_text, author, published_date, political_bias, bias_confidence) with their defaults."""
+    return df.select(
+        F.sha2(F.concat_ws("\n", "story_id", "url"), 256).alias("id"), "story_id", "domain", "url", F.substring("title", 1, 500).alias("title"), F.coalesce("full_text", F.lit("")).alias("full_text"), "author", "published_date",
+        F.coalesce("political_bias", F.lit(0)).alias("political_bias"), F.coalesce("bias_confidence", F.lit(0.0)).alias("bias_confidence"),
+    )
+
+
+def json_text(text: Column) -> Column:
+    """A text as a JSON string."""
+    coded = F.to_json(F.array(text))
+    return F.substring(coded, F.lit(2), F.length(coded) - 2)
+
+
+def json_back(text: Column) -> Column:
+    """What json_text() encoded."""
+    return F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")[0]
+
+
+def analyses(df: DataFrame, facts: tuple[str, ...] = ("agreed_facts", "left_only_facts", "right_only_facts")) -> DataFrame:
+    """New analysis rows: story_id, the lists of facts as JSON, full_report_json. The report comes as JSON already and is encoded once more, as
+    stored rows have it: read it with json_back() before from_json()."""
+    return df.select(F.sha2("story_id", 256).alias("id"), "story_id", *[F.to_json(F.coalesce(c, F.array().cast("array<string>"))).alias(c) for c in facts], json_text(F.col("full_report_json")).alias("full_report_json"))
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
