@@ -6,17 +6,19 @@ from compare import check
 from presswire.queries import ORACLES, QUERIES
 
 #: Their tables have no such rows at this size.
-MAY_BE_EMPTY = {"seed_exact_match", "stream_task_timing"}
+MAY_BE_EMPTY = {"stream_task_timing"}
+#: Greedy choice among near copies: tested against brute force in test_operators.
+NO_SQL = {"top_keywords"}
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - NO_SQL))
 def test_query(spark, sf_dir, duck, name):
     n = check(QUERIES[name](spark, sf_dir), duck.sql(ORACLES[name]))
     assert n or name in MAY_BE_EMPTY
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - NO_SQL == set(ORACLES)
 
 
 def test_entry_point(spark):

@@ -54,6 +54,26 @@ def test_summary_is_unescaped(spark):
     assert one(spark, values, text.clean_summary) == want
 
 
+def test_entities_match_python(spark):
+    values = [
+        "It&rsquo;s &mdash; &#8220;q&#x201D; &#X2014 &hellip;", "&notit; &amp &ampx &copy=1 &eacute;&Eacute; &apos;", "&unknown; &am & &; &#; &#x; &#zz;", "&#0; &#128; &#x80; &#xD800; &#1114112; &#99999999999; &#x1F600; &#00000000065;",
+        "&#1;&#127;x", "no entity", "", "&nbsp;&lt", "a&frac12b &times;&divide;", "&#10;line", "&amp;amp;",
+    ]
+    assert one(spark, values, text.unescape) == [html.unescape(v) for v in values]
+
+
+def test_dates_of_feeds(spark):
+    from presswire.sources import feeds
+
+    values = [
+        "Wed, 04 Feb 2026 10:00:00 +0000", "4 Feb 2026 10:00 GMT", "Wed, 04 Feb 26 10:00:00 +0100", "2026-02-04T10:00:00Z", "2026-02-04T10:00:00.5+00:00", "2026-02-04T10:00:00.123456789Z", "2026-02-04T10:00Z", "2026-02-04T11:00:00+0100",
+        "2026-02-04T10:00:00", "2026-02-04 10:00", "Wednesday, 04 Feb 2026 10:00:00 EST", "2026-02-04", "soon", "",
+    ]
+    at = 1770199200
+    want = [at, at, at - 3600, at, at, at, at, at, at, at, at + 5 * 3600, at - 10 * 3600, None, None]
+    assert one(spark, values, lambda c: F.unix_seconds(feeds.timestamp(c))) == want
+
+
 def test_redaction_matches_python(spark):
     values = ["Authorization: Bearer abc", "x api-key: k, y", "sk-12345678 sk-short", "Cookie: a=b; c", "plain"]
 

@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from presswire import dims
-from presswire.operators import budget, joins, ordered, store
+from presswire import dims, streaming
+from presswire.functions import text, urls
+from presswire.operators import budget, joins, keywords, ordered, store
 from presswire.plans import plan_text
 from presswire.queries import QUERIES
 from presswire.sources import profiles, sinks
@@ -101,3 +102,132 @@ def test_sinks(spark, tmp_path):
     assert store.violations(spark.read.parquet(str(tmp_path / "stories")), "id").first()["n"] == 2
     prompt = sinks.prompt_blocks(spark.createDataFrame([(1, 2, "B"), (1, 1, "A")], "k int, o int, t string"), "k", "o", F.col("t"), F.lit("x" * 3000)).first()["prompt"]
     assert prompt.startswith("[1] A\nxx") and len(prompt) == 2 * 2000 + len("[1] A\n\n\n[2] B\n")
+
+
+def test_rating_replaces_columns_of_its_names(spark):
+    df = spark.createDataFrame([("cnn.com", 9, "mine", "x"), ("nobody.example", 8, "mine", "y")], "domain string, bias int, category string, _rated string")
+    got = {r["domain"]: r for r in joins.rate_domains(df, "domain").collect()}
+    assert got["cnn.com"]["bias"] == -2 and got["cnn.com"]["category"] != "mine" and got["nobody.example"]["bias"] == 0 and got["nobody.example"]["category"] is None
+    assert got["cnn.com"]["_rated"] == "x" and got["cnn.com"]["method"] == "dataset"
+
+
+def test_operators_leave_columns_of_their_own_names(spark):
+    df = spark.createDataFrame([("a", 0, 5, 7), ("a", 1, 6, 8)], "k string, pos int, _n int, _N_ int")
+    assert ordered.keep_first(df, ["k"], ["pos"]).collect() == df.where("pos = 0").collect()
+
+
+def test_similar_seed_equals_all_pairs(spark):
+    rng = random.Random(9)
+    words = [f"word{i}" for i in range(40)] + ["https", "com", "news"] * 6
+    item_rows = [(i % 4, i // 4, " ".join(rng.sample(words, 5)), f"https://x.com/news/{'-'.join(rng.sample(words, 3))}", " ".join(rng.sample(words, 6))) for i in range(80)]
+    seed_rows = [(i, f"https://y.com/news/{'-'.join(rng.sample(words, rng.randrange(1, 5)))}", rng.choice([None, "", " ".join(rng.sample(words, rng.randrange(1, 7)))])) for i in range(60)]
+    tokens = lambda x: {t for t in __import__("re").findall(r"[a-z0-9]{3,}", (x or "").lower()) if t not in text.TOKEN_STOP}
+    want = {}
+    for s, url, hint in seed_rows:
+        slug, title = tokens(url.split("//")[1].partition("/")[2]), tokens(hint)
+        best = max(((max(len(slug & t) / max(len(slug), 1), 0.9 * (len(title & t) / max(len(title), 1))), -f, -i) for f, i, a, u, b in item_rows if (t := tokens(f"{a} {b} {u}"))))
+        if best[0] >= 0.45:
+            want[s] = (-best[1], -best[2], round(best[0], 9))
+    items = spark.createDataFrame(item_rows, "feed_pos int, item_pos int, title string, url string, summary string")
+    seeds = spark.createDataFrame(seed_rows, "seed_id int, url string, title_hint string")
+    assert {r["seed_id"]: (r["feed_pos"], r["item_pos"], round(r["match_confidence"], 9)) for r in joins.similar_seed(seeds, items).collect()} == want and len(want) > 20
+
+
+def test_keywords_against_brute_force(spark):
+    """Scores by the published formulas, near copies left out greedily, in plain Python."""
+    import math
+    import re
+    import statistics
+
+    body = "The Senate passed the Budget Act. NASA said the budget act funds NASA missions. Critics of the Senate called the budget missions costly! Missions missionz continue; the senate votes again\nBudget act."
+    got = [(r["keyword"], round(r["relevance"], 9)) for r in keywords.keywords(spark.createDataFrame([(1, body), (2, "too short")], "doc int, text string"), "doc", "text", 20).orderBy("rank").collect()]
+    sents = [w for s in re.split(r"[.!?\n]+", body) if (w := re.findall(r"[^\W_]+", s))]
+    ok = lambda t: len(t) >= 3 and t not in keywords.STOP and not t.isdigit()
+    place = [(i, j, w, w.lower()) for i, ws in enumerate(sents) for j, w in enumerate(ws)]
+    by = {}
+    for i, j, w, t in place:
+        by.setdefault(t, []).append((i, j, w))
+    tf = {t: len(v) for t, v in by.items()}
+    valid = [tf[t] for t in by if ok(t)]
+    score = {}
+    for t, v in by.items():
+        if not ok(t):
+            continue
+        left, right = [sents[i][j - 1].lower() for i, j, _ in v if j], [sents[i][j + 1].lower() for i, j, _ in v if j + 1 < len(sents[i])]
+        upper = sum(w.isupper() and len(w) > 1 for _, _, w in v)
+        capital = sum(w[0].isupper() and not (w.isupper() and len(w) > 1) and j > 0 for _, j, w in v)
+        related = 1 + (len(set(left)) / max(len(left), 1) + len(set(right)) / max(len(right), 1)) * tf[t] / max(tf.values())
+        casing, spread = max(upper, capital) / (1 + math.log(tf[t])), len({i for i, _, _ in v}) / len(sents)
+        score[t] = math.log(math.log(3 + statistics.median(i for i, _, _ in v))) * related / (casing + tf[t] / (statistics.mean(valid) + statistics.pstdev(valid)) / related + spread / related)
+    found = {t: s / (tf[t] * (1 + s)) for t, s in score.items()}
+    pairs = {}
+    for ws in sents:
+        for a, b in zip(ws, ws[1:]):
+            if ok(a.lower()) and ok(b.lower()):
+                pairs[a.lower(), b.lower()] = pairs.get((a.lower(), b.lower()), 0) + 1
+    for (a, b), n in pairs.items():
+        found[f"{a} {b}"] = score[a] * score[b] / (n * (1 + score[a] + score[b]))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i] + [0] * len(b)
+            for j, y in enumerate(b, 1):
+                row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+        return row[-1]
+
+    kept = []
+    for s, k in sorted((round(s, 12), k) for k, s in found.items())[:80]:
+        if all(1 - distance(k, o) / max(len(k), len(o)) <= 0.9 for o, _ in kept):
+            kept.append((k, round(1 - min(found[k], 1), 9)))
+    assert got == kept[:20] and len(got) > 10
+
+
+def test_keyword_lines(spark):
+    df = spark.createDataFrame([(1, 2, "b", 0.5), (1, 1, "a", 0.97)], "doc int, rank int, keyword string, relevance double")
+    assert keywords.keyword_lines(df, "doc").first()["text"] == "Top 2 Keywords:\n\n" + f" 1. {'a':<30} {'█' * 9} (0.97)\n" + f" 2. {'b':<30} {'█' * 5} (0.50)\n"
+
+
+def test_paced_calls_keep_their_distance(spark):
+    rng = random.Random(4)
+    rows = [(k, float(rng.randrange(50))) for k in range(2) for _ in range(12)]
+    df = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(rows)], "call int, k int, t double").withColumn("ts", F.timestamp_seconds("t"))
+    got = {r["call"]: r["starts"] for r in streaming.paced(df, "k", "ts", ["call"], 5.0).collect()}
+    for key in (0, 1):
+        free = float("-inf")
+        for t, i in sorted((t, i) for i, (k, t) in enumerate(rows) if k == key):
+            free = max(t, free + 5.0 if free > float("-inf") else t)
+            assert abs(got[i] - free) < 1e-6
+
+
+def test_a_batch_that_runs_again_adds_nothing_twice(spark, sf_dir, tmp_path):
+    """The writer that foreachBatch calls is called twice for each batch, as after a failure."""
+    events = streaming.read(spark, sf_dir, "events").select("event_id")
+    original = type(events.writeStream).foreachBatch
+
+    def twice(self, write):
+        return original(self, lambda batch, number: (write(batch, number), write(batch, number))[0])
+
+    type(events.writeStream).foreachBatch = twice
+    try:
+        out = streaming.drain(events, "append", str(tmp_path))
+    finally:
+        type(events.writeStream).foreachBatch = original
+    assert out.count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_stream_folder_needs_a_shared_one_on_a_cluster(spark):
+    assert streaming.folder(spark).endswith("/streams")
+
+
+def test_profiles_written_as_yaml_read_back(spark):
+    rows = [(1, "N", "two\nlines", "liberal", "", ["a b", "c"]), (2, "", "", "", "one line: with colon", [])]
+    df = spark.createDataFrame(rows, "id int, name string, description string, worldview string, worldview_description string, topics array<string>")
+    assert sorted(map(tuple, profiles.from_yaml(profiles.to_yaml(df)).collect())) == rows
+
+
+def test_message_contents_say_how_deep_they_go(spark):
+    from presswire.catalog.tools import content_text
+
+    deep = '{"content": [{"content": [{"content": [{"content": [{"content": "gone"}]}]}]}]}'
+    assert spark.createDataFrame([(deep,)], "j string").select(content_text(F.parse_json("j"))).first()[0] == ""
