@@ -136,7 +136,8 @@ def with_package(spark: SparkSession, rows: int = 2000) -> None:
     """Ready the session for Python stages.
 
     Local Python workers can import this package even when only the driver's sys.path has it (clusters use --py-files). A batch for
-    a worker has at most `rows` rows: it is held several times over, by the executor and by the worker, and texts are long.
+    a worker has at most `rows` rows: it is held several times over, by the executor and by the worker, and texts are long. The setting
+    stays, since plans read it when they run; a session with a lower one keeps that.
     """
     if not 0 < int(spark.conf.get(ARROW_ROWS)) <= rows:
         spark.conf.set(ARROW_ROWS, rows)

@@ -20,30 +20,42 @@ TEMPLATES = {
     "MIT": [
         "released under the mit license", "licensed under the mit license", "spdx-license-identifier mit", "mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ],
+    "Apache-2.0": [
+        "licensed under the apache license version 2.0", "apache license version 2.0", "you may not use this file except in compliance with the license", "spdx-license-identifier apache-2.0", "released under the apache license 2.0",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
     ],
-    "Apache-2.0": ["licensed under the apache license version 2.0", "apache license version 2.0", "you may not use this file except in compliance with the license", "spdx-license-identifier apache-2.0", "released under the apache license 2.0"],
     "GPL-3.0": [
         "this work is licensed under the gnu general public license version 3", "gnu general public license version 3", "licensed under gpl v3", "spdx-license-identifier gpl-3.0",
         "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license",
     ],
     "GPL-2.0": ["gnu general public license version 2", "licensed under gpl v2", "spdx-license-identifier gpl-2.0", "gnu general public license as published by the free software foundation either version 2 of the license"],
-    "LGPL": ["gnu lesser general public license", "licensed under the lgpl", "spdx-license-identifier lgpl-3.0"],
-    "AGPL-3.0": ["gnu affero general public license", "licensed under the agpl", "spdx-license-identifier agpl-3.0"],
+    "LGPL": ["gnu lesser general public license", "licensed under the lgpl", "spdx-license-identifier lgpl-3.0", "under the terms of the gnu lesser general public license as published by the free software foundation"],
+    "AGPL-3.0": ["gnu affero general public license", "licensed under the agpl", "spdx-license-identifier agpl-3.0", "under the terms of the gnu affero general public license as published by the free software foundation either version 3"],
     "BSD": [
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd 3-clause license", "bsd 2-clause license", "released under the bsd license", "spdx-license-identifier bsd-3-clause",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     ],
-    "MPL-2.0": ["subject to the terms of the mozilla public license v 2.0", "mozilla public license version 2.0", "spdx-license-identifier mpl-2.0"],
+    "MPL-2.0": ["this source code form is subject to the terms of the mozilla public license v 2.0", "mozilla public license version 2.0", "spdx-license-identifier mpl-2.0"],
+    "EPL-2.0": ["eclipse public license v 2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license", "spdx-license-identifier epl-2.0"],
     "CC-BY-NC-4.0": ["licensed under cc by-nc 4.0", "cc by-nc 4.0", "creative commons attribution-noncommercial 4.0 international license"],
     "CC-BY-SA-4.0": ["licensed under cc by-sa 4.0", "cc by-sa 4.0", "creative commons attribution-sharealike 4.0 international license"],
     "CC-BY-4.0": ["licensed under cc by 4.0", "cc by 4.0", "creative commons attribution 4.0 international license"],
-    "CC0-1.0": ["cc0 1.0 universal", "dedicated to the public domain", "public domain dedication"],
-    "ISC": ["isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "CC0-1.0": ["cc0 1.0 universal", "dedicated to the public domain", "public domain dedication", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"],
+    "Unlicense": ["this is free and unencumbered software released into the public domain", "anyone is free to copy modify publish use compile sell or distribute this software", "spdx-license-identifier unlicense"],
+    "ISC": ["isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "spdx-license-identifier isc"],
     "proprietary": ["all rights reserved", "no part of this publication may be reproduced without prior written permission"],
 }
 FAMILIES = [*TEMPLATES, "unknown"]
 PAIRS = [(k, list(dict.fromkeys(zip(t.split(), t.split()[1:], strict=False)))) for k, ts in enumerate(TEMPLATES.values()) for t in ts]
 HOLDERS = {p: [i for i, (_, pairs) in enumerate(PAIRS) if p in pairs] for _, ps in PAIRS for p in ps}  # templates of each pair of words
 CONFIRM = 0.75  # share of a template's pairs of words that confirms a family
+SHORT = {i for i, (_, pairs) in enumerate(PAIRS) if len(pairs) == 1}  # templates of two words, which no text around them need mean
+TITLE = 12  # words of a unit that is a title or a notice by itself
+#: Words that lead in or go with a notice.
+LEADS = {"licensed", "released", "distributed", "governed", "available", "terms", "copyright", "under", "spdx-license-identifier"}
 UNKNOWN = len(TEMPLATES)
 UNIT, SHIFT = 48, 16  # words of a unit; long paragraphs are cut three times, so that any 33 words (a template has 29 at most) stand whole in a unit
 LEADERS = {"dnl", "rem"}  # words that open comment lines; leaders of punctuation alone have no letters and so are no words
@@ -77,15 +89,22 @@ class Classifier:
 
 
 def shares(words: list[str]) -> dict[int, float]:
-    """For each family with any, the largest share of a template's pairs of neighbouring words that a unit holds."""
+    """For each family with any, the largest share of a template's pairs of neighbouring words that a unit holds.
+
+    A template of two words counts only in a unit of up to TITLE words, one that has a lead-in word, or one that confirms a longer
+    template of any family: two words alone name much else.
+    """
     count: dict[int, int] = {}
     for p in set(zip(words, words[1:], strict=False)):
         for i in HOLDERS.get(p, ()):
             count[i] = count.get(i, 0) + 1
+    longer = any(n >= CONFIRM * len(PAIRS[i][1]) for i, n in count.items() if i not in SHORT)
+    notice = longer or sum(map(bool, words)) <= TITLE or not LEADS.isdisjoint(words)
     out: dict[int, float] = {}
     for i, n in count.items():
-        k, pairs = PAIRS[i]
-        out[k] = max(out.get(k, 0.0), n / len(pairs))
+        if notice or i not in SHORT:
+            k, pairs = PAIRS[i]
+            out[k] = max(out.get(k, 0.0), n / len(pairs))
     return out
 
 
@@ -172,7 +191,7 @@ def train(noise: list[list[str]], each: int = 150, steps: int = 200, l1: float =
     x = np.zeros((len(texts), len(vocabulary)), dtype=np.float32)
     for r, words in enumerate(texts):
         x[r, [index[g] for g in grams(words) if g in index]] = 1
-    held = np.arange(len(texts)) % 4 == 3
+    held = np.random.default_rng(seed + 1).random(len(texts)) < 0.25  # at random, since templates take turns
     y = np.eye(len(FAMILIES), dtype=np.float32)[label]
     xt, yt = x[~held], y[~held]
     balance = (1 / np.maximum(yt.sum(axis=0), 1))[label[~held]][:, None] * len(yt) / len(FAMILIES)

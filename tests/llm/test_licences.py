@@ -107,3 +107,45 @@ def test_whole_templates_are_not_pruned():
 )
 def test_units_of_several_families(model, text, want):
     assert licences.scan_texts([text], model)[0][0] == want
+
+
+#: Notices as files carry them, none of them a template as it stands, and paragraphs that speak of licences without giving one.
+HELD_OUT = [
+    ("Copyright (c) 2019 Jane Doe\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, subject to the following conditions:", ["MIT"]),
+    ("// Use of this code is governed by the MIT license, which stands in the file LICENSE.", ["MIT"]),
+    ("# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0", ["Apache-2.0"]),
+    (" * Unless required by applicable law or agreed to in writing, software\n * distributed under the License is distributed on an \"AS IS\" BASIS,\n * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", ["Apache-2.0"]),
+    ("This file is part of Foo.\nFoo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ["GPL-3.0"]),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ["GPL-2.0"]),
+    ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.", ["LGPL"]),
+    ("    This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License.", ["AGPL-3.0"]),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", ["BSD"]),
+    ("Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ["BSD"]),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one.", ["MPL-2.0"]),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at the project's site.", ["EPL-2.0"]),
+    ("Except where otherwise noted, content on this site is licensed under a Creative Commons Attribution 4.0 International license.", ["CC-BY-4.0"]),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]),
+    ("To the extent possible under law, the author(s) have waived all copyright and related or neighboring rights to this work worldwide.", ["CC0-1.0"]),
+    ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary.", ["Unlicense"]),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appears.", ["ISC"]),
+    ("(C) 2020 Example Corp. All rights reserved. Unauthorized copying of this file is prohibited.", ["proprietary"]),
+    ("Ze lost the driving license in May and had to apply for a new license at the public office, which took all summer long.", []),
+    ("At MIT license fees for patents rose last year, and the institute said that it would spend the money on new laboratories in the city.", []),
+    ("The court heard that the license of the pub had been granted in general terms by the public authority, version two of the rules being in force.", []),
+    ("Software patents and the general public: a license to print money, some free software people say, without restriction or warranty.", []),
+    ("The foundation published a lesser known general history of the public domain, which scholars may copy and distribute.", []),
+    ("You may not use this entrance except in an emergency; compliance with the rules is required by law.", []),
+    ("The eclipse was seen by the public in many towns, and no license was needed to watch it.", []),
+]
+
+
+def test_held_out_notices_that_training_has_not_seen(model):
+    got = [licences.scan_texts([t], model)[0][0] for t, _ in HELD_OUT]
+    wrong = [(t[:50], g, w) for (t, w), g in zip(HELD_OUT, got, strict=True) if g != w]
+    assert len(wrong) <= 2, wrong
+
+
+def test_two_words_confirm_no_family_alone(model):
+    pad = " ".join(f"word{i}" for i in range(30))
+    assert licences.scan_texts([f"{pad} MIT License {pad}"], model)[0][0] == [] and licences.scan_texts([f"{pad} licensed MIT License {pad}"], model)[0][0] == ["MIT"]
+    assert licences.scan_texts(["MIT License"], model)[0][0] == ["MIT"]
