@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswire.llm import jaccard, mixing, packing, suffixes, toxicity
-from presswire.llm.common import drop_tables, free_name, materialize, numbered, table, written
+from presswire.llm.common import drop_tables, free_name, keep_last, materialize, numbered, table, written
 from presswire.llm.queries import tokenizer_path
 
 
@@ -27,8 +27,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     row = free_name(docs)
     rows = numbered(docs, row)
-    judged = jaccard.join_rows(rows.where("doc_id is not null").select(F.col(row).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    return rows.join(judged.where(~F.col("kept")).select(F.col("row").alias(row)), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    some = rows.where("doc_id is not null").select(F.col(row).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    gone = keep_last(spark, lambda: jaccard.join_rows(some).where(~F.col("kept")).select(F.col("row").alias(row)))
+    return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
