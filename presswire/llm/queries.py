@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswire.llm import chat, jaccard, licences, mixing, neighbours, packing, sharding, suffixes, topk, toxicity
+from presswire.llm import balls, chat, jaccard, licences, manifest, mixing, neighbours, packing, sharding, suffixes, topk, toxicity
 from presswire.llm.common import table
 
 
@@ -64,6 +64,33 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balls.cluster(balls.to_grid(table(spark, sf_dir, "embeddings"))).drop("compared")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def _assigned(vectors: str, centroids: str) -> str:
+    """SQL: the vectors (r, vec_id, g) with their nearest centroid of (c, m) and its squared distance."""
+    return f"""(select r, any_value(vec_id) as vec_id, any_value(g) as g, arg_min(c, d * 1000 + c)::integer as c, min(d) as d
+          from (select r, vec_id, g, c, list_sum(list_transform(list_zip(g, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from {vectors} cross join {centroids}) x group by r)"""
+
+
+def _moved(assigned: str, centroids: str) -> str:
+    """SQL: the centroids after the assignment; floor of a quotient by way of the remainder."""
+    return f"""(select k.c, case when count(a.i) = 0 then any_value(k.m) else list((s - ((s % n) + n) % n) // n order by i) end as m from {centroids} k left join
+          (select c, i, sum(x)::bigint as s, count(*)::bigint as n from (select c, unnest(g) as x, unnest(range(len(g))) as i from {assigned}) y group by c, i) a on a.c = k.c group by k.c)"""
+
+
+_ENCODED = lambda x: f"coalesce(octet_length(encode(({x})::varchar)) || ':' || ({x})::varchar, '-')"
+_LEAF = lambda text: "sha256(" + " || ".join(map(_ENCODED, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: crc32 bit by bit: a register and the bytes of the decimal doc_id, eight steps for each.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+            lambda r, b: list_reduce(list_concat([xor(r, b)], [1, 1, 1, 1, 1, 1, 1, 1]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_toxicity": op2_toxicity,
@@ -75,6 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_sharding": op10_sharding,
+    "op12_ball_kmeans": op12_ball_kmeans,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -140,4 +169,40 @@ ORACLES: dict[str, str] = {
           sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
           sum(frame + length(code))::bigint as formatted_chars
         from coded group by conv_id""",
+    "op12_ball_kmeans": f"""
+        with v as (
+          select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as g from embeddings
+          where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), c0 as (select row_number() over (order by sha256('1:' || vec_id) nulls last, g) - 1 as c, g as m from v qualify c < 16),
+        a0 as {_assigned("v", "c0")}, c1 as {_moved("a0", "c0")}, a1 as {_assigned("v", "c1")}, c2 as {_moved("a1", "c1")}, a2 as {_assigned("v", "c2")}, c3 as {_moved("a2", "c2")}, a3 as {_assigned("v", "c3")}
+        select vec_id, a3.c as cluster, d as distance, sum(d) over (partition by a3.c)::bigint as cluster_inertia, sum(d) over ()::bigint as inertia, sha256(array_to_string(m, ',')) as centroid_sha256
+        from a3 join c3 on a3.c = c3.c""",
+    "op13_merkle_manifest": f"""
+        with recursive e as (
+          select doc_id, lang, {_LEAF("text")} as leaf, case when {_CRC} % 3 = 0 then {_LEAF(_LOWERED)} end as tampered from documents
+        ), l as (
+          select *, row_number() over (order by lang nulls first, doc_id nulls first, leaf) as row, dense_rank() over (order by lang nulls first) - 1 as g,
+            row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n from e
+        ), t as (
+          select 0 as k, g, i, n, leaf as d from l
+          union all select k + 1, g, i // 8, (n + 7) // 8, sha256(string_agg(d, '' order by i)) from t where n > 1 group by k, g, i // 8, n
+        ), s as (select g as i, d from t where n = 1),
+        u as (
+          select 0 as k, i, (select count(*) from s) as n, d from s
+          union all select k + 1, i // 8, (n + 7) // 8, sha256(string_agg(d, '' order by i)) from u where n > 1 group by k, i // 8, n
+        ), p as (
+          select 0 as up, k, g, i, coalesce(string_agg(d, '' order by i) over (partition by k, g, i // 8 order by i rows between unbounded preceding and 1 preceding), '') as a,
+            coalesce(string_agg(d, '' order by i) over (partition by k, g, i // 8 order by i rows between 1 following and unbounded following), '') as b from t where n > 1
+          union all
+          select 1, k, 0, i, coalesce(string_agg(d, '' order by i) over (partition by k, i // 8 order by i rows between unbounded preceding and 1 preceding), ''),
+            coalesce(string_agg(d, '' order by i) over (partition by k, i // 8 order by i rows between 1 following and unbounded following), '') from u where n > 1
+        ), way as (
+          select l.row, up, p.k, a, b, row_number() over (partition by l.row order by up, p.k) as step from l join p on (up = 0 and p.g = l.g and p.i = l.i // power(8, p.k)::bigint) or (up = 1 and p.i = l.g // power(8, p.k)::bigint)
+        ), f as (
+          select row, 1 as step, coalesce(tampered, leaf) as d from l
+          union all select f.row, f.step + 1, sha256(w.a || f.d || w.b) from f join way w on w.row = f.row and w.step = f.step
+        ), last as (select row, arg_max(d, step) as folded from f group by row), proof as (select row, string_agg(a || b, '' order by step) as x from way group by row),
+        r as (select d from u where n = 1)
+        select doc_id, leaf, s.d as subroot, r.d as root, sha256(coalesce(x, '')) as proof_sha256, folded as folded_root, folded = r.d as verified
+        from l join s on s.i = l.g join last on last.row = l.row left join proof on proof.row = l.row, r""",
 }
