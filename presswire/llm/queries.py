@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswire.llm import balls, chat, jaccard, licences, manifest, mixing, neighbours, packing, sharding, suffixes, topk, toxicity
+from presswire.llm import balls, chat, jaccard, licences, manifest, mixing, neighbours, packing, pii, sharding, suffixes, topk, toxicity
 from presswire.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balls.cluster(balls.to_grid(table(spark, sf_dir, "embeddings"))).drop("compared")
 
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_sharding": op10_sharding,
+    "op11_pii": op11_pii,
     "op12_ball_kmeans": op12_ball_kmeans,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
