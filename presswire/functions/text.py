@@ -107,8 +107,9 @@ def entity(found: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """HTML's entities decoded in one pass, so nothing is decoded twice: numbers, and names with their semicolon or, where HTML allows it, without."""
-    between, found = F.split(text, ENTITY, -1), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
-    decoded = F.transform(between, lambda part, i: F.concat(part, F.coalesce(entity(F.get(found, i)), F.lit(""))))
+    # Zipped, so that a lambda sees a part and its entity as values; a column inside it would be computed again for each entity.
+    parts = F.arrays_zip(F.split(text, ENTITY, -1).alias("between"), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)).alias("found"))
+    decoded = F.transform(parts, lambda p: F.concat(p["between"], F.when(p["found"].isNotNull(), entity(p["found"])).otherwise("")))
     return F.when(text.contains("&"), F.array_join(decoded, "")).otherwise(text)
 
 
