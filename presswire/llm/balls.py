@@ -33,7 +33,7 @@ def seeds(grid: DataFrame, k: int) -> np.ndarray:
     """k vectors (all, if fewer) of the smallest sha256 of 1:<vec_id>, in that order; equal ids by their components, null ids last."""
     own = F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")), 256)
     got = [r["v"] for r in grid.orderBy(own.asc_nulls_last(), "v").limit(k).collect()]
-    return np.array(got, dtype=np.int64).reshape(len(got), -1)
+    return np.array(got, dtype=np.int64).reshape(len(got), len(got[0]) if got else 0)
 
 
 def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
