@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from presswire import dims
 from presswire.functions import text, urls
-from presswire.operators import joins, ordered
+from presswire.operators import joins, keyword_join, ordered, store
 from presswire.plans import discovery
 from presswire.sources import feeds as feed_source
 
@@ -103,6 +103,19 @@ def keyword_search_items(spark, sf_dir):
     return rows.where(joins.contains_any(F.lower(F.concat_ws(" ", "title", "summary")), keys)).select("feed_pos", "item_pos", "url")
 
 
+def keyword_table(spark, sf_dir):
+    """Topics of a table: the last word of every page's title, of odd pages its first four letters."""
+    last = F.regexp_extract(text.html_title(F.col("html")), r"([^ ]+)$", 1)
+    return pages(spark, sf_dir).select(F.when(F.col("page_id") % 2 == 0, last).otherwise(F.substring(last, 1, 4)).alias("topic")).where("topic <> ''")
+
+
+def keyword_table_items(spark, sf_dir):
+    """Items with the topics that their title or summary holds: how many, and the first."""
+    rows = store.cut(items(spark, sf_dir).select("feed_pos", "item_pos", F.concat_ws(" ", "title", "summary").alias("words")))  # pages are parsed once
+    hits = keyword_join.contained_keywords(rows, "words", keyword_table(spark, sf_dir), "topic")
+    return hits.groupBy("feed_pos", "item_pos").agg(F.count(F.lit(1)).alias("n_topics"), F.min("topic").alias("first_topic"))
+
+
 def freshness_filter(spark, sf_dir):
     return items(spark, sf_dir).where(ordered.fresh(F.col("published"), F.lit(NOW).cast("timestamp_ntz"), 24)).select("feed_pos", "item_pos")
 
@@ -257,6 +270,8 @@ QUERIES = {
     "blocked_pages": (blocked_pages, f"select i, {' or '.join(f'''contains(lower(title || chr(10) || body || chr(10) || html), '{s}')''' for s in text.BLOCKED)} as blocked from {dims.values_sql(BLOCKED_PAGES, 'i, title, body, html')}"),
     "blocked_in_table": (blocked_in_table, f"select {' or '.join(f'''contains(lower(html), '{s}')''' for s in text.BLOCKED)} as blocked, count(*) as n from pages group by 1"),
     "keyword_search_items": (keyword_search_items, f"""select feed_pos, item_pos, url from {ITEMS} i where {' or '.join(f"contains(lower(title || ' ' || summary), '{t}')" for t in TOPICS)}"""),
+    "keyword_table_items": (keyword_table_items, f"""with k as (select distinct lower(case when page_id % 2 = 0 then w else left(w, 4) end) as topic from (select page_id, regexp_extract({TITLE}, '([^ ]+)$', 1) as w from pages) x where w <> '')
+        select feed_pos, item_pos, count(*) as n_topics, min(topic) as first_topic from (select *, lower(title || ' ' || summary) as words from {ITEMS} i) t join k on contains(words, topic) group by 1, 2"""),
     "freshness_filter": (freshness_filter, f"select feed_pos, item_pos from {ITEMS} i where published is null or published > timestamp '{NOW}' - interval 24 hour"),
     "capped_then_filtered": (capped_then_filtered, f"select feed_pos, item_pos from (select *, row_number() over (partition by feed_pos order by item_pos) as rn from {ITEMS} i) where rn <= 5 and (published is null or published > timestamp '{NOW}' - interval 24 hour)"),
     "candidate_feeds": (candidate_feeds, f"""with d(domain) as (values ('nytimes.com'), ('cnn.com'), ('foxnews.com'), ('wsj.com'), ('thehill.com'), ('unknown.example')),

@@ -5,6 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from presswire.streaming import folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, checkpointed in the folder that driver and executors share, so that what is used several times is computed once and outlives
+    an executor. Spark's cleaner removes the files when they are no longer referenced (cleanCheckpoints)."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder(df.sparkSession))
+    return df.checkpoint()
+
 
 def patch(table: DataFrame, changes: DataFrame, key: str, clear: dict[str, str] | None = None) -> DataFrame:
     """Upsert: a change's columns that are not null replace, new keys are added; clear maps a column to the flag that nulls it (a value given wins)."""
