@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from presswire import streaming
+from presswire.streaming import state
 
 
 def stream_hourly(spark, sf_dir):
@@ -36,6 +37,21 @@ def stream_task_timing(spark, sf_dir):
     return streaming.drain(joined, "append", streaming.folder(spark)).select("user_id", "micros")
 
 
+def stream_task_state(spark, sf_dir):
+    """signup starts a task of its user, click and error end it: every end, those without a start too."""
+    kind = F.when(F.col("event_type") == "signup", "start").otherwise(F.col("event_type"))
+    events = streaming.read(spark, sf_dir, "events").where("event_type in ('signup', 'click', 'error')").select("user_id", "ts", "event_id", kind.alias("kind"))
+    out = state.to_the_end(events, "ts", lambda rows: state.folded(rows, "user_id", "ts", "event_id", "kind", state.timed(30 * 86_400_000_000), "400 days"))
+    return out.select(F.col("no").alias("event_id"), F.coalesce("result", F.lit(-1)).alias("micros"))
+
+
+def stream_paced_state(spark, sf_dir):
+    """Events as calls of their user (the provider) on a stream: when each may start, an hour apart."""
+    events = streaming.read(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.lit("call").alias("kind"))
+    out = state.to_the_end(events, "ts", lambda rows: state.folded(rows, "user_id", "ts", "event_id", "kind", state.spaced(3_600_000_000), "400 days"))
+    return out.select(F.col("no").alias("event_id"), F.round(F.col("result") / 1_000_000, 3).alias("starts"))
+
+
 def stream_sliding(spark, sf_dir):
     """Extension: windows of an hour every quarter."""
     out = streaming.drain(streaming.sliding(streaming.read(spark, sf_dir, "events")), "complete", streaming.folder(spark))
@@ -70,6 +86,11 @@ QUERIES = {
     "stream_dedupe": (stream_dedupe, "select distinct user_id, event_type from events"),
     "stream_task_timing": (stream_task_timing, """select a.user_id, epoch_us(b.ts) - epoch_us(a.ts) as micros from events a join events b on a.user_id = b.user_id and a.event_type = 'signup' and b.event_type = 'click'
         and a.ts <= b.ts and a.ts >= b.ts - interval 1 hour"""),
+    "stream_task_state": (stream_task_state, """with e as (select *, lag(event_type) over w as pt, lag(ts) over w as pts from events where event_type in ('signup', 'click', 'error') window w as (partition by user_id order by ts, event_id))
+        select event_id, case when pt = 'signup' and pts >= ts - interval 30 day then epoch_us(ts) - epoch_us(pts) else -1 end as micros from e where event_type in ('click', 'error')"""),
+    "stream_paced_state": (stream_paced_state, """with p as (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as i from events),
+        m as (select *, max(epoch_us(ts) / 1000000 - i * 3600.0::double) over (partition by user_id order by ts, event_id rows unbounded preceding) as k from p)
+        select event_id, round(k + i * 3600.0::double, 3) as starts from m"""),
     "stream_sliding": (stream_sliding, """with w as (select event_type, epoch(time_bucket(interval 15 minutes, ts))::bigint - 900 * unnest(range(4)) as start_s from events)
         select start_s, event_type, count(*) as n from w group by 1, 2"""),
     "stream_sessions": (stream_sessions, """with g as (select *, case when ts < lag(ts) over w + interval 6 hour then 0 else 1 end as new from events window w as (partition by user_id order by ts)),

@@ -31,10 +31,11 @@ def folder(spark: SparkSession) -> str:
     return (shared or "/tmp/checkpoints/presswire").rstrip("/") + "/streams"
 
 
-def drain(stream: DataFrame, mode: str, checkpoint: str, finish: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def drain(stream: DataFrame, mode: str, checkpoint: str, finish: Callable[[DataFrame], DataFrame] = lambda df: df, then: Callable[[], None] | None = None) -> DataFrame:
     """Run a stream over what is there, into tables in the checkpoint folder, and return their rows. Complete mode keeps the last batch's table.
 
-    A batch has a table of its own number and overwrites it, so one that is run again after a failure adds nothing twice.
+    A batch has a table of its own number and overwrites it, so one that is run again after a failure adds nothing twice. With `then` the
+    stream is taken up again from its checkpoint after that has been done.
     """
     path, log = f"{checkpoint}/{uuid.uuid4().hex}/table", f"{checkpoint}/{uuid.uuid4().hex}/log"
     stream.sparkSession.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")  # so that there is a table without batches too
@@ -42,8 +43,11 @@ def drain(stream: DataFrame, mode: str, checkpoint: str, finish: Callable[[DataF
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else number}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", log).trigger(availableNow=True).start()
-    query.awaitTermination()
+    for more in (then, None) if then else (None,):
+        query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", log).trigger(availableNow=True).start()
+        query.awaitTermination()
+        if more:
+            more()
     return finish(stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/batch=*"))
 
 
