@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from presswire import dims
-from presswire.operators import budget, store
+from presswire.operators import budget, scan, store
 
 # The lines that open a prompt.
 HEAD = ["You are responding through an OpenAI-compatible local bridge.", "Answer the final user request using the conversation below."]
@@ -31,6 +31,27 @@ def budget_running_check(spark, sf_dir):
     return out.select("event_id", F.col("spent_before").cast("long").alias("spent_before"), "allowed")
 
 
+def daily_budget_check(spark, sf_dir):
+    """Per day, as the tracker counts: however many events a day has, its running sum is scanned by many tasks."""
+    rows = read(spark, sf_dir, "events").select("event_id", "ts", "event_type", F.to_date("ts").alias("day"), F.floor(F.col("value") * 100).alias("cost"))
+    out = budget.affordable(rows, ["day"], ["ts", "event_id"], "cost", F.lit(LIMIT * 1000), F.col("event_type") == "purchase")
+    return out.select("event_id", F.col("spent_before").cast("long").alias("spent_before"), "allowed")
+
+
+def provider_pacing(spark, sf_dir):
+    """Calls of few providers (event types), each of which holds a large part of all rows: starts a minute apart."""
+    rows = read(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    out = scan.spaced(rows, ["event_type"], ["ts", "event_id"], F.unix_micros(F.col("ts").cast("timestamp")), 60_000_000, "starts")
+    return out.select("event_id", "starts")
+
+
+def events_since_signup(spark, sf_dir):
+    """Each event with the last signup of its type's week before it: the nearest heading above a line, over keys of any size."""
+    rows = read(spark, sf_dir, "events").select("event_id", "ts", "event_type", F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("week"))
+    out = scan.running(rows, ["week"], ["ts", "event_id"], F.when(F.col("event_type") == "signup", F.col("event_id")), "last", "signup_id")
+    return out.select("event_id", F.coalesce("signup_id", F.lit(-1)).alias("signup_id"))
+
+
 def task_times(spark, sf_dir):
     """signup starts a task of its user; click ends it, error fails it."""
     out = budget.task_times(read(spark, sf_dir, "events"), ["user_id"], "ts", "event_type", "signup", ["click", "error"])
@@ -175,6 +196,13 @@ QUERIES = {
     "budget_running_check": (budget_running_check, f"""with e as (select *, ts::date as day, floor(value * 100)::bigint as cost from events),
         s as (select *, coalesce(sum(greatest(cost, 0)) over (partition by user_id, day order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as before, case when day(day) % 2 = 1 then {LIMIT * 100} else 0 end as lim from e)
         select event_id, before::bigint as spent_before, case when lim <= 0 then event_type = 'purchase' else event_type = 'purchase' or before < lim end as allowed from s"""),
+    "daily_budget_check": (daily_budget_check, f"""with e as (select *, ts::date as day, floor(value * 100)::bigint as cost from events),
+        s as (select *, coalesce(sum(greatest(cost, 0)) over (partition by day order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as before from e)
+        select event_id, before::bigint as spent_before, event_type = 'purchase' or before < {LIMIT * 1000} as allowed from s"""),
+    "provider_pacing": (provider_pacing, """with p as (select *, row_number() over (partition by event_type order by ts, event_id) as i from events)
+        select event_id, max(epoch_us(ts) - i * 60000000) over (partition by event_type order by ts, event_id rows unbounded preceding) + i * 60000000 as starts from p"""),
+    "events_since_signup": (events_since_signup, """select event_id, coalesce(last_value(case when event_type = 'signup' then event_id end ignore nulls)
+        over (partition by date_trunc('week', ts) order by ts, event_id rows unbounded preceding), -1) as signup_id from events"""),
     "task_times": (task_times, """with e as (select *, lag(event_type) over w as pt, lag(ts) over w as pts from events where event_type in ('signup', 'click', 'error') window w as (partition by user_id order by ts, event_id))
         select event_id, event_type, case when pt = 'signup' then floor((epoch_us(ts) - epoch_us(pts)) / 1000000)::bigint else -1 end as seconds from e where event_type in ('click', 'error')"""),
     "message_prompt_flatten": (message_prompt_flatten, f"select conv_id, length(prompt)::integer as n_chars, md5(prompt) as prompt_md5 from {PROMPTS} p"),

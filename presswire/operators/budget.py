@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from presswire.operators import scan
 from presswire.operators.ordered import free_name
 
 
@@ -21,10 +22,10 @@ def daily(spend: DataFrame, ts: str, cost: str) -> DataFrame:
 def affordable(spend: DataFrame, keys: list[str], order: list[str], cost: str, limit: Column, free: Column) -> DataFrame:
     """Adds spent_before (of the keys' earlier rows) and allowed: free models always; others only with a limit above 0 not yet reached.
 
-    Keys should be finer than a day where one day holds very many rows: the running sum needs a key's rows together.
+    A key may hold any number of rows: the running sum is a scan over ranges of them.
     """
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = spend.withColumn("spent_before", F.coalesce(F.sum(counted(F.col(cost))).over(before), F.lit(0.0)))
+    out = scan.running(spend, keys, order, counted(F.col(cost)), "sum", "spent_before", own=False)
+    out = out.withColumn("spent_before", F.coalesce("spent_before", F.lit(0.0)))
     return out.withColumn("allowed", F.when(limit <= 0, free).otherwise(free | (F.col("spent_before") < limit)))
 
 

@@ -93,8 +93,8 @@ def sessions(events: DataFrame, key: str, gap: str = "30 minutes", late: str = "
 def paced(calls: DataFrame, key: str, ts: str, order: list[str], every: float) -> DataFrame:
     """When each call may start (starts, in seconds) if calls of a key start `every` seconds apart at least, none before it is asked for.
 
-    The n-th call starts at the latest of asked[i] + (n - i) * every over the calls i up to n: a running maximum of asked - i * every. A key
-    should be finer than a provider where one has very many calls, as by day.
+    The n-th call starts at the latest of asked[i] + (n - i) * every over the calls i up to n: a running maximum of asked - i * every. For keys
+    that hold very many calls there is operators.scan.spaced, for streams state.spaced.
     """
     own, place = Window.partitionBy(key).orderBy(ts, *order), free_name(calls, "_place")
     asked = F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000
