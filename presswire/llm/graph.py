@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from presswire.llm.common import materialize
 
 
-def components(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """id, component (the smallest id reachable) of the ends of edges (a, b: long). Ids without edges are not returned.
 
     Alternates large-star and small-star: each node's larger neighbours, then its smaller ones, are linked to the smallest
     neighbour. Edges stay at most as many as at the start. The minima are partial aggregates, written before they are joined: a
-    join of two shuffled sides is one whose hot keys (hubs) adaptive execution splits.
+    join of two shuffled sides is one whose hot keys (hubs) adaptive execution splits. Rounds grow with the logarithm of the longest
+    path; components that are not whole after max_rounds raise RuntimeError and are never returned.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs, before = materialize(pairs), None
@@ -28,6 +29,8 @@ def components(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components are not whole after {max_rounds} rounds")
     stars = pairs.groupBy("u").agg(F.min("v").alias("component"))
     return stars.select(F.col("u").alias("id"), "component").unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
 

@@ -251,12 +251,12 @@ def pair_number(doc: np.ndarray, short: np.ndarray) -> np.ndarray:
 
 
 def by_bucket(key: np.ndarray, n: int, *order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows by bucket (key mod n), ordered inside it. The loop is over buckets that occur, never over all n, which grows with the input."""
     to = (key % np.uint64(n)).astype(np.int64)
     rows = np.lexsort((*order[::-1], to))
-    cut = np.searchsorted(to[rows], np.arange(n + 1))
-    for b in range(n):
-        if cut[b + 1] > cut[b]:
-            yield b, rows[cut[b] : cut[b + 1]]
+    at, begins = np.unique(to[rows], return_index=True)
+    for b, i, j in zip(at.tolist(), begins, np.append(begins[1:], len(rows))[: len(at)], strict=True):
+        yield b, rows[i:j]
 
 
 def key_rows(ids: np.ndarray, texts: list[bytes], grain: Grain, n: int) -> Iterator[pd.DataFrame]:
