@@ -316,7 +316,7 @@ def join_rows(
         found = materialize(verify(rows.select("row", "text").join(plan.hint("shuffle_hash"), "row"), threshold, width))
         sample = few(found.where("other <> -1").select(F.col("id").alias("a"), F.col("other").alias("b")), 100_000, "a", "b")
         links, x, y, both = captured(materialize(sample), halves)
-        missed = (1 - both / y) * (1 - both / x) if x and y else float(x + y > 0)
+        missed = (1 - both / y) * (1 - both / x) if x and y else float(links > 0)
         log.info("links %d, of even runs %d, of odd runs %d, of both %d: estimated recall %.4f", links, x, y, both, 1 - missed)
         if missed <= 1 - target:
             break
