@@ -46,6 +46,14 @@ TEMPLATES = {
     "CC0-1.0": ["cc0 1.0 universal", "dedicated to the public domain", "public domain dedication", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"],
     "Unlicense": ["this is free and unencumbered software released into the public domain", "anyone is free to copy modify publish use compile sell or distribute this software", "spdx-license-identifier unlicense"],
     "ISC": ["isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "spdx-license-identifier isc"],
+    "Zlib": [
+        "this software is provided as-is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+        "the origin of this software must not be misrepresented you must not claim that you wrote the original software", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
+        "zlib license", "spdx-license-identifier zlib",
+    ],
+    "Artistic-2.0": ["artistic license 2.0", "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed", "spdx-license-identifier artistic-2.0"],
+    "BSL-1.0": ["boost software license version 1.0", "distributed under the boost software license version 1.0", "spdx-license-identifier bsl-1.0"],
+    "WTFPL": ["do what the fuck you want to public license", "you just do what the fuck you want to", "spdx-license-identifier wtfpl"],
     "proprietary": ["all rights reserved", "no part of this publication may be reproduced without prior written permission"],
 }
 FAMILIES = [*TEMPLATES, "unknown"]
@@ -53,9 +61,10 @@ PAIRS = [(k, list(dict.fromkeys(zip(t.split(), t.split()[1:], strict=False)))) f
 HOLDERS = {p: [i for i, (_, pairs) in enumerate(PAIRS) if p in pairs] for _, ps in PAIRS for p in ps}  # templates of each pair of words
 CONFIRM = 0.75  # share of a template's pairs of words that confirms a family
 SHORT = {i for i, (_, pairs) in enumerate(PAIRS) if len(pairs) == 1}  # templates of two words, which no text around them need mean
-TITLE = 12  # words of a unit that is a title or a notice by itself
-#: Words that lead in or go with a notice.
-LEADS = {"licensed", "released", "distributed", "governed", "available", "terms", "copyright", "under", "spdx-license-identifier"}
+TITLE = 12  # words of a unit that can be a title or a notice by itself
+NEAR = 4  # words between a lead-in and the template that it leads in
+#: Words that lead in a notice.
+LEADS = {"licensed", "released", "distributed", "governed", "copyright", "license", "licence", "spdx-license-identifier"}
 UNKNOWN = len(TEMPLATES)
 UNIT, SHIFT = 48, 16  # words of a unit; long paragraphs are cut three times, so that any 33 words (a template has 29 at most) stand whole in a unit
 LEADERS = {"dnl", "rem"}  # words that open comment lines; leaders of punctuation alone have no letters and so are no words
@@ -91,23 +100,34 @@ class Classifier:
 def shares(words: list[str]) -> dict[int, float]:
     """For each family with any, the largest share of a template's pairs of neighbouring words that a unit holds.
 
-    A template of two words counts only in a unit of up to TITLE words, one that has a lead-in word, or one that confirms a longer
-    template of any family: two words alone name much else.
+    A template of two words names much else. It counts only where it ends a unit of up to TITLE words, where a lead-in word stands up to
+    NEAR words before it or right behind it, or in a unit that confirms a longer template of any family.
     """
     count: dict[int, int] = {}
     for p in set(zip(words, words[1:], strict=False)):
         for i in HOLDERS.get(p, ()):
             count[i] = count.get(i, 0) + 1
     longer = any(n >= CONFIRM * len(PAIRS[i][1]) for i, n in count.items() if i not in SHORT)
-    notice = longer or sum(map(bool, words)) <= TITLE or not LEADS.isdisjoint(words)
     out: dict[int, float] = {}
     for i, n in count.items():
-        if notice or i not in SHORT:
+        if i not in SHORT or longer or led_in(words, PAIRS[i][1][0]):
             k, pairs = PAIRS[i]
             out[k] = max(out.get(k, 0.0), n / len(pairs))
     return out
 
 
+def led_in(words: list[str], pair: tuple[str, str]) -> bool:
+    """Whether a pair of words stands in a unit as a title or next to a lead-in word."""
+    plain = [w for w in words if w]
+    for j in range(len(plain) - 1):
+        if (plain[j], plain[j + 1]) == pair:
+            if len(plain) <= TITLE and j + 2 == len(plain):
+                return True
+            if not LEADS.isdisjoint(plain[max(0, j - NEAR) : j] + plain[j + 2 : j + 3]):
+                return True
+    return False
+
+
 def template_share(words: list[str], family: str) -> float:
     return shares(words).get(FAMILIES.index(family), 0.0)
 

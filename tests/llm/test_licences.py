@@ -135,6 +135,14 @@ HELD_OUT = [
     ("Software patents and the general public: a license to print money, some free software people say, without restriction or warranty.", []),
     ("The foundation published a lesser known general history of the public domain, which scholars may copy and distribute.", []),
     ("You may not use this entrance except in an emergency; compliance with the rules is required by law.", []),
+    ("This software is provided 'as-is', without any express or implied\nwarranty.  In no event will the authors be held liable for any damages\narising from the use of this software.\n\n1. The origin of this software must not be misrepresented; you must not\n   claim that you wrote the original software.", ["Zlib"]),
+    ("/* Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt) */", ["BSL-1.0"]),
+    ("This License establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed.", ["Artistic-2.0"]),
+    ("            DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\n   TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION\n\n  0. You just DO WHAT THE FUCK YOU WANT TO.", ["WTFPL"]),
+    ("We walked under the old bridge, and there the mit license plate rule was debated by all who were available, for as long as the terms of the evening let us sit.", []),
+    ("The committee met under pressure. His isc license for sailing had expired, and a new one was not available before the summer under the terms of the club.", []),
+    ("The mit license plate was blue.", []),
+    ("Authors will not be held liable, the fair says, for damages that arise from the use of its tents.", []),
     ("The eclipse was seen by the public in many towns, and no license was needed to watch it.", []),
 ]
 
