@@ -179,8 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, max_features
     """Learn from at most fit_rows labelled documents that are not held out (those of least hash of doc_id).
 
     The tables label documents, not tokens, so token labels start from contrast: a feature (word, or beginning of words) that three or
-    more toxic documents hold, far more of them than clean ones relative to their numbers, makes its tokens in toxic documents toxic;
-    every other token is clean. The CRF is trained on stretches of width tokens of these documents, then relabels them: tokens that
+    more toxic documents hold, and with far more different words than clean ones relative to their numbers, makes its tokens in toxic
+    documents toxic; every other token is clean. (Words are counted since rare languages' toxic words share a beginning with clean ones: what
+    tells is how many of them a text has.) The CRF is trained on stretches of width tokens of these documents, then relabels them: tokens that
     it finds likely in their context become toxic in toxic documents, others clean (relabel()), and is trained again, `rounds` times in all.
     The logistic layer is trained on the documents' marginals. Text is the only input.
 
@@ -203,12 +204,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, max_features
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for toxic, texts in batch.groupby(batch["toxic"] > 0)["text"]:
-                seen = Counter(f for t in texts for f in {f for w in set(t.lower().split()) for f in token_features(w)})
-                yield pd.DataFrame({"feature": list(seen), "toxic": int(toxic), "n": list(seen.values())})
-
-    counts = rows.mapInPandas(count, "feature string, toxic int, n long")
-    counts = counts.groupBy("feature").agg(F.sum(F.col("n") * F.col("toxic")).alias("n1"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("n0"))
-    ratio = ((F.col("n1") + 0.5) / (n1 + 1)) / ((F.col("n0") + 0.5) / (n0 + 1))
+                held, seen = Counter(), Counter()
+                for t in texts:
+                    own = Counter(f for fs in set(map(token_features, t.lower().split())) for f in fs)
+                    held.update(own.keys())
+                    seen.update(own)
+                yield pd.DataFrame({"feature": list(held), "toxic": int(toxic), "n": list(held.values()), "words": [seen[f] for f in held]})
+
+    counts = rows.mapInPandas(count, "feature string, toxic int, n long, words long")
+    counts = counts.groupBy("feature").agg(F.sum(F.col("n") * F.col("toxic")).alias("n1"), F.sum(F.col("words") * F.col("toxic")).alias("w1"), F.sum(F.col("words") * (1 - F.col("toxic"))).alias("w0"))
+    ratio = ((F.col("w1") + 0.5) / (n1 + 1)) / ((F.col("w0") + 0.5) / (n0 + 1))
     strong = counts.where("n1 >= 3").withColumn("ratio", ratio).where("ratio >= 8").orderBy(F.desc(F.log("ratio") * F.sqrt("n1")), "feature").limit(max_features)
     ids = {r["feature"]: i for i, r in enumerate(strong.collect())}
     if not ids:
