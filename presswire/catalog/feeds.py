@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from presswire import dims
 from presswire.functions import text, urls
 from presswire.operators import joins, keyword_join, ordered, store
+from presswire.operators import seeds as seed_operator
 from presswire.plans import discovery
 from presswire.sources import feeds as feed_source
 
@@ -155,6 +156,22 @@ def seed_slug_match(spark, sf_dir):
     return out.select("seed_id", "feed_pos", "item_pos", F.round("match_confidence", 6).alias("match_confidence"))
 
 
+def seed_recovery(spark, sf_dir):
+    """Pages are items of their host's feed, newest first, and seeds: by their own address with a query, by a headline's slug at their host without
+    the www, or by that slug at a host without a feed."""
+    title = F.coalesce(text.html_title(F.col("html")), F.lit(""))
+    parsed = store.cut(pages(spark, sf_dir).select("page_id", "url", F.regexp_extract("url", r"//([^/]+)", 1).alias("host"), title.alias("title"), F.substring(text.html_text(F.col("html")), 1, 500).alias("summary")))
+    feeds = parsed.select("host").distinct().select((F.row_number().over(Window.orderBy("host")) - 1).alias("feed_pos"), "host", F.concat(F.lit("News of "), "host").alias("name"), F.concat(F.lit("https://"), "host", F.lit("/feed.xml")).alias("url"))
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("page_id"))) - 1
+    items = parsed.withColumn("item_pos", place).join(feeds.select("feed_pos", "host"), "host").select("feed_pos", "item_pos", "title", "url", "summary")
+    slug, form = F.concat(F.lit("/news/"), F.regexp_replace(F.lower("title"), "[^a-z0-9]+", "-")), F.pmod("page_id", F.lit(8))
+    here = F.concat(F.lit("https://"), F.regexp_replace("host", r"^(www|m|blog)\.", ""), slug)
+    url = F.when(form < 4, F.concat("url", F.lit("/?utm=1"))).when(form < 7, here).otherwise(F.concat(F.lit("https://elsewhere.invalid"), slug))
+    seeds = parsed.select(F.col("page_id").alias("seed_id"), url.alias("url"), F.when(form == 3, F.col("title")).alias("title_hint"))
+    out = seed_operator.recover(seeds, feeds, items)
+    return out.select("seed_id", "feed_pos", "item_pos", "match_type", F.round("match_confidence", 6).alias("match_confidence"))
+
+
 _TOKENS = lambda x: f"list_filter(list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]{{3,}}')), lambda t: not list_contains({dims.literal(text.TOKEN_STOP)}, t))"
 
 
@@ -285,6 +302,17 @@ QUERIES = {
     "seed_slug_match": (seed_slug_match, f"""with i as (select *, {_TOKENS("title || ' ' || summary || ' ' || url")} as t from {ITEMS} x), s as (select page_id as seed_id, {_TOKENS(_PATH("url || '/?utm=1'"))} as u, {_TOKENS(f"coalesce(nullif({TITLE}, ''), '')")} as h from pages),
         c as (select seed_id, feed_pos, item_pos, greatest(len(list_intersect(u, t))::double / greatest(len(u), 1), 0.9::double * (len(list_intersect(h, t))::double / greatest(len(h), 1))) as sc from s join i on list_has_any(h, t) or list_has_any(u, t)),
         r as (select *, row_number() over (partition by seed_id order by sc desc, feed_pos, item_pos) as rn from c) select seed_id, feed_pos, item_pos, round(sc, 6) as match_confidence from r where rn = 1 and sc >= 0.45::double"""),
+    "seed_recovery": (seed_recovery, f"""with p as (select *, regexp_extract(url, '//([^/]+)', 1) as host, coalesce(nullif({TITLE}, ''), '') as title, left({BODY}, 500) as summary from pages),
+        f as (select host, row_number() over (order by host) - 1 as feed_pos, lower({_DOMAIN("'https://' || host || '/feed.xml'")}) as fhost from (select distinct host from p)),
+        i as (select feed_pos, item_pos, {_NORM('url')} as item_key, {_TOKENS("title || ' ' || summary || ' ' || url")} as t from (select f.feed_pos, p.*, row_number() over (partition by p.host order by page_id desc) - 1 as item_pos from p join f using (host)) x where item_pos < 80),
+        u as (select page_id as seed_id, title, page_id % 8 as form, case when page_id % 8 < 4 then url || '/?utm=1' when page_id % 8 < 7 then 'https://' || regexp_replace(host, '^(www|m|blog)\\.', '') || '/news/' || regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g')
+          else 'https://elsewhere.invalid/news/' || regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g') end as url from p),
+        s as (select seed_id, {_NORM('url')} as key, lower({_DOMAIN('url')}) as domain, {_TOKENS(_PATH('url'))} as u, {_TOKENS("case when form = 3 then title else '' end")} as h from u),
+        d as (select domain, feed_pos, contains(fhost, domain) or contains(domain, fhost) as hit from (select distinct domain from s) cross join f),
+        c as (select domain, feed_pos from d where hit or domain not in (select domain from d where hit)),
+        m as (select seed_id, feed_pos, item_pos, case when key = item_key then 2 else greatest(len(list_intersect(u, t))::double / greatest(len(u), 1), 0.9::double * (len(list_intersect(h, t))::double / greatest(len(h), 1))) end as sc from s join c using (domain) join i using (feed_pos)),
+        r as (select *, row_number() over (partition by seed_id order by sc desc, feed_pos, item_pos) as rn from m where sc >= 0.45::double)
+        select seed_id, feed_pos::integer as feed_pos, item_pos::integer as item_pos, case when sc > 1.5 then 'exact_url' else 'slug_title' end as match_type, round(least(sc, 1), 6)::double as match_confidence from r where rn = 1"""),
     "extraction_first_success": (extraction_first_success, """with a as (select page_id, m as method_rank, (page_id * 37 + m * 61) % 180 as text_length from pages cross join range(4) r(m)),
         b as (select *, row_number() over (partition by page_id order by case when text_length > 100 then method_rank end nulls last, method_rank desc) as rn from a)
         select page_id, method_rank::integer as method_rank, text_length from b where rn = 1"""),

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from presswire import dims
 from presswire.functions import rating, text, urls
-from presswire.operators.ordered import best, free_name
+from presswire.operators.ordered import free_name
+from presswire.operators.store import cut
 
 
 def rate_domains(df: DataFrame, domain: str) -> DataFrame:
@@ -61,12 +62,15 @@ def similar_seed(seeds: DataFrame, items: DataFrame, least: float = 0.45, title_
 
     An item must hold a share of `least` of a seed's n slug tokens, so it holds one of any n - ceil(least * n) + 1 of them; likewise of the
     title's, at least / title_weight. The join is on that many of each seed's rarest tokens alone: tokens that stand in very many
-    items, such as the parts that all URLs have, pair nothing. Pairs that it finds are scored on all tokens.
+    items, such as the parts that all URLs have, pair nothing. Pairs that it finds are scored on all tokens. Both sides are checkpointed: they are
+    read several times, and what they are made of may be dear.
     """
     left = seeds.select("seed_id", text.tokens(urls.path(F.col("url"))).alias("slug"), text.tokens(F.coalesce("title_hint", F.lit(""))).alias("hint"))
+    left = cut(left)
     right = items.select("feed_pos", "item_pos", "title", text.tokens(F.concat_ws(" ", "title", "summary", "url")).alias("tokens"))
+    right = cut(right)
     postings = right.select("feed_pos", "item_pos", F.explode("tokens").alias("token"))
-    often = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n_items"))
+    often = cut(postings.groupBy("token").agg(F.count(F.lit(1)).alias("n_items")))
 
     def rare(side: str, share: float) -> DataFrame:
         """The tokens of a side that pair: of a token in no item the pair is empty, but it counts among the rarest."""
@@ -78,8 +82,9 @@ def similar_seed(seeds: DataFrame, items: DataFrame, least: float = 0.45, title_
     both = pairs.join(left, "seed_id").join(right, ["feed_pos", "item_pos"])
     share = lambda side: F.size(F.array_intersect(side, "tokens")) / F.greatest(F.size(side), F.lit(1))
     scored = both.select("seed_id", "feed_pos", "item_pos", "title", F.greatest(share("slug"), title_weight * share("hint")).alias("match_confidence"))
-    top = best(scored.where(F.col("match_confidence") >= least), ["seed_id"], "match_confidence", ["feed_pos", "item_pos"])
-    return top.select("seed_id", "feed_pos", "item_pos", "title", F.lit("slug_title").alias("match_type"), "match_confidence")
+    own = F.struct("feed_pos", "item_pos", "title", "match_confidence")
+    top = scored.where(F.col("match_confidence") >= least).groupBy("seed_id").agg(F.min_by(own, F.struct(-F.col("match_confidence"), "feed_pos", "item_pos")).alias("b"))
+    return top.select("seed_id", "b.feed_pos", "b.item_pos", "b.title", F.lit("slug_title").alias("match_type"), "b.match_confidence")
 
 
 def contains_any(words: Column, keys: Column) -> Column:
