@@ -67,14 +67,24 @@ def top_keywords(spark, sf_dir):
 
 
 _VALID = f"(length(lower(word)) >= 3 and lower(word) not in ({', '.join(repr(w) for w in keywords.STOP)}) and not regexp_full_match(word, '\\p{{N}}+'))"
-TERMS = f"""with s as (select pos, list_filter(list_transform(regexp_split_to_array(text, '[.!?\\n]+'), lambda x: regexp_extract_all(x, '[\\p{{L}}\\p{{N}}]+')), lambda w: len(w) > 0) as ss from {ARTICLES} a where length(text) >= 20),
+SCORED = f"""s as (select pos, list_filter(list_transform(regexp_split_to_array(text, '[.!?\\n]+'), lambda x: regexp_extract_all(x, '[\\p{{L}}\\p{{N}}]+')), lambda w: len(w) > 0) as ss from {ARTICLES} a where length(text) >= 20),
   q as (select pos, unnest(ss) as ws, unnest(range(len(ss))) as sent from s), w as (select pos, sent, unnest(ws) as word, unnest(range(len(ws))) as i from q),
   n as (select *, lower(word) as term, {_VALID} as valid, lag(lower(word)) over v as l, lead(lower(word)) over v as r, upper(word) = word and length(word) > 1 and not regexp_full_match(word, '\\p{{N}}+') as up from w window v as (partition by pos, sent order by i)),
   t as (select pos, term, count(*) as tf, count(*) filter (up) as nu, count(*) filter (not up and i > 0 and regexp_matches(word, '^\\p{{Lu}}')) as nc, count(distinct sent) as ns, median(sent) as middle,
     count(l) as nl, count(distinct l) as dl, count(r) as nr, count(distinct r) as dr, bool_or(valid) as valid from n group by pos, term),
   e as (select pos, avg(tf) filter (valid) as mean, stddev_pop(tf) filter (valid) as spread, max(tf) as most from t group by pos), c as (select pos, max(sent) + 1 as sentences from n group by pos),
-  f as (select t.*, mean, spread, sentences, 1 + (case when nl > 0 then dl / nl else 0 end + case when nr > 0 then dr / nr else 0 end) * tf / most as related from t join e using (pos) join c using (pos) where valid)
-  select pos, term, tf, round(ln(ln(3 + middle)) * related / (greatest(nu, nc) / (1 + ln(tf)) + tf / (mean + spread) / related + ns / sentences / related), 6) as score from f"""
+  f as (select t.*, mean, spread, sentences, 1 + (case when nl > 0 then dl / nl else 0 end + case when nr > 0 then dr / nr else 0 end) * tf / most as related from t join e using (pos) join c using (pos) where valid),
+  g as (select pos, term, tf, ln(ln(3 + middle)) * related / (greatest(nu, nc) / (1 + ln(tf)) + tf / (mean + spread) / related + ns / sentences / related) as score from f)"""
+TERMS = f"with {SCORED} select pos, term, tf, round(score, 6) as score from g"
+#: Greedy: a fold over a text's keywords in order that keeps up to twenty, none a near copy of one kept before.
+KEYWORDS = f"""with {SCORED},
+  p as (select pos, term as a, r as b, count(*) as n from n where valid and {_VALID.replace('lower(word)', 'r').replace('(word,', '(r,')} group by 1, 2, 3),
+  k as (select pos, term as keyword, score / (tf * (1 + score)) as score from g union all
+    select p.pos, a || ' ' || b, x.score * y.score / (n * (1 + x.score + y.score)) from p join g x on x.pos = p.pos and x.term = a join g y on y.pos = p.pos and y.term = b),
+  l as (select pos, list([keyword] order by round(score, 12), keyword) as ks, map_from_entries(list((keyword, score))) as scores from k group by pos),
+  v as (select pos, scores, list_reduce(list_prepend(['']::varchar[], ks), lambda acc, x: case when len(acc) > 20 or len(list_filter(acc[2:], lambda o: 1 - levenshtein(o, x[1]) / greatest(length(o), length(x[1])) > 0.9)) > 0 then acc else list_append(acc, x[1]) end)[2:11] as top from l),
+  o as (select pos, scores, unnest(range(1, len(top) + 1))::integer as rank, unnest(top) as keyword from v)
+  select pos, rank, keyword, round(1 - least(scores[keyword], 1), 6)::double as relevance from o"""
 
 QUERIES = {
     "stored_stories": (stored_stories, f"select sha256(outlet || ' ' || pos || chr(10) || left(text, 50)) as id, outlet || ' ' || pos as title, 'pending' as status, 2::bigint as n, 2 as n_keywords from {ARTICLES} a"),
@@ -83,5 +93,5 @@ QUERIES = {
     "stored_analyses": (stored_analyses, f"""select story_id::varchar as story_id, count(distinct outlet)::integer as n_agreed, '[]' as left_only_facts, '["a \\"b\\"","c"]' as right_only_facts, length(min(text))::integer as summary_chars, md5(min(text)) as summary_md5 from {ARTICLES} a group by story_id"""),
     "report_lines": (report_lines, f"select story_id::bigint as story_id, count(distinct outlet) + 2 as n_lines, (length('# Story ' || story_id) + sum(distinct_chars))::bigint as n_chars from (select story_id, outlet, length(outlet) as distinct_chars from {ARTICLES} a group by 1, 2) group by story_id"),
     "term_scores": (term_scores, TERMS),
-    "top_keywords": (top_keywords, None),
+    "top_keywords": (top_keywords, KEYWORDS),
 }

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from presswire.operators.store import cut
 
 # Words that begin or end no keyword; terms of fewer than three letters count among them.
 STOP = [
@@ -15,26 +16,36 @@ SENTENCES, WORDS = r"[.!?\n]+", r"[\p{L}\p{N}]+"
 
 
 def words(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, sent_no, word_no (in the sentence), word, term (lower case), valid (may begin or end a keyword) of texts of 20 characters or more."""
+    """key, sent_no, word_no (in the sentence), word, term (lower case), valid (may begin or end a keyword), left and right (the terms next to it in
+    the sentence) of texts of 20 characters or more. A text's own arrays hold its words and their neighbours, so nothing is shuffled."""
     long = docs.select(F.col(key), F.col(text).alias("t")).where(F.length("t") >= 20)
     sentences = F.filter(F.transform(F.split("t", SENTENCES), lambda s: F.regexp_extract_all(s, F.lit(WORDS), F.lit(0))), lambda w: F.size(w) > 0)
-    out = long.select(key, F.posexplode(sentences).alias("sent_no", "ws")).select(key, "sent_no", F.posexplode("ws").alias("word_no", "word"))
-    term = F.lower("word")
-    return out.withColumns({"term": term, "valid": (F.length(term) >= 3) & ~term.isin(STOP) & ~term.rlike(r"^\p{N}+$")})
+    rows = long.select(key, F.posexplode(sentences).alias("sent_no", "ws")).withColumn("terms", F.transform("ws", F.lower)).withColumn("last", F.size("ws") - 1)
+    edge = F.array(F.lit(None).cast("string"))
+    beside = F.arrays_zip(F.col("ws").alias("word"), F.col("terms").alias("term"), F.concat(edge, F.slice("terms", 1, F.col("last"))).alias("left"), F.concat(F.slice("terms", 2, F.col("last")), edge).alias("right"))
+    out = rows.select(key, "sent_no", F.posexplode(beside).alias("word_no", "w")).select(key, "sent_no", "word_no", "w.*")
+    return out.withColumn("valid", usable(F.col("term")))
+
+
+def usable(term: Column) -> Column:
+    return (F.length(term) >= 3) & ~term.isin(STOP) & ~term.rlike(r"^\p{N}+$")
 
 
 def term_scores(tokens: DataFrame, key: str) -> DataFrame:
-    """key, term, tf, score of the valid terms of words(): the lower, the more a term says about its text."""
-    place = Window.partitionBy(key, "sent_no").orderBy("word_no")
-    rows = tokens.withColumns({"left": F.lag("term").over(place), "right": F.lead("term").over(place)})
+    """key, term, tf, score of the valid terms of words(): the lower, the more a term says about its text.
+
+    One aggregate by text and term, whose sets hold one term's places and neighbours in one text, then one by text.
+    """
     upper = (F.upper("word") == F.col("word")) & (F.length("word") > 1) & ~F.col("word").rlike(r"^\p{N}+$")
     capital = F.col("word").rlike(r"^\p{Lu}") & ~upper & (F.col("word_no") > 0)
-    terms = rows.groupBy(key, "term").agg(
-        F.count(F.lit(1)).alias("tf"), F.count_if(upper).alias("n_upper"), F.count_if(capital).alias("n_capital"), F.count_distinct("sent_no").alias("n_sent"), F.median("sent_no").alias("middle"),
-        F.count("left").alias("n_left"), F.count_distinct("left").alias("d_left"), F.count("right").alias("n_right"), F.count_distinct("right").alias("d_right"), F.first("valid").alias("valid"),
+    different = lambda c: F.size(F.collect_set(c))  # noqa: E731  count_distinct would make three rows of each token
+    terms = tokens.groupBy(key, "term").agg(
+        F.count(F.lit(1)).alias("tf"), F.count_if(upper).alias("n_upper"), F.count_if(capital).alias("n_capital"), different("sent_no").alias("n_sent"), F.median("sent_no").alias("middle"), F.max("sent_no").alias("last"),
+        F.count("left").alias("n_left"), different("left").alias("d_left"), F.count("right").alias("n_right"), different("right").alias("d_right"), F.first("valid").alias("valid"),
+    )
+    each = terms.groupBy(key).agg(
+        F.avg(F.when(F.col("valid"), F.col("tf"))).alias("mean"), F.stddev_pop(F.when(F.col("valid"), F.col("tf"))).alias("spread"), F.max("tf").alias("most"), (F.max("last") + 1).alias("sentences")
     )
-    each = terms.groupBy(key).agg(F.avg(F.when(F.col("valid"), F.col("tf"))).alias("mean"), F.stddev_pop(F.when(F.col("valid"), F.col("tf"))).alias("spread"), F.max("tf").alias("most"))
-    each = each.join(tokens.groupBy(key).agg((F.max("sent_no") + 1).alias("sentences")), key)
     rows = terms.where("valid").join(each, key)
     share = lambda d, n: F.when(F.col(n) > 0, F.col(d) / F.col(n)).otherwise(0.0)
     casing = F.greatest("n_upper", "n_capital") / (1 + F.log("tf"))
@@ -46,34 +57,36 @@ def term_scores(tokens: DataFrame, key: str) -> DataFrame:
 
 
 def keyword_scores(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, keyword, n (occurrences), score of the terms and pairs of neighbouring valid terms of each text; low scores are good."""
+    """key, keyword, n (occurrences), score of the terms and pairs of neighbouring valid terms of each text; low scores are good.
+
+    Texts are read twice, for terms and for pairs; terms' scores are checkpointed, since they are used three times.
+    """
     tokens = words(docs, key, text)
-    terms = term_scores(tokens, key)
+    terms = cut(term_scores(tokens, key))
     one = terms.select(key, F.col("term").alias("keyword"), F.col("tf").alias("n"), (F.col("score") / (F.col("tf") * (1 + F.col("score")))).alias("score"))
-    place = Window.partitionBy(key, "sent_no").orderBy("word_no")
-    pairs = tokens.withColumns({"b": F.lead("term").over(place), "also": F.lead("valid").over(place)}).where("valid and also").groupBy(key, F.col("term").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
+    pairs = tokens.where(F.col("valid") & usable(F.col("right"))).groupBy(key, F.col("term").alias("a"), F.col("right").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     pairs = pairs.join(terms.select(key, F.col("term").alias("a"), F.col("score").alias("x")), [key, "a"]).join(terms.select(key, F.col("term").alias("b"), F.col("score").alias("y")), [key, "b"])
     two = pairs.select(key, F.concat_ws(" ", "a", "b").alias("keyword"), "n", (F.col("x") * F.col("y") / (F.col("n") * (1 + F.col("x") + F.col("y")))).alias("score"))
     return one.unionByName(two)
 
 
-def alike(a: Column, b: Column) -> Column:
-    """Similarity from 0 to 1 by edit distance."""
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+def near_copy(a: Column, b: Column, same: float) -> Column:
+    """Whether the similarity by edit distance is above `same`. Lengths alone rule out most."""
+    longest = F.greatest(F.length(a), F.length(b))
+    return (F.abs(F.length(a) - F.length(b)) < (1 - same) * longest + 1e-9) & (1 - F.levenshtein(a, b) / longest > same)
 
 
 def keywords(docs: DataFrame, key: str, text: str, top_n: int = 10, most: int = 20, same: float = 0.9) -> DataFrame:
     """key, rank, keyword, relevance (1 - score, 0 from 1 on): the best `most` keywords that are no near copies of better ones, of these the
-    first top_n (1 to `most`). Texts under 20 characters have none.
+    first top_n (1 to `most`). Texts under 20 characters have none; texts need keys of their own.
 
-    Near copies are looked for among the 4 * most best of a text, so that a text is never compared with all its own words.
+    All keywords of a text are gone through in order of score until `most` are kept; each is compared with those kept.
     """
-    ranked = keyword_scores(docs, key, text).withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.round("score", 12), "keyword"))).where(F.col("place") <= 4 * most)
-    lists = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "keyword", "score"))).alias("all"))
+    found = keyword_scores(docs, key, text).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.round("score", 12).alias("place"), "keyword", "score"))).alias("all"))
     none = F.slice(F.col("all"), 1, 0)
-    kept = F.aggregate("all", none, lambda acc, x: F.when(F.exists(acc, lambda y: alike(y["keyword"], x["keyword"]) > same), acc).otherwise(F.concat(acc, F.array(x))))
+    kept = F.aggregate("all", none, lambda acc, x: F.when((F.size(acc) >= most) | F.exists(acc, lambda y: near_copy(y["keyword"], x["keyword"], same)), acc).otherwise(F.concat(acc, F.array(x))))
     top = F.slice(kept, 1, min(max(1, top_n), most))
-    return lists.select(key, F.posexplode(top).alias("i", "k")).select(key, (F.col("i") + 1).alias("rank"), F.col("k.keyword").alias("keyword"), (1 - F.least(F.col("k.score"), F.lit(1.0))).alias("relevance"))
+    return found.select(key, F.posexplode(top).alias("i", "k")).select(key, (F.col("i") + 1).alias("rank"), F.col("k.keyword").alias("keyword"), (1 - F.least(F.col("k.score"), F.lit(1.0))).alias("relevance"))
 
 
 def keyword_lines(found: DataFrame, key: str) -> DataFrame:

@@ -7,8 +7,7 @@ from presswire.queries import ORACLES, QUERIES
 
 #: Their tables have no such rows at this size.
 MAY_BE_EMPTY = {"stream_task_timing"}
-#: Greedy choice among near copies: tested against brute force in test_operators.
-NO_SQL = {"top_keywords"}
+NO_SQL: set[str] = set()
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - NO_SQL))
