@@ -11,7 +11,7 @@ from presswire.catalog.feeds import _DOMAIN, TITLE, pages
 from presswire.catalog.stories import ARTICLES, articles
 from presswire.functions import text
 from presswire.operators import keywords
-from presswire.sources import sinks, xml_feeds
+from presswire.sources import sinks, versioned, xml_feeds
 
 
 def place(spark) -> str:
@@ -69,6 +69,21 @@ def feed_xml(spark, sf_dir):
     return out.select("url", F.md5("title").alias("title_md5"), "summary", "domain", (F.col("parsed") | F.col("title").contains("&")).alias("as_expected"))
 
 
+def stored_upsert(spark, sf_dir):
+    """Customers as a stored table, patched by what orders and suppliers say: each customer's latest order, then suppliers as new rows. The second patch is
+    sent twice. version tells the rows of each version."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = place(spark)
+    versioned.create(read("customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_name").alias("name"), F.lit(None).cast("long").alias("last_order")), path, "id", 16)
+    versioned.patch(read("orders").groupBy(F.col("o_custkey").cast("long").alias("id")).agg(F.max("o_orderkey").cast("long").alias("last_order")), path, "orders")
+    more = read("supplier").select((-1 - F.col("s_suppkey")).cast("long").alias("id"), F.col("s_name").alias("name"))
+    for _ in range(2):
+        versioned.patch(more, path, "suppliers")
+    parts = [versioned.read(spark, path, v).withColumn("version", F.lit(v)) for v in versioned.versions(spark, path)]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]) if len(parts) == 3 else parts[0]
+    return rows.groupBy("version").agg(F.count(F.lit(1)).alias("n"), F.count("last_order").alias("n_orders"), F.sum("last_order").alias("total"), F.max("name").alias("last_name"), F.min("id").alias("least_id"))
+
+
 def term_scores(spark, sf_dir):
     out = keywords.term_scores(keywords.words(articles(spark, sf_dir), "pos", "text"), "pos")
     return out.select("pos", "term", "tf", F.round("score", 6).alias("score"))
@@ -100,6 +115,10 @@ KEYWORDS = f"""with {SCORED},
   select pos, rank, keyword, round(1 - least(scores[keyword], 1), 6)::double as relevance from o"""
 
 QUERIES = {
+    "stored_upsert": (stored_upsert, """with o as (select o_custkey, max(o_orderkey) as last from orders group by 1), c as (select c_custkey as id, c_name as name, last from customer left join o on c_custkey = o_custkey
+          union all select o_custkey, null, last from o where o_custkey not in (select c_custkey from customer)),
+        v as (select 0 as version, c_custkey as id, c_name as name, null as last from customer union all select 1, * from c union all select 2, * from c union all select 2, -1 - s_suppkey, s_name, null from supplier)
+        select version::integer as version, count(*) as n, count(last) as n_orders, sum(last)::bigint as total, max(name) as last_name, min(id)::bigint as least_id from v group by version"""),
     "feed_xml": (feed_xml, f"select url, md5(trim(coalesce({TITLE}, ''))) as title_md5, '<b>x</b> & y' as summary, {_DOMAIN('url')} as domain, true as as_expected from pages"),
     "stored_stories": (stored_stories, f"select sha256(outlet || ' ' || pos || chr(10) || left(text, 50)) as id, outlet || ' ' || pos as title, 'pending' as status, 2::bigint as n, 2 as n_keywords from {ARTICLES} a"),
     "stored_sources": (stored_sources, f"""select sha256(story_id || chr(10) || 'https://x.example/' || pos) as id, lower(outlet) as domain, least(length(text), 500)::integer as title_chars, case when pos % 3 <> 0 then length(text) else 0 end::integer as text_chars,
