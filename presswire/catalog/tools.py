@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from presswire import dims
 from presswire.catalog.feeds import ITEMS, items
 from presswire.catalog.stories import ARTICLES, LABEL_CASE, articles
+from presswire.operators import contents
 from presswire.functions import models, rating, reports, urls
 from presswire.operators.ordered import cap
 from presswire.sources import catalogues
@@ -84,6 +85,16 @@ def message_contents(spark, sf_dir):
     return rows.select("i", F.coalesce(content_text(F.try_parse_json("j")), F.lit("")).alias("content"))
 
 
+def nested_contents(spark, sf_dir):
+    """Turns of conversations in contents that hold one another as often as the turn's number: a typed text at each level, the turn's own below all."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "turn", F.coalesce("text", F.lit("")).alias("own"))
+    n = F.col("turn")
+    quoted = F.regexp_extract(F.to_json(F.struct("own")), r'(?s)^\{"own":(.*)\}$', 1)
+    rows = rows.withColumn("content", F.concat(F.repeat(F.lit('[{"type": "text", "text": "head"}, {"content": '), n), quoted, F.repeat(F.lit("}]"), n)))
+    out = contents.texts(rows, "id", "content")
+    return out.select("id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 CONTENT_ROWS = [(0, "plain"), (1, "T"), (2, "O"), (3, "a\nb\nc\nd"), (4, ""), (5, "deep"), (6, "x\ny"), (7, "four deep")]
 
 
@@ -205,6 +216,8 @@ QUERIES = {
     "source_context_text": (source_context_text, f"""with n as (select *, row_number() over (partition by story_id order by pos) as rn from {ARTICLES} a),
         t as (select story_id, string_agg({_SOURCE_BLOCK}, chr(10) || chr(10) order by rn) as text from n where rn <= 5 group by story_id) select story_id, length(text)::integer as n_chars, md5(text) as text_md5 from t"""),
     "keyword_bars": (keyword_bars, _v([(0, " 1. economy" + " " * 23 + " " + "█" * 9), (1, " 2. a rather long keyword that overflows ███"), (2, " 3. x" + " " * 29 + " ")], "i, line")),
+    "nested_contents": (nested_contents, """with c as (select conv_id || '-' || turn as id, rtrim(repeat('head' || chr(10), turn::integer), case when coalesce(text, '') = '' then chr(10) else '' end) || coalesce(text, '') as t from conversations)
+        select id, length(t)::integer as n_chars, md5(t) as text_md5 from c"""),
     "message_contents": (message_contents, _v(CONTENT_ROWS, "i, content")),
     "completion_envelopes": (completion_envelopes, "select conv_id, 'chatcmpl_' || conv_id as id, length(arg_max(text, turn))::integer as n_chars, 'stop' as finish_reason from conversations where role = 'assistant' group by conv_id"),
     "failure_records": (failure_records, """select page_id, false as success, 0 as n_chars, case when page_id % 4 = 0 or contains(lower(html), 'captcha') then 'blocked_challenge' when page_id % 4 = 1 then 'exception' else 'parse_failure' end as error_code,
