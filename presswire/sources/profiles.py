@@ -37,6 +37,13 @@ def from_yaml(docs: DataFrame) -> DataFrame:
     own = Window.partitionBy("id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     key = F.when(F.col("line").rlike(pattern), F.regexp_extract("line", pattern, 1))
     lines = lines.where("line <> ''").withColumn("key", key)
+    # What is indented below a key with | or > is its text, whatever it looks like, up to a line that is not.
+    upto = Window.partitionBy("id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    block = F.when(F.col("key").isNotNull() & F.regexp_extract("line", pattern, 2).rlike(r"^[|>][+-]?$"), F.struct(F.col("line_no").alias("no"), F.col("indent").alias("indent")))
+    lines = lines.withColumn("block", F.last(block, ignorenulls=True).over(upto))
+    since = Window.partitionBy("id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumn("inside", F.coalesce(F.min("indent").over(since) > F.col("block.indent"), F.lit(False)))
+    lines = lines.withColumn("key", F.when(~F.col("inside"), F.col("key")))
     lines = lines.withColumn("top_no", F.last(F.when((F.col("indent") == 0) & F.col("key").isNotNull(), F.col("line_no")), ignorenulls=True).over(own))
     lines = lines.withColumn("top", F.last(F.when((F.col("indent") == 0) & F.col("key").isNotNull(), F.col("key")), ignorenulls=True).over(own))
     inner = Window.partitionBy("id", "top_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -45,13 +52,13 @@ def from_yaml(docs: DataFrame) -> DataFrame:
     bare = lambda c: F.regexp_replace(F.trim(c), r"""^(["'])(.*)\1$""", "$2")
     value = F.when(F.col("key").isNotNull(), F.coalesce(F.regexp_extract("line", pattern, 2), F.lit("")))
     flow = F.when(value.rlike(r"^\[.*\]$"), F.filter(F.transform(F.split(F.regexp_extract(value, r"^\[(.*)\]$", 1), ","), bare), lambda x: x != ""))
-    item = F.when(F.col("line").startswith("- "), F.array(bare(F.substring("line", 3, 10_000))))
-    rows = lines.select("id", "line_no", "top", "sub", value.alias("value"), F.coalesce(flow, item).alias("items"), F.when(F.col("key").isNull() & ~F.col("line").startswith("- "), F.col("line")).alias("more"))
+    item = F.when(F.col("line").startswith("- ") & ~F.col("inside"), F.array(bare(F.substring("line", 3, 10_000))))
+    rows = lines.select("id", "line_no", "top", "sub", value.alias("value"), F.coalesce(flow, item).alias("items"), F.when(F.col("key").isNull() & (F.col("inside") | ~F.col("line").startswith("- ")), F.col("line")).alias("more"))
     rows = rows.withColumn("path", F.when(F.col("top") == "channel", F.col("sub")).when(F.col("top") != "topics", F.col("top")))
 
     def scalar(name: str) -> Column:
         here = F.col("path") == name
-        first = F.max(F.when(here & ~F.col("value").isin("|", ">", ""), bare(F.col("value"))))
+        first = F.max(F.when(here & ~F.col("value").rlike(r"^([|>][+-]?)?$"), bare(F.col("value"))))
         block = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(here & F.col("more").isNotNull(), F.struct("line_no", "more")))), lambda x: x["more"]), "\n")
         return F.coalesce(first, block)
 
