@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from presswire import streaming
@@ -15,7 +13,7 @@ from presswire.sources import sinks, versioned, xml_feeds
 
 
 def place(spark) -> str:
-    return f"{streaming.folder(spark)}/stored-{uuid.uuid4().hex}"
+    return f"{streaming.temporary(spark, streaming.folder(spark))}/table"
 
 
 def stored_stories(spark, sf_dir):

@@ -31,13 +31,23 @@ def folder(spark: SparkSession) -> str:
     return (shared or "/tmp/checkpoints/presswire").rstrip("/") + "/streams"
 
 
+def temporary(spark: SparkSession, under: str) -> str:
+    """A new folder under one that is shared; it goes when the driver's JVM ends, so what was read from it can be used until then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{under}/{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return path.toString()
+
+
 def drain(stream: DataFrame, mode: str, checkpoint: str, finish: Callable[[DataFrame], DataFrame] = lambda df: df, then: Callable[[], None] | None = None) -> DataFrame:
     """Run a stream over what is there, into tables in the checkpoint folder, and return their rows. Complete mode keeps the last batch's table.
 
     A batch has a table of its own number and overwrites it, so one that is run again after a failure adds nothing twice. With `then` the
     stream is taken up again from its checkpoint after that has been done.
     """
-    path, log = f"{checkpoint}/{uuid.uuid4().hex}/table", f"{checkpoint}/{uuid.uuid4().hex}/log"
+    home = temporary(stream.sparkSession, checkpoint)
+    path, log = f"{home}/table", f"{home}/log"
     stream.sparkSession.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")  # so that there is a table without batches too
 
     def write(batch: DataFrame, number: int) -> None:

@@ -6,7 +6,6 @@ watermark has passed them, so a key holds what arrived within the watermark's de
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -107,7 +106,7 @@ def to_the_end(rows: DataFrame, ts: str, run: Callable[[DataFrame], DataFrame])
     checkpoint with one more row, without kind and far in the future, that lets everything pass.
     """
     spark, home = rows.sparkSession, streaming.folder(rows.sparkSession)
-    closing = f"{home}/{uuid.uuid4().hex}/closing"
+    closing = f"{streaming.temporary(spark, home)}/closing"
     spark.createDataFrame([], rows.schema).write.parquet(closing)
     both = rows.unionByName(spark.readStream.schema(rows.schema).parquet(closing))
     last = [F.lit("2200-01-01").cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]
