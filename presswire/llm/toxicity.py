@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
+@lru_cache(maxsize=50_000)
 def token_features(token: str) -> tuple[str, ...]:
     """What a token (lower case, split at white space) is described by: its word and the word's beginnings."""
     word = "".join(c for c in token if c.isalnum())
@@ -206,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, max_features
             for toxic, texts in batch.groupby(batch["toxic"] > 0)["text"]:
                 held, seen = Counter(), Counter()
                 for t in texts:
-                    own = Counter(f for fs in set(map(token_features, t.lower().split())) for f in fs)
+                    own = Counter(f for fs in set(map(token_features, set(t.lower().split()))) for f in fs)
                     held.update(own.keys())
                     seen.update(own)
                 yield pd.DataFrame({"feature": list(held), "toxic": int(toxic), "n": list(held.values()), "words": [seen[f] for f in held]})
