@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,34 +59,57 @@ def exact_seed(seeds: DataFrame, items: DataFrame) -> DataFrame:
     return out.select("seed_id", "m.feed_pos", "m.item_pos", "m.title", F.lit("exact_url").alias("match_type"), F.lit(1.0).alias("match_confidence"))
 
 
+LEVELS = (1.0, 0.9, 0.75, 0.6)  # shares that are looked for first
+FEW = 200_000  # rows of two numbers that are sent to every task
+
+
 def similar_seed(seeds: DataFrame, items: DataFrame, least: float = 0.45, title_weight: float = 0.9) -> DataFrame:
     """seeds (seed_id, url, title_hint) with the item that holds most of their slug's (or, at title_weight, their title's) tokens.
 
-    An item must hold a share of `least` of a seed's n slug tokens, so it holds one of any n - ceil(least * n) + 1 of them; likewise of the
-    title's, at least / title_weight. The join is on that many of each seed's rarest tokens alone: tokens that stand in very many
-    items, such as the parts that all URLs have, pair nothing. Pairs that it finds are scored on all tokens. Both sides are checkpointed: they are
-    read several times, and what they are made of may be dear.
+    An item that holds a share of a seed's n slug tokens, `level`, holds one of any n - ceil(level * n) + 1 of them; likewise of the title's, at
+    level / title_weight. The join is on that many of each seed's rarest tokens alone: tokens that stand in very many items, such as
+    the parts that all URLs have, pair nothing. It is made for high levels first, where that is one token or two: a seed that has an item of this
+    level has its best among the pairs, and only the others go on to lower levels, down to `least`. Pairs are scored on all tokens.
+
+    Seeds of equal tokens are one, and so are items, of which the first stands for all. Postings are hashes, so a pair may be of other
+    tokens; scores tell. Both sides are checkpointed: they are read several times, and what they are made of may be dear.
     """
-    left = seeds.select("seed_id", text.tokens(urls.path(F.col("url"))).alias("slug"), text.tokens(F.coalesce("title_hint", F.lit(""))).alias("hint"))
-    left = cut(left)
-    right = items.select("feed_pos", "item_pos", "title", text.tokens(F.concat_ws(" ", "title", "summary", "url")).alias("tokens"))
-    right = cut(right)
-    postings = right.select("feed_pos", "item_pos", F.explode("tokens").alias("token"))
+    none = F.array().cast("array<string>")
+    own = seeds.where(F.col("seed_id").isNotNull())
+    own = cut(own.select("seed_id", F.array_sort(F.coalesce(text.tokens(urls.path(F.col("url"))), none)).alias("slug"), F.array_sort(text.tokens(F.coalesce("title_hint", F.lit("")))).alias("hint")))
+    rest = cut(own.select("slug", "hint").distinct().withColumn("set_no", F.monotonically_increasing_id()))
+    tokens = F.array_sort(text.tokens(F.concat_ws(" ", "title", "summary", "url")))
+    right = items.where(F.col("feed_pos").isNotNull() & F.col("item_pos").isNotNull()).groupBy(tokens.alias("tokens")).agg(F.min(F.struct("feed_pos", "item_pos", "title")).alias("first"))
+    right = cut(right.withColumn("item_no", F.monotonically_increasing_id()))
+    postings = right.select("item_no", F.explode(F.transform("tokens", lambda t: F.xxhash64(t))).alias("token"))
     often = cut(postings.groupBy("token").agg(F.count(F.lit(1)).alias("n_items")))
+    share = lambda side: F.size(F.array_intersect(side, "tokens")) / F.greatest(F.size(side), F.lit(1))
 
-    def rare(side: str, share: float) -> DataFrame:
+    def at_least(rest: DataFrame, level: float) -> DataFrame:
+        """set_no, b: the best item of the seeds that have one of this level."""
+        pairs = rare(rest, "slug", level)
+        if level <= title_weight:
+            pairs = pairs.unionByName(rare(rest, "hint", level / title_weight))
+        pairs = cut(pairs.distinct())
+        pairs = postings.join(F.broadcast(pairs) if pairs.count() <= FEW else pairs, "token").select("set_no", "item_no").distinct()
+        scored = pairs.join(rest, "set_no").join(right, "item_no").select("set_no", "first", F.greatest(share("slug"), title_weight * share("hint")).alias("match_confidence"))
+        return scored.where(F.col("match_confidence") >= level).groupBy("set_no").agg(F.min(F.struct((-F.col("match_confidence")).alias("minus"), "first")).alias("b"))
+
+    def rare(rest: DataFrame, side: str, level: float) -> DataFrame:
         """The tokens of a side that pair: of a token in no item the pair is empty, but it counts among the rarest."""
-        own = left.select("seed_id", F.size(side).alias("n"), F.explode(side).alias("token")).join(often, "token", "left")
-        place = F.row_number().over(Window.partitionBy("seed_id").orderBy(F.coalesce("n_items", F.lit(0)), "token"))
-        return own.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).where("n_items > 0").select("seed_id", "token")
-
-    pairs = rare("slug", least).unionByName(rare("hint", least / title_weight)).distinct().join(postings, "token").select("seed_id", "feed_pos", "item_pos").distinct()
-    both = pairs.join(left, "seed_id").join(right, ["feed_pos", "item_pos"])
-    share = lambda side: F.size(F.array_intersect(side, "tokens")) / F.greatest(F.size(side), F.lit(1))
-    scored = both.select("seed_id", "feed_pos", "item_pos", "title", F.greatest(share("slug"), title_weight * share("hint")).alias("match_confidence"))
-    own = F.struct("feed_pos", "item_pos", "title", "match_confidence")
-    top = scored.where(F.col("match_confidence") >= least).groupBy("seed_id").agg(F.min_by(own, F.struct(-F.col("match_confidence"), "feed_pos", "item_pos")).alias("b"))
-    return top.select("seed_id", "b.feed_pos", "b.item_pos", "b.title", F.lit("slug_title").alias("match_type"), "b.match_confidence")
+        each = rest.select("set_no", F.size(side).alias("n"), F.explode(F.transform(side, lambda t: F.xxhash64(t))).alias("token")).join(often, "token", "left")
+        place = F.row_number().over(Window.partitionBy("set_no").orderBy(F.coalesce("n_items", F.lit(0)), "token"))
+        return each.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * level - 1e-9) + 1).where("n_items > 0").select("set_no", "token")
+
+    found = []
+    for level in [x for x in LEVELS if x > least] + [least]:
+        best = cut(at_least(rest, level))
+        found.append(rest.join(best, "set_no").select("slug", "hint", "b"))
+        rest = cut(rest.join(best, "set_no", "left_anti"))
+        if rest.isEmpty():
+            break
+    found = own.join(reduce(DataFrame.unionByName, found), ["slug", "hint"]).groupBy("seed_id").agg(F.min("b").alias("b")).select("seed_id", "b.first.*", -F.col("b.minus"))
+    return found.toDF("seed_id", "feed_pos", "item_pos", "title", "match_confidence").select("seed_id", "feed_pos", "item_pos", "title", F.lit("slug_title").alias("match_type"), "match_confidence")
 
 
 def contains_any(words: Column, keys: Column) -> Column:
