@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from presswire.session import with_package as with_package
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -129,24 +129,6 @@ def few(df: DataFrame, n: int, *keys: str, seed: int = 0) -> DataFrame:
     return df.dropDuplicates(list(keys)).orderBy(own, *keys).limit(n)
 
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def with_package(spark: SparkSession, rows: int = 2000) -> None:
-    """Ready the session for Python stages.
-
-    Local Python workers can import this package even when only the driver's sys.path has it (clusters use --py-files). A batch for
-    a worker has at most `rows` rows: it is held several times over, by the executor and by the worker, and texts are long. The setting
-    stays, since plans read it when they run; a session with a lower one keeps that.
-    """
-    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= rows:
-        spark.conf.set(ARROW_ROWS, rows)
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,8 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from presswire.functions import text
-from presswire.operators import joins
+from presswire.operators import joins, keywords
+from presswire.queries import QUERIES
 
 
 def stages(spark):
@@ -47,6 +48,21 @@ def test_equal_seeds_and_items_are_one(spark):
     assert got == {(0, 0, "budget", 0.75)} and records[0] < 20 * n
 
 
+def test_words_of_a_text_are_not_shuffled(spark, sf_dir, query):
+    """At most a row or two for each document, not for each word."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    with shuffled(spark) as records:
+        QUERIES[query](spark, sf_dir).collect()
+    assert records[0] <= 3 * docs
+
+
+def test_texts_that_share_a_key_are_one(spark):
+    rows = [(1, "The Budget Act passed the senate. Senate votes"), (1, "Budget Act again and again in the senate"), (None, "A text that has no key at all"), (2, "The Budget Act passed the senate. Senate votes"), (3, "The and for with from that"), (4, "short"), (5, None)]
+    df = spark.createDataFrame(rows, "doc int, text string")
+    got = {(r["doc"], r["term"]): r["tf"] for r in keywords.term_scores(keywords.words(df, "doc", "text"), "doc").collect()}
+    assert got == {(1, "budget"): 2, (1, "act"): 2, (1, "passed"): 1, (1, "senate"): 3, (1, "votes"): 1, (1, "again"): 2, (2, "budget"): 1, (2, "act"): 1, (2, "passed"): 1, (2, "senate"): 2, (2, "votes"): 1}
+
+
 def test_words_by_splitting(spark):
     df = spark.createDataFrame([("The  quick-brown FOX9 jumps é over_it; abc abcd ABCDE",), ("",), (None,), ("....",)], "t string")
     want = [["quick", "brown", "jumps", "over", "abcd", "abcde"], [], None, []]
