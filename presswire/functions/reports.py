@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from presswire.functions.text import once
 from presswire.functions.urls import normalize
 
 # How reports mark their source matrix, headings and links.
@@ -19,14 +22,25 @@ def lines(text: Column) -> Column:
     return F.split(text, r"\r\n|\n|\r")
 
 
+def until(lines: Column, stops: Callable[[Column], Column]) -> Column:
+    """The lines before the first that stops; all if none does."""
+    at = F.array_position(F.transform(lines, stops), True)
+    return once(at, lambda n: F.when(n == 0, lines).otherwise(F.slice(lines, F.lit(1), F.greatest(n - 1, F.lit(0)).cast("int"))))
+
+
+def after(lines: Column, at: Column) -> Column:
+    """The lines that follow the one of number `at`."""
+    return F.slice(lines, (at + 1).cast("int"), F.size(lines))
+
+
 def matrix_lines(report: Column) -> Column:
     """The lines of the first source matrix section, up to the next heading; [] without one."""
-    every = lines(report)
-    at = F.array_position(F.transform(every, lambda x: x.rlike(MATRIX)), True)
-    after = F.slice(every, (at + 1).cast("int"), F.size(every))
-    stop = F.array_position(F.transform(after, lambda x: x.rlike(HEADING)), True)
-    section = F.when(stop == 0, after).otherwise(F.slice(after, F.lit(1), F.greatest(stop - 1, F.lit(0)).cast("int")))
-    return F.when(at == 0, F.array().cast("array<string>")).otherwise(F.concat(F.slice(every, F.greatest(at, F.lit(1)).cast("int"), F.lit(1)), section))
+
+    def section(every: Column, at: Column) -> Column:
+        rest = once(after(every, at), lambda x: until(x, lambda line: line.rlike(HEADING)))
+        return F.when(at == 0, F.array().cast("array<string>")).otherwise(F.concat(F.slice(every, F.greatest(at, F.lit(1)).cast("int"), F.lit(1)), rest))
+
+    return once(lines(report), lambda every: once(F.array_position(F.transform(every, lambda x: x.rlike(MATRIX)), True), lambda at: section(every, at)))
 
 
 def matrix_urls(report: Column) -> Column:
@@ -43,39 +57,48 @@ def footnote_urls(report: Column) -> Column:
 def outside(urls: Column, allowed: Column) -> Column:
     """The URLs whose key is none of the allowed ones', in order, with repeats."""
     keys = F.transform(F.filter(allowed, lambda u: F.coalesce(u, F.lit("")) != ""), normalize)
-    return F.filter(urls, lambda u: ~F.array_contains(keys, normalize(u)))
+    return once(keys, lambda known: F.filter(urls, lambda u: ~F.array_contains(known, normalize(u))))
 
 
 def report_error(report: Column, allowed: Column) -> Column:
     """The first complaint about a report's sources; null if there is none."""
-    matrix, notes = matrix_urls(report), footnote_urls(report)
-    unknown, stray = outside(matrix, allowed), outside(notes, matrix)
     listed = lambda urls: F.array_join(F.slice(urls, 1, 5), ", ")
-    return (
-        F.when(F.size(matrix) == 0, "missing source matrix")
-        .when(F.size(unknown) > 0, F.concat(F.lit("unknown sources: "), listed(unknown)))
-        .when(F.size(stray) > 0, F.concat(F.lit("footnotes outside matrix: "), listed(stray)))
-    )
+
+    def complaint(matrix: Column, unknown: Column, stray: Column) -> Column:
+        return (
+            F.when(F.size(matrix) == 0, "missing source matrix")
+            .when(F.size(unknown) > 0, F.concat(F.lit("unknown sources: "), listed(unknown)))
+            .when(F.size(stray) > 0, F.concat(F.lit("footnotes outside matrix: "), listed(stray)))
+        )
+
+    def judged(matrix: Column, notes: Column) -> Column:
+        return once(outside(matrix, allowed), lambda unknown: once(outside(notes, matrix), lambda stray: complaint(matrix, unknown, stray)))
+
+    return once(report, lambda r: once(matrix_urls(r), lambda matrix: once(footnote_urls(r), lambda notes: judged(matrix, notes))))
 
 
 def matrix_table(report: Column) -> Column:
     """array<array<string>>: header and rows of the matrix section's first table, for export. The heading must stand alone here and
     the section runs to the next heading of its level or above."""
-    every = lines(report)
-    at = F.array_position(F.transform(every, lambda x: x.rlike(r"(?i)^#{1,6}\s+source matrix\s*:?\s*$")), True)
-    level = F.length(F.regexp_extract(F.try_element_at(every, F.greatest(at, F.lit(1)).cast("int")), r"^(#{1,6})", 1))
-    after = F.slice(every, (at + 1).cast("int"), F.size(every))
     mark = lambda x: F.length(F.regexp_extract(x, r"^(#{1,6})\s+", 1))
-    stop = F.array_position(F.transform(after, lambda x: (mark(x) > 0) & (mark(x) <= level)), True)
-    section = F.when(stop == 0, after).otherwise(F.slice(after, F.lit(1), F.greatest(stop - 1, F.lit(0)).cast("int")))
-    pairs = F.zip_with(section, F.slice(section, F.lit(2), F.greatest(F.size(section), F.lit(1))), lambda a, b: a.contains("|") & F.coalesce(b.rlike(r"^\s*\|?\s*:?-{3,}"), F.lit(False)))
-    head = F.array_position(pairs, True)
-    body = F.slice(section, (head + 2).cast("int"), F.size(section))
-    end = F.array_position(F.transform(body, lambda x: ~x.contains("|")), True)
-    rows = F.when(end == 0, body).otherwise(F.slice(body, F.lit(1), F.greatest(end - 1, F.lit(0)).cast("int")))
     cells = lambda x: F.transform(F.split(F.regexp_replace(F.regexp_replace(F.trim(x), r"^\|", ""), r"\|$", ""), r"\|"), lambda c: F.trim(c))
-    table = F.concat(F.array(cells(F.try_element_at(section, F.greatest(head, F.lit(1)).cast("int")))), F.transform(rows, cells))
-    return F.when((at > 0) & (head > 0) & (F.size(rows) > 0), table)
+    ends = lambda level: lambda x: once(mark(x), lambda m: (m > 0) & (m <= level))
+
+    def section(every: Column, at: Column) -> Column:
+        level = F.length(F.regexp_extract(F.try_element_at(every, F.greatest(at, F.lit(1)).cast("int")), r"^(#{1,6})", 1))
+        return once(level, lambda n: once(after(every, at), lambda x: until(x, ends(n))))
+
+    def table(at: Column, section: Column, head: Column) -> Column:
+        rows = once(F.slice(section, (head + 2).cast("int"), F.size(section)), lambda body: until(body, lambda x: ~x.contains("|")))
+        first = F.try_element_at(section, F.greatest(head, F.lit(1)).cast("int"))
+        return once(rows, lambda rs: F.when((at > 0) & (head > 0) & (F.size(rs) > 0), F.concat(F.array(cells(first)), F.transform(rs, cells))))
+
+    def headed(at: Column, section: Column) -> Column:
+        pairs = F.zip_with(section, F.slice(section, F.lit(2), F.greatest(F.size(section), F.lit(1))), lambda a, b: a.contains("|") & F.coalesce(b.rlike(r"^\s*\|?\s*:?-{3,}"), F.lit(False)))
+        return once(F.array_position(pairs, True), lambda head: table(at, section, head))
+
+    heading = lambda every: F.array_position(F.transform(every, lambda x: x.rlike(r"(?i)^#{1,6}\s+source matrix\s*:?\s*$")), True)
+    return once(lines(report), lambda every: once(heading(every), lambda at: once(section(every, at), lambda x: headed(at, x))))
 
 
 def csv_line(cells: Column) -> Column:

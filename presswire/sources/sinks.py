@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswire.functions import reports
+from presswire.functions.text import once
 
 
 def stories(df: DataFrame) -> DataFrame:
@@ -52,8 +53,7 @@ def report_files(df: DataFrame, path: str, report: str = "full_report_md") -> No
 
 def matrix_csv(report: Column) -> Column:
     """The source matrix as CSV text with CRLF; null without a table."""
-    table = reports.matrix_table(report)
-    return F.when(table.isNotNull(), F.array_join(F.transform(table, reports.csv_line), "\r\n"))
+    return once(reports.matrix_table(report), lambda table: F.when(table.isNotNull(), F.array_join(F.transform(table, reports.csv_line), "\r\n")))
 
 
 def matrix_files(df: DataFrame, path: str, report: str = "full_report_md") -> None:

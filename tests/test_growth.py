@@ -4,9 +4,10 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from presswire.functions import text
+from presswire.functions import reports, text
 from presswire.operators import joins, keywords
 from presswire.queries import QUERIES
+from presswire.sources import sinks
 
 
 def stages(spark):
@@ -63,6 +64,14 @@ def test_texts_that_share_a_key_are_one(spark):
     assert got == {(1, "budget"): 2, (1, "act"): 2, (1, "passed"): 1, (1, "senate"): 3, (1, "votes"): 1, (1, "again"): 2, (2, "budget"): 1, (2, "act"): 1, (2, "passed"): 1, (2, "senate"): 2, (2, "votes"): 1}
 
 
+def test_a_report_is_split_into_lines_few_times(spark):
+    """Functions of a report use its lines many times; each use must not compute them, and the report, again."""
+    df = spark.createDataFrame([("## Source Matrix\n\n| a | b |\n| --- | --- |\n| x | [l](https://a.com/1) |\n\n[^1]: https://b.com/2.", ["https://a.com/1"])], "r string, allowed array<string>")
+    out = df.select(reports.report_error(F.col("r"), F.col("allowed")).alias("error"), sinks.matrix_csv(F.col("r")).alias("csv"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") < 10
+    assert tuple(out.first()) == ("footnotes outside matrix: https://b.com/2", "a,b\r\nx,[l](https://a.com/1)")
+
+
 def test_words_by_splitting(spark):
     df = spark.createDataFrame([("The  quick-brown FOX9 jumps é over_it; abc abcd ABCDE",), ("",), (None,), ("....",)], "t string")
     want = [["quick", "brown", "jumps", "over", "abcd", "abcde"], [], None, []]
