@@ -2,6 +2,7 @@
 
 from contextlib import contextmanager
 
+import pytest
 from pyspark.sql import functions as F
 
 from presswire.functions import reports, text
@@ -49,6 +50,7 @@ def test_equal_seeds_and_items_are_one(spark):
     assert got == {(0, 0, "budget", 0.75)} and records[0] < 20 * n
 
 
+@pytest.mark.parametrize("query", ["term_scores", "top_keywords", "word_frequency_top5"])
 def test_words_of_a_text_are_not_shuffled(spark, sf_dir, query):
     """At most a row or two for each document, not for each word."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
