@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from presswire.functions import reports, text
-from presswire.operators import joins, keywords
+from presswire.operators import joins, keyword_join, keywords
 from presswire.queries import QUERIES
 from presswire.sources import sinks
 
@@ -79,3 +79,19 @@ def test_words_by_splitting(spark):
     want = [["quick", "brown", "jumps", "over", "abcd", "abcde"], [], None, []]
     assert [r[0] for r in df.select(text.long_words(F.col("t"))).collect()] == want
     assert [r[0] for r in df.select(text.tokens(F.col("t"))).collect()] == [["quick", "brown", "fox9", "jumps", "over", "abc", "abcd", "abcde"], [], None, []]
+
+
+def test_texts_and_few_keywords_are_not_shuffled(spark):
+    """Grams that many words share pair a text with words that it does not hold; short keywords go to the texts."""
+    n = 300
+    items = spark.range(n).selectExpr("id", "concat('the presentation of station ', id, ' and nation ', id) as text")
+    words = spark.range(n).selectExpr("concat('station ', id, ' ') as k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where Spark takes no side for small
+    try:
+        with shuffled(spark) as records:
+            got = sorted((r["id"], r["k"]) for r in keyword_join.contained_keywords(items, "text", words, "k").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [(i, f"station {i} ") for i in range(n)]
+    assert records[0] < 20 * n
+    assert sorted((r["id"], r["k"]) for r in keyword_join.contained_keywords(items, "text", words, "k", few=0).collect()) == got
