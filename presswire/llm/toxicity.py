@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from presswire.llm.common import few, materialize, with_package
 
 DOC_FEATURES = 3
+PART = 400  # texts whose words a worker holds at once
 
 
 def is_held_out(doc_id: str = "doc_id") -> Column:
@@ -134,6 +135,12 @@ def marginals(texts: list[str], tagger: Tagger, width: int = 64) -> tuple[np.nda
     return p[row, col], lengths
 
 
+def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for lo in range(0, len(batch), PART):
+            yield batch.iloc[lo : lo + PART]
+
+
 def document_features(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Of each document: log odds that any token is toxic (noisy or), the highest marginal, expected toxic tokens (log)."""
     owner = np.repeat(np.arange(len(lengths)), lengths)
@@ -204,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, max_features
         return Tagger()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in parts(batches):
             for toxic, texts in batch.groupby(batch["toxic"] > 0)["text"]:
                 held, seen = Counter(), Counter()
                 for t in texts:
@@ -253,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, max_features
             gold = relabel(stretch_marginals(x, listed, mask, tagger), kind)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in parts(batches):
             f = document_features(*marginals(batch["text"].tolist(), tagger))
             yield pd.DataFrame({"a": f[:, 0], "b": f[:, 1], "c": f[:, 2], "toxic": (batch["toxic"] > 0).to_numpy().astype(int)})
 
@@ -270,8 +277,8 @@ def scorer(tagger: Tagger, offset_from: float = 0.5, with_spans: bool = True):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             scores, spans = [], []
-            for lo in range(0, len(batch), 1000):
-                texts = batch.iloc[lo : lo + 1000].tolist()
+            for lo in range(0, len(batch), PART):
+                texts = batch.iloc[lo : lo + PART].tolist()
                 if tagger.empty:
                     scores.append(np.zeros(len(texts)))
                     spans += [[] for _ in texts]
