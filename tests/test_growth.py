@@ -66,6 +66,40 @@ def test_texts_that_share_a_key_are_one(spark):
     assert got == {(1, "budget"): 2, (1, "act"): 2, (1, "passed"): 1, (1, "senate"): 3, (1, "votes"): 1, (1, "again"): 2, (2, "budget"): 1, (2, "act"): 1, (2, "passed"): 1, (2, "senate"): 2, (2, "votes"): 1}
 
 
+@pytest.mark.parametrize("few", [1000, 0])
+def test_texts_that_share_a_key_are_shuffled_once(spark, few):
+    """Counts of keys and the texts themselves, each once; texts with keys of their own stay where they are if few keys are shared."""
+    n = 600
+    docs = spark.range(n).selectExpr("if(id < 400, id div 2, id) as doc", "concat('the Budget Act passed the senate as vote ', id) as text").repartition(4).localCheckpoint()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where Spark takes no side for small
+    try:
+        with shuffled(spark) as records:
+            got = {(r["doc"], r["term"]): r["tf"] for r in keywords.term_scores(keywords.words(docs, "doc", "text", few), "doc").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    terms = ["budget", "act", "passed", "senate", "vote"]
+    assert got == {(doc, term): 2 if doc < 200 else 1 for doc in [*range(200), *range(400, n)] for term in terms}
+    assert records[0] <= 2 * n
+
+
+def test_words_of_other_scripts_and_empty_sentences(spark):
+    """Numbers of any script are no terms, sentences without words have no number, a capital counts inside a sentence alone."""
+    rows = [(1, "... ! The \u0660\u0661\u0662 \u216b\u216b\u216b \u0395\u039b\u039b\u0391\u03a3 rose.\n\n Rose \u00c9tat 123 \u00c9tat."), (2, "?!?! ..... ----- !!!!! ....."), (3, "\u4e00\u4e8c\u4e09 wird 12ab 345 Stra\u00dfe")]
+    df = spark.createDataFrame(rows, "doc int, text string")
+    got = {(r["doc"], r["term"]): r["tf"] for r in keywords.term_scores(keywords.words(df, "doc", "text"), "doc").collect()}
+    assert got == {(1, "\u03b5\u03bb\u03bb\u03b1\u03c2"): 1, (1, "rose"): 2, (1, "\u00e9tat"): 2, (3, "\u4e00\u4e8c\u4e09"): 1, (3, "wird"): 1, (3, "12ab"): 1, (3, "stra\u00dfe"): 1}
+    best = {(r["doc"], r["rank"]): r["keyword"] for r in keywords.keywords(df, "doc", "text").collect()}
+    assert len({k for d, k in best.items() if d[0] == 1}) == 5 and not any(d == 2 for d, _ in best)
+
+
+def test_all_keywords_are_gone_through(spark):
+    """Near copies fill the places that are looked at first; what follows them is still found."""
+    words = " ".join(f"internationalisation{c}{d}" for c in "abcdefgh" for d in "abcdefgh")
+    df = spark.createDataFrame([(1, words + ". zebra zebra zebra zebra zebra zebra zebra zebra zebra")], "doc int, text string")
+    got = [r["keyword"] for r in keywords.keywords(df, "doc", "text", top_n=20).orderBy("rank").collect()]
+    assert "zebra" in got and len(got) < 20
+
+
 def test_a_report_is_split_into_lines_few_times(spark):
     """Functions of a report use its lines many times; each use must not compute them, and the report, again."""
     df = spark.createDataFrame([("## Source Matrix\n\n| a | b |\n| --- | --- |\n| x | [l](https://a.com/1) |\n\n[^1]: https://b.com/2.", ["https://a.com/1"])], "r string, allowed array<string>")
